@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, simhash
 from .common import ship, table
 
 
@@ -51,7 +51,14 @@ FROM queue q LEFT JOIN taken t USING (rid)
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_mixing": op10_mixing}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
+    "op10_mixing": op10_mixing,
+}
 SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
 
 
