@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
-from .common import ship, table
+from . import langid, mixing, quality, simhash, toxicity
+from .common import in_fold, labelled_sample, ship, table
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +51,43 @@ FROM queue q LEFT JOIN taken t USING (rid)
 """
 
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """The lexicon that op2 and the pipeline use: learned from labelled rows outside fold 2 of 4."""
+    return toxicity.train(labelled_sample(docs, labels, "toxic", ~in_fold("doc_id", 4, 2), toxicity.PER_CLASS))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.AdditiveModel:
+    """The model that op8 and the pipeline use: learned from labelled rows outside fold 1 of 3."""
+    return quality.train(labelled_sample(docs, labels, "quality", ~in_fold("doc_id", 3, 1), quality.PER_CLASS))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.scored(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted", "hits")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scored(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.fit_sample(docs, ~in_fold("doc_id", 5, 0)))
+    return langid.identified(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op5_simhash": op5_simhash,
+    "op8_quality": op8_quality,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
