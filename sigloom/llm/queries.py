@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, simhash, toxicity
+from . import html_text, langid, mixing, quality, simhash, toxicity
 from .common import in_fold, labelled_sample, ship, table
 
 
@@ -67,6 +67,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted", "hits")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fit(pages))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.scored(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -86,6 +91,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
