@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, quality, simhash, toxicity
+from . import html_text, langid, mixing, pieces, quality, simhash, toxicity
 from .common import in_fold, labelled_sample, ship, table
 
 
@@ -72,6 +72,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(pages, html_text.fit(pages))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.scored(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
+    "op7_pieces": op7_pieces,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
