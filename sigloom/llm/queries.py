@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, pieces, quality, simhash, toxicity
+from . import html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
 from .common import in_fold, labelled_sample, ship, table
 
 
@@ -61,6 +61,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.AdditiveModel:
     return quality.train(labelled_sample(docs, labels, "quality", ~in_fold("doc_id", 3, 1), quality.PER_CLASS))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.scored(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -93,6 +97,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
