@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
+from . import bitsliced, collision, html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
 from .common import in_fold, labelled_sample, ship, table
 
 
@@ -92,6 +92,28 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(floor(64 * x::DOUBLE)) > 268435456)) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -99,6 +121,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_collision": op3_collision,
+    "op4_bitsliced": op4_bitsliced,
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
     "op7_pieces": op7_pieces,
@@ -106,7 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op4_bitsliced": OP4_SQL, "op10_mixing": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
