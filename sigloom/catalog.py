@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sigloom.plans import signals
+
+_MODULES = (signals,)
+QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
