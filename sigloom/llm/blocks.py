@@ -40,7 +40,8 @@ def best(vectors: DataFrame, is_query: Column, k: int, block_rows: int, kernel:
     n_blocks = max(1, math.ceil(n / block_rows))
     wanted = math.ceil(2 * spark.sparkContext.defaultParallelism / n_blocks)  # tasks enough for all cores
     q_blocks = max(1, math.ceil(n_queries / QUERY_ROWS), min(wanted, math.ceil(n_queries / 64)))
-    row_block, query_block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks))
+    # keys of both sides as int: a cogroup deals each side by its own types and doesn't bring them to one
+    row_block, query_block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")
     rows = vectors.withColumn("rb", row_block).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     queries = vectors.where(is_query).withColumn("qb", query_block).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     schema = f"query_id long, vec_id long, score {score_type}"

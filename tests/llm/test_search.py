@@ -47,6 +47,11 @@ def test_blocks_do_not_change_the_exact_search(spark, sf, monkeypatch):
     assert sorted(map(tuple, bitsliced.top_k(df).collect())) == want
     monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
     assert sorted(map(tuple, bitsliced.top_k(df, block_rows=60).collect())) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several partitions, each with some of the blocks
+    try:
+        assert sorted(map(tuple, bitsliced.top_k(df, block_rows=60).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_recall_against_brute_force(spark):
