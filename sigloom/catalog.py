@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sigloom.plans import signals, spans
+from sigloom.plans import scoring, signals, spans
 
-_MODULES = (signals, spans)
+_MODULES = (signals, spans, scoring)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
