@@ -101,16 +101,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """``prints`` (columns doc_id, fp and others; kept as a checkpoint) with component_id and n_links, see ``near_duplicates``."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def grouped(nodes: DataFrame) -> DataFrame:
+    """fp, label, component_id, n_links of every row of ``nodes`` (distinct fp, with least, its least doc_id), as a checkpoint.
+
+    label is the least fingerprint of the component; component_id and n_links as in ``near_duplicates``.
+    """
+    nodes = cut(nodes)
     edges = cut(links(nodes.select("fp")))
     labels = components(edges)
     named = nodes.join(labels, nodes["fp"] == labels["node"]).groupBy("label").agg(F.min("least").alias("component_id"))
     linked = labels.join(named, "label").join(edges.groupBy("a").agg(F.count("*").alias("n_links")), F.col("node") == F.col("a")).select("node", "label", "component_id", "n_links")
-    of_node = nodes.join(linked, nodes["fp"] == linked["node"], "left")
-    of_node = of_node.select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(of_node, "fp")
+    out = nodes.join(linked, nodes["fp"] == linked["node"], "left")
+    own = F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    return cut(out.select("fp", F.coalesce("label", "fp").alias("label"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -122,7 +125,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component has one); repeated rows each come out; an empty table gives an empty result.
     """
     prints = cut(docs.select("doc_id", fingerprint_column("text", words).alias("fp")))
-    return grouped(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    of_node = grouped(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return prints.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -130,8 +134,10 @@ def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Of rows that repeat that id the one with the least text hash stays, of exact repeats one.
     """
-    prints = cut(docs.select("doc_id", fingerprint_column("text", words).alias("fp"), F.xxhash64("text").alias("_th")))
-    first = grouped(prints).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), "_th")).alias("f")).select("f._id", F.col("f._th").alias("_of"))
+    prints = docs.select(fingerprint_column("text", words).alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).alias("row"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("row")))  # copies with one fingerprint are one from here on
+    of_node = grouped(nodes.select("fp", F.col("row._id").alias("least")))
+    first = nodes.join(of_node, "fp").groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
     rows = docs.withColumn("_th", F.xxhash64("text"))
     kept = rows.join(first, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_th"] == F.col("_of"))).dropDuplicates(["_id", "_of"])
     return kept.select(*[rows[c] for c in docs.columns])
