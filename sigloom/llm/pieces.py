@@ -264,28 +264,24 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def _lists(rows: list) -> pa.ListArray:
-    """A list array of int32 arrays, null where a row is None."""
-    sizes = np.array([0] + [len(r) if r is not None else 0 for r in rows], dtype=np.int64).cumsum()
-    flat = array("i")
-    for r in rows:
-        if r is not None:
-            flat.extend(r)
-    values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, np.int32))
-    return pa.ListArray.from_arrays(pa.array(sizes, type=pa.int32()), values, mask=pa.array([r is None for r in rows]))
-
-
 def encoded(model: bytes, text: Column | str) -> Column:
     """struct(ids, exact) of each text; ``exact`` tells whether decoding the ids gives the text again.  Both null for a null text."""
 
     @arrow_udf("ids array<int>, exact boolean")
     def of(texts: pa.Array) -> pa.Array:
-        m, rows, exact = load(model), [], []
+        m, flat, ends, exact = load(model), array("i"), [0], []  # ids of a batch in one buffer, which Arrow then takes as it is
         for t in texts:
             t = t.as_py()
-            rows.append(None if t is None else m.encode(t))
-            exact.append(None if t is None else m.decode(rows[-1]) == t)
-        return pa.StructArray.from_arrays([_lists(rows), pa.array(exact, type=pa.bool_())], names=["ids", "exact"])
+            if t is None:
+                exact.append(None)
+            else:
+                ids = m.encode(t)
+                flat.extend(ids)
+                exact.append(m.decode(ids) == t)
+            ends.append(len(flat))
+        values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values, mask=pa.array([e is None for e in exact], type=pa.bool_()))
+        return pa.StructArray.from_arrays([lists, pa.array(exact, type=pa.bool_())], names=["ids", "exact"])
 
     return of(text)
 
