@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 MASKED = v.FRAME_PAIRS + """, bounds AS (
   SELECT track, quantile_cont(ls, 0.2) AS p_lo, quantile_cont(ls, 0.7) AS p_hi FROM frame_pairs GROUP BY track
   HAVING count(*) >= 8 AND 20 * log10(quantile_cont(ls, 0.7) + 1e-12) - 20 * log10(quantile_cont(ls, 0.2) + 1e-12) >= 3.0),
-masked AS (SELECT f.*, ls <= p_lo AS quiet, ls >= p_hi AS loud FROM frame_pairs f JOIN bounds USING (track))"""
+masked AS (SELECT f.*, p_lo, ls <= p_lo AS quiet, ls >= p_hi AS loud FROM frame_pairs f JOIN bounds USING (track))"""
 TRADE = MASKED + """, energies AS (
   SELECT track, sqrt(avg(ls * ls) FILTER (WHERE quiet)) AS sq, sqrt(avg(lo * lo) FILTER (WHERE quiet)) AS oq,
          sqrt(avg(ls * ls) FILTER (WHERE loud)) AS sl, sqrt(avg(lo * lo) FILTER (WHERE loud)) AS ol FROM masked GROUP BY track),
