@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sigloom.plans import rules, scoring, signal_work, signals, spans
+from sigloom.plans import rules, scoring, signal_work, signals, spans, streams
 
-_MODULES = (signals, spans, scoring, rules, signal_work)
+_MODULES = (signals, spans, scoring, rules, signal_work, streams)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -28,10 +28,14 @@ def cancel_tone(x: np.ndarray, start: int, freq: float, half: int) -> np.ndarray
     t = np.arange(start, start + len(x))
     wave = np.exp(-2j * np.pi * freq * t)
     base = 2 * x * wave
-    kernel = np.ones(2 * half + 1)
-    n = np.convolve(np.ones(len(x)), kernel, "same")
-    smooth = np.convolve(base, kernel, "same") / n
-    spread = np.convolve(np.abs(base - smooth) ** 2, kernel, "same") / n / n
+
+    def box(v: np.ndarray) -> np.ndarray:
+        """Sums over the samples within ``half``."""
+        return np.convolve(v, np.ones(2 * half + 1))[half : half + len(v)]
+
+    n = box(np.ones(len(x)))
+    smooth = box(base) / n
+    spread = box(np.abs(base - smooth) ** 2) / n / n
     power = np.abs(smooth) ** 2
     shrunk = smooth * np.maximum(0.0, 1 - 4 * spread / np.maximum(power, 1e-20))
     return x - np.real(shrunk * np.conj(wave))
