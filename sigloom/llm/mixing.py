@@ -21,6 +21,8 @@ from .common import cut, word_count
 
 #: Hexadecimal digits of the shuffle hash that make a bucket, and bins of the finish-time histogram.
 BUCKET_DIGITS, BINS = 3, 2048
+#: Rows that are put in order in one task at most.
+ORDERED_ROWS = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -75,24 +77,29 @@ def finish(turn) -> Column:
 def cut_point(queue: DataFrame, budget: float, turns: int) -> tuple[float, int, str]:
     """The last (finish, _src, hash) whose words, with all that come before it, stay within ``budget``.
 
-    The finish times are range-sorted in two steps: a histogram (``BINS`` rows) goes through the driver and finds the
-    bin that holds the cut; that bin, about 1 of ``BINS`` of the rows, is then added up in order.
+    The finish times are range-sorted step by step: a histogram (``BINS`` rows) goes through the driver and finds the
+    bin that holds the cut; a bin of more than ``ORDERED_ROWS`` rows is looked at again in finer bins; the rows of the
+    last bin are then added up in order.
     """
     sent = queue.where(F.col("size") > 0).withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(turns)])))
     sent = sent.select("_src", "hash", "size", finish(F.col("turn")).alias("finish"))
-    bin_of = F.least(F.floor(F.col("finish") * BINS), F.lit(2 * BINS)).cast("int")
-    hist = {r["b"]: r["s"] for r in sent.groupBy(bin_of.alias("b")).agg(F.sum("size").alias("s")).collect()}
-    used = 0
-    for b in sorted(hist):
-        if used + hist[b] > budget:
+    used, low, width, inside = 0, 0.0, 2.0, sent.where(F.col("finish").isNotNull())
+    while True:
+        place = F.least(F.greatest(F.floor((F.col("finish") - low) / (width / BINS)), F.lit(0)), F.lit(BINS)).cast("int")  # the ends are open
+        hist = {r["b"]: (r["s"], r["n"]) for r in inside.groupBy(place.alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
+        for b in sorted(hist):
+            if used + hist[b][0] > budget:
+                break
+            used += hist[b][0]
+        else:
+            return (float("inf"), 0, "")
+        if hist[b][1] <= ORDERED_ROWS or b == BINS or width < 1e-9:
             break
-        used += hist[b]
-    else:
-        return (float("inf"), 0, "")
+        low, width, inside = low + b * (width / BINS), width / BINS, inside.where(place == b)  # too many to order in one task: look closer
+    there = inside.where(place == b).groupBy("finish", "_src", "hash").agg(F.sum("size").alias("size"))
     ordered = Window.orderBy("finish", "_src", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    there = sent.where(bin_of == b).groupBy("finish", "_src", "hash").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(ordered))
-    best = there.where(F.col("upto") + used <= budget).agg(F.max(F.struct("finish", "_src", "hash")).alias("m")).head()["m"]
-    return tuple(best) if best else (b / BINS, -1, "")
+    best = there.withColumn("upto", F.sum("size").over(ordered)).where(F.col("upto") + used <= budget).agg(F.max(F.struct("finish", "_src", "hash")).alias("m")).head()["m"]
+    return tuple(best) if best else (low + b * (width / BINS), -1, "")
 
 
 def planned(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, list[Column]]:

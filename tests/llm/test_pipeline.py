@@ -88,6 +88,14 @@ def test_odd_tables(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).collect()
 
 
+def test_finer_histograms_find_the_same_cut(spark, monkeypatch):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    want = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BINS", 5)
+    monkeypatch.setattr(mixing, "ORDERED_ROWS", 3)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == want
+
+
 def test_clashing_columns_and_empty_mix(spark):
     odd = spark.createDataFrame([(1, "a b c", "s", 9, "x"), (1, "a b c", "s", 9, "x"), (2, None, None, 9, "x"), (None, "d", None, 9, "x")], "doc_id long, text string, source string, size int, hash string")
     got = sorted(map(tuple, mixing.mix(odd).collect()), key=str)
