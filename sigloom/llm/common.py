@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at a time: texts are long, and ids longer.
+TEXTS_A_BATCH = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors (once per Spark context)."""
+    """Make this package importable on the executors (once per Spark context), and batches to Python workers fit for texts.
+
+    The batch size is changed only where the session has Spark's default of 10,000 rows.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_A_BATCH)
     root = Path(__file__).resolve().parents[2]
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if any(p and Path(p).resolve() == root for p in known) or getattr(spark.sparkContext, "_sigloom_shipped", False):

@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters read between two looks for a common boundary, and words (and pairs of pieces) remembered by a worker.
-LOOK_EVERY, REMEMBERED = 128, 300_000
+LOOK_EVERY, REMEMBERED = 128, 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -242,7 +242,7 @@ class PieceModel:
                 else:
                     known = array("i", self.viterbi(w))
                     if len(w) <= 48:
-                        if len(once) >= REMEMBERED:
+                        if len(once) >= REMEMBERED // 2:
                             once.clear()
                         once[w] = known
             out.extend(known)
