@@ -130,9 +130,9 @@ def map_flatten(spark, d):
     return scoring.flattened(summary(spark, d)).withColumn("value", F.round("value", 7))
 
 
-@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(raw, 5) AS raw, round(band, 5) AS band, round(dist, 5) AS dist FROM filled")
+@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(raw, 7) AS raw, round(band, 7) AS band, round(dist, 7) AS dist FROM filled")
 def two_sided_distance(spark, d):
-    return filled(spark, d).select("tape", "candidate", "reading", *[F.round(c, 5).alias(c) for c in ("raw", "band", "dist")])
+    return filled(spark, d).select("tape", "candidate", "reading", *[F.round(c, 7).alias(c) for c in ("raw", "band", "dist")])
 
 
 POINTS = FLAT + """, sums AS (SELECT a.tape, a.candidate AS a, b.candidate AS b, a.family, sum(a.dist - b.dist) AS gap, sum(greatest(a.band, b.band)) AS band
@@ -204,19 +204,19 @@ def weighted_mean_rank(spark, d):
     return r.groupBy("candidate").agg(F.round(F.sum((F.col("tape") + 1) * F.col("rank")) / F.sum(F.col("tape") + 1), 6).alias("mean_rank"))
 
 
-@query(f"WITH {TOTALS} SELECT tape, arg_min(candidate, {{'total': total, 'candidate': candidate}}) AS best, round(min(total), 5) AS total FROM totals GROUP BY tape")
+@query(f"WITH {TOTALS} SELECT tape, arg_min(candidate, {{'total': total, 'candidate': candidate}}) AS best, round(min(total), 7) AS total FROM totals GROUP BY tape")
 def best_per_tape(spark, d):
-    return totals(spark, d).groupBy("tape").agg(F.min_by("candidate", F.struct("total", "candidate")).alias("best"), F.round(F.min("total"), 5).alias("total"))
+    return totals(spark, d).groupBy("tape").agg(F.min_by("candidate", F.struct("total", "candidate")).alias("best"), F.round(F.min("total"), 7).alias("total"))
 
 
 @query(f"""WITH {TOTALS}, means AS (SELECT candidate, avg(total) AS mean FROM totals GROUP BY candidate), one AS (SELECT min(mean) AS single FROM means), per AS (SELECT avg(m) AS oracle FROM (SELECT min(total) AS m FROM totals GROUP BY tape))
-SELECT round(single, 5) AS single, round(oracle, 5) AS oracle, round(single - oracle, 5) AS gain FROM one, per""")
+SELECT round(single, 7) AS single, round(oracle, 7) AS oracle, round(single - oracle, 7) AS gain FROM one, per""")
 def oracle_gain(spark, d):
     """What choosing the best candidate for each tape would gain over the best single one."""
     t = totals(spark, d)
     one = t.groupBy("candidate").agg(F.avg("total").alias("m")).agg(F.min("m").alias("single"))
     per = t.groupBy("tape").agg(F.min("total").alias("m")).agg(F.avg("m").alias("oracle"))
-    return one.join(F.broadcast(per)).select(F.round("single", 5).alias("single"), F.round("oracle", 5).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 5).alias("gain"))
+    return one.join(F.broadcast(per)).select(F.round("single", 7).alias("single"), F.round("oracle", 7).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 7).alias("gain"))
 
 
 MOVES = FLAT + """, moves AS (SELECT c.tape, c.candidate, c.reading, c.ix, c.raw AS mine, i.raw AS theirs, c.raw - i.raw AS move FROM dist c JOIN dist i ON i.tape = c.tape AND i.reading = c.reading AND i.candidate = '5-LOW' WHERE c.candidate <> '5-LOW')"""
