@@ -21,6 +21,8 @@ from .common import cut, word_count
 
 #: Hexadecimal digits of the shuffle hash that make a bucket, and bins of the finish-time histogram.
 BUCKET_DIGITS, BINS = 3, 2048
+#: Sources whose rows are broadcast; with more of them, the joins with sources are left to Spark.
+FEW_SOURCES = 100_000
 #: Rows that are put in order in one task at most.
 ORDERED_ROWS = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -57,9 +59,14 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: f
     return rows.sparkSession.createDataFrame([(k, i, int(s), round(float(goal[k]), 6)) for i, (k, s) in enumerate(per)], "source string, _src int, source_size long, target double")
 
 
-def queued(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def beside(sources: DataFrame, n: int) -> DataFrame:
+    """``sources`` (a row per source) as the side of a join."""
+    return F.broadcast(sources) if n <= FEW_SOURCES else sources
+
+
+def queued(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     """``rows`` with _src, source_size, target and _cum, the words of its source up to and including the row."""
-    known = rows.withColumnRenamed("source", "_s").join(F.broadcast(sources), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")  # a row per source
+    known = rows.withColumnRenamed("source", "_s").join(beside(sources, n), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     known = known.withColumn("_bucket", F.substring("hash", 1, BUCKET_DIGITS))
     sums = known.groupBy("_src", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,13 +109,13 @@ def cut_point(queue: DataFrame, budget: float, turns: int) -> tuple[float, int,
     return tuple(best) if best else (low + b * (width / BINS), -1, "")
 
 
-def planned(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, list[Column]]:
-    """The queue, and for each turn whether a row is sent in it.  ``rows`` come from ``sized`` and are read three times."""
+def planned(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, list[Column], int]:
+    """The queue, for each turn whether a row is sent in it, and the number of sources.  ``rows`` (of ``sized``) are read three times."""
     sources, turns = source_targets(rows, weights, share, most), math.ceil(most)
-    queue = queued(rows, sources)
-    budget = sources.agg(F.sum("target")).head()[0] or 0.0
+    budget, n = sources.agg(F.sum("target"), F.count("*")).head()
+    budget, queue = budget or 0.0, queued(rows, sources, n)
     at = F.struct(*[F.lit(x) for x in cut_point(queue, round(budget, 3), turns)])
-    return queue, [F.coalesce(F.struct(finish(i), "_src", "hash") <= at, F.lit(False)) for i in range(turns)]
+    return queue, [F.coalesce(F.struct(finish(i), "_src", "hash") <= at, F.lit(False)) for i in range(turns)], n
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -118,7 +125,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     texts without words have size 0 and are taken with 0; null sources are one source; exact repeats of one row
     are sent together; an empty table gives an empty result.  Other columns of ``docs`` are not read.
     """
-    queue, sent = planned(cut(sized(docs)), weights, share, most)  # the text is read once; the rest works on a few bytes a row
+    queue, sent, _ = planned(cut(sized(docs)), weights, share, most)  # the text is read once; the rest works on a few bytes a row
     taken = sum((F.when(s, F.col("size")).otherwise(F.lit(0)) for s in sent), F.lit(0))
     return queue.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -129,10 +136,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     In a source's shuffled order the rows sent in one turn are those up to some hash, so a row per source (and turn)
     decides about all rows of the source and the texts are not shuffled.  Same cases as ``mix``.
     """
-    queue, sent = planned(cut(sized(docs)), weights, share, most)
+    queue, sent, n = planned(cut(sized(docs)), weights, share, most)
     upto = queue.groupBy("source").agg(*[F.max(F.when(s, F.col("hash"))).alias(f"_upto{i}") for i, s in enumerate(sent)])
     upto = upto.withColumnRenamed("source", "_s")
-    keyed = docs.withColumn("_hash", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("source").alias("_source"), key.alias("_hash"))  # whatever names docs has
     times = sum((F.when(F.col("_hash") <= F.col(f"_upto{i}"), 1).otherwise(0) for i in range(len(sent))), F.lit(0))
-    picked = keyed.join(F.broadcast(upto), keyed["source"].eqNullSafe(upto["_s"]))  # a row per source, as in source_targets
-    return picked.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.when(times > 0, times)))).select(*[docs[c] for c in docs.columns])
+    picked = keyed.join(beside(upto, n), F.col("_source").eqNullSafe(F.col("_s")))
+    return picked.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.when(times > 0, times)))).select("doc.*")

@@ -107,7 +107,8 @@ class PieceModel:
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         self.often: dict[str, array] = {}
         self.once: dict[str, array] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in self.text]  # by the first piece, then the second
+        self.n_fits = 0
         self.stories: dict[int, tuple[list[float], list[str], list[str]]] = {}
 
     def _single(self, c: str) -> tuple[int, ...]:
@@ -157,9 +158,12 @@ class PieceModel:
                 j += 1
             else:
                 break
-        if len(self.fits) >= REMEMBERED:
-            self.fits.clear()
-        self.fits[a, b] = fit
+        self.n_fits += 1
+        if self.n_fits >= REMEMBERED:
+            for row in self.fits:
+                row.clear()
+            self.n_fits = 0
+        self.fits[a][b] = fit
         return fit
 
     def viterbi(self, s: str) -> list[int]:
@@ -212,7 +216,7 @@ class PieceModel:
             j = i - size - base
             if merging:
                 before = last[j]
-                fit = True if before < 0 else fits.get((before, piece))
+                fit = True if before < 0 else fits[before].get(piece)
                 if fit or (fit is None and self._fit(before, piece)):
                     back[-1], last[-1], settled = i - size, piece, True
             elif (value := best[j] + score[piece]) > best[-1] or last[-1] < 0:
@@ -222,6 +226,32 @@ class PieceModel:
             commit(len(s))
         return out
 
+    def word(self, s: str) -> array:
+        """As ``viterbi``, for a stretch so short that its end is the first place to commit at (BPE models)."""
+        n, fits = len(s), self.fits
+        last, back, settled = [-2] + [-1] * n, list(range(-1, n)), 0
+        for at, (size, piece) in self.matcher.iter(s):
+            if at + 1 == settled:
+                continue
+            j = at + 1 - size
+            before = last[j]
+            if before >= 0:
+                fit = fits[before].get(piece)
+                if fit is None:
+                    fit = self._fit(before, piece)
+                if not fit:
+                    continue
+            settled = at + 1
+            last[settled], back[settled] = piece, j
+        out = []
+        while n:
+            if last[n] >= 0:
+                out.append(last[n])
+            else:
+                out.extend(reversed(self._single(s[n - 1])))
+            n = back[n]
+        return array("i", out[::-1])
+
     def normalized(self, text: str) -> str:
         if self.normalizer is not None:
             return self.normalizer(text)
@@ -240,8 +270,9 @@ class PieceModel:
                         often.clear()
                     often[w] = known
                 else:
-                    known = array("i", self.viterbi(w))
-                    if len(w) <= 48:
+                    short = len(w) <= 48
+                    known = self.word(w) if short and self.merging else array("i", self.viterbi(w))
+                    if short:
                         if len(once) >= REMEMBERED // 2:
                             once.clear()
                         once[w] = known

@@ -138,6 +138,6 @@ def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
     nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("row")))  # copies with one fingerprint are one from here on
     of_node = grouped(nodes.select("fp", F.col("row._id").alias("least")))
     first = nodes.join(of_node, "fp").groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_th"] == F.col("_of"))).dropDuplicates(["_id", "_of"])
-    return kept.select(*[rows[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"))  # whatever names docs has
+    kept = rows.join(first, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")))
+    return kept.dropDuplicates(["_id", "_of"]).select("doc.*")

@@ -29,6 +29,8 @@ def test_commits_do_not_change_the_result(monkeypatch):
     for k in (1, 5, 40, 10_000):
         monkeypatch.setattr(pieces, "LOOK_EVERY", k)
         assert M.viterbi(text) == whole
+    for w in M.cutter.findall(M.normalized("Eredhe a the, Ñandú 中 x\x00y " + "ab" * 20 + "".join(ODD))):
+        assert M.word(w).tolist() == M.viterbi(w)
 
 
 def unigram(vocab):

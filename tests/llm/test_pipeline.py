@@ -97,7 +97,7 @@ def test_finer_histograms_find_the_same_cut(spark, monkeypatch):
 
 
 def test_clashing_columns_and_empty_mix(spark):
-    odd = spark.createDataFrame([(1, "a b c", "s", 9, "x"), (1, "a b c", "s", 9, "x"), (2, None, None, 9, "x"), (None, "d", None, 9, "x")], "doc_id long, text string, source string, size int, hash string")
+    odd = spark.createDataFrame([(1, "a b c", "s", 9, "x"), (1, "a b c", "s", 9, "x"), (2, None, None, 9, "x"), (None, "d", None, 9, "x")], "doc_id long, text string, source string, size int, hash string").selectExpr("*", "1 AS _hash", "2 AS _s", "3 AS doc", "4 AS _turn", "5 AS target")
     got = sorted(map(tuple, mixing.mix(odd).collect()), key=str)
     assert [(r[0], r[2]) for r in got] == [(1, 3), (1, 3), (2, 0), (None, 1)] and all(0 <= r[5] <= 2 * r[2] for r in got)
     assert mixing.mix(odd.limit(0)).collect() == [] and mixing.mixed_documents(odd.limit(0)).collect() == []

@@ -30,8 +30,8 @@ def test_small_cases(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     assert sorted((tuple(r)[:3] for r in simhash.near_duplicates(df).collect()), key=str) == brute(ROWS)
     assert simhash.near_duplicates(df.limit(0)).collect() == []
-    kept = simhash.deduplicated(df.selectExpr("*", "1 AS fp", "2 AS label", "3 AS a"))
-    assert kept.columns == ["doc_id", "text", "fp", "label", "a"]
+    kept = simhash.deduplicated(df.selectExpr("*", "1 AS fp", "2 AS label", "3 AS a", "4 AS _th", "5 AS doc", "6 AS _id"))
+    assert kept.columns == ["doc_id", "text", "fp", "label", "a", "_th", "doc", "_id"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 7, 8, None]
 
 
