@@ -155,14 +155,14 @@ def active_learning_pairs(spark, d):
 
 @query(f"""WITH {FLAT}, cheap AS (SELECT tape, candidate, sum(dist) AS cheap FROM filled WHERE family = 'level' GROUP BY tape, candidate), best AS (SELECT tape, min(cheap) AS best FROM cheap GROUP BY tape),
 c AS (SELECT tape, candidate FROM cheap JOIN best USING (tape) WHERE cheap <= best + 1.0)
-SELECT f.tape, f.candidate, round(sum(f.dist), 7) AS total FROM filled f JOIN c USING (tape, candidate) GROUP BY f.tape, f.candidate""")
+SELECT f.tape, f.candidate, round(sum(f.dist), 9) AS total FROM filled f JOIN c USING (tape, candidate) GROUP BY f.tape, f.candidate""")
 def two_stage_scoring(spark, d):
     """Cheap readings first; only contenders near the best of their tape are scored on all."""
     f = filled(spark, d)
     cheap = f.where("family = 'level'").groupBy("tape", "candidate").agg(F.sum("dist").alias("cheap"))
     best = cheap.groupBy("tape").agg(F.min("cheap").alias("best"))
     near = cheap.join(best, "tape").where(F.col("cheap") <= F.col("best") + 1.0)
-    return f.join(near, ["tape", "candidate"], "left_semi").groupBy("tape", "candidate").agg(F.round(F.sum("dist"), 7).alias("total"))
+    return f.join(near, ["tape", "candidate"], "left_semi").groupBy("tape", "candidate").agg(F.round(F.sum("dist"), 9).alias("total"))
 
 
 @query(f"""WITH {TOTALS}, best AS (SELECT arg_min(candidate, {{'m': round(m, 9), 'c': candidate}}) AS candidate FROM (SELECT candidate, avg(total) AS m FROM totals GROUP BY candidate)),

@@ -67,9 +67,9 @@ def window_delta(spark, d):
     return scoring.deltas(v.readings(spark, d)).select("tape", "candidate", "win", "metric", F.round("delta", 4).alias("delta"))
 
 
-@query(f"WITH {SUMMARY} SELECT tape, candidate, metric, side, round(median, 7) AS median, round(tail, 7) AS tail, round(p95, 7) AS p95, round(top, 7) AS top, n FROM summary")
+@query(f"WITH {SUMMARY} SELECT tape, candidate, metric, side, round(median, 9) AS median, round(tail, 9) AS tail, round(p95, 9) AS p95, round(top, 9) AS top, n FROM summary")
 def scorecard_aggregate(spark, d):
-    return summary(spark, d).select("tape", "candidate", "metric", "side", *[F.round(c, 7).alias(c) for c in ("median", "tail", "p95", "top")], "n")
+    return summary(spark, d).select("tape", "candidate", "metric", "side", *[F.round(c, 9).alias(c) for c in ("median", "tail", "p95", "top")], "n")
 
 
 VERDICTS = SUMMARY + f""", gates(gate, metric, side, stat, op, threshold, severity) AS (VALUES {values(GATES)}),
@@ -80,9 +80,9 @@ verdicts AS (
   FROM cands c CROSS JOIN gates g LEFT JOIN summary s ON s.tape = c.tape AND s.candidate = c.candidate AND s.metric = g.metric AND s.side = g.side)"""
 
 
-@query(f"WITH {VERDICTS} SELECT tape, candidate, gate, severity, round(value, 7) AS value, threshold, status FROM verdicts")
+@query(f"WITH {VERDICTS} SELECT tape, candidate, gate, severity, round(value, 9) AS value, threshold, status FROM verdicts")
 def gate_verdicts(spark, d):
-    return scoring.verdicts(summary(spark, d), gates(spark)).withColumn("value", F.round("value", 7))
+    return scoring.verdicts(summary(spark, d), gates(spark)).withColumn("value", F.round("value", 9))
 
 
 @query(f"""WITH {VERDICTS} SELECT tape, candidate, count_if(status = 'failed' AND severity = 'hard') AS hard_failures, count_if(status = 'failed' AND severity = 'soft') AS flags,
@@ -125,14 +125,14 @@ def filled(spark, d):
     return scoring.fill_missing(lost(scoring.distances(scoring.flattened(summary(spark, d)), grid(spark))))
 
 
-@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(value, 7) AS value FROM flat")
+@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(value, 9) AS value FROM flat")
 def map_flatten(spark, d):
-    return scoring.flattened(summary(spark, d)).withColumn("value", F.round("value", 7))
+    return scoring.flattened(summary(spark, d)).withColumn("value", F.round("value", 9))
 
 
-@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(raw, 7) AS raw, round(band, 7) AS band, round(dist, 7) AS dist FROM filled")
+@query(f"WITH {FLAT} SELECT tape, candidate, reading, round(raw, 9) AS raw, round(band, 9) AS band, round(dist, 9) AS dist FROM filled")
 def two_sided_distance(spark, d):
-    return filled(spark, d).select("tape", "candidate", "reading", *[F.round(c, 7).alias(c) for c in ("raw", "band", "dist")])
+    return filled(spark, d).select("tape", "candidate", "reading", *[F.round(c, 9).alias(c) for c in ("raw", "band", "dist")])
 
 
 POINTS = FLAT + """, sums AS (SELECT a.tape, a.candidate AS a, b.candidate AS b, a.family, sum(a.dist - b.dist) AS gap, sum(greatest(a.band, b.band)) AS band
@@ -204,19 +204,19 @@ def weighted_mean_rank(spark, d):
     return r.groupBy("candidate").agg(F.round(F.sum((F.col("tape") + 1) * F.col("rank")) / F.sum(F.col("tape") + 1), 6).alias("mean_rank"))
 
 
-@query(f"WITH {TOTALS} SELECT tape, arg_min(candidate, {{'total': total, 'candidate': candidate}}) AS best, round(min(total), 7) AS total FROM totals GROUP BY tape")
+@query(f"WITH {TOTALS} SELECT tape, arg_min(candidate, {{'total': total, 'candidate': candidate}}) AS best, round(min(total), 9) AS total FROM totals GROUP BY tape")
 def best_per_tape(spark, d):
-    return totals(spark, d).groupBy("tape").agg(F.min_by("candidate", F.struct("total", "candidate")).alias("best"), F.round(F.min("total"), 7).alias("total"))
+    return totals(spark, d).groupBy("tape").agg(F.min_by("candidate", F.struct("total", "candidate")).alias("best"), F.round(F.min("total"), 9).alias("total"))
 
 
 @query(f"""WITH {TOTALS}, means AS (SELECT candidate, avg(total) AS mean FROM totals GROUP BY candidate), one AS (SELECT min(mean) AS single FROM means), per AS (SELECT avg(m) AS oracle FROM (SELECT min(total) AS m FROM totals GROUP BY tape))
-SELECT round(single, 7) AS single, round(oracle, 7) AS oracle, round(single - oracle, 7) AS gain FROM one, per""")
+SELECT round(single, 9) AS single, round(oracle, 9) AS oracle, round(single - oracle, 9) AS gain FROM one, per""")
 def oracle_gain(spark, d):
     """What choosing the best candidate for each tape would gain over the best single one."""
     t = totals(spark, d)
     one = t.groupBy("candidate").agg(F.avg("total").alias("m")).agg(F.min("m").alias("single"))
     per = t.groupBy("tape").agg(F.min("total").alias("m")).agg(F.avg("m").alias("oracle"))
-    return one.join(F.broadcast(per)).select(F.round("single", 7).alias("single"), F.round("oracle", 7).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 7).alias("gain"))
+    return one.join(F.broadcast(per)).select(F.round("single", 9).alias("single"), F.round("oracle", 9).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 9).alias("gain"))
 
 
 MOVES = FLAT + """, moves AS (SELECT c.tape, c.candidate, c.reading, c.ix, c.raw AS mine, i.raw AS theirs, c.raw - i.raw AS move FROM dist c JOIN dist i ON i.tape = c.tape AND i.reading = c.reading AND i.candidate = '5-LOW' WHERE c.candidate <> '5-LOW')"""
