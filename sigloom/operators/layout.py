@@ -8,8 +8,6 @@ windows of bounded reach see all they need inside their block.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -107,7 +105,3 @@ def merged(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
     firsts = numbered(seen.where(F.coalesce(opens, F.lit(True))).select(*keys, "start", "_i"), keys, ["_i"], bucket, "_k").withColumnRenamed("_i", "_i0")
     lasts = numbered(seen.where(F.coalesce(closes, F.lit(True))).select(*keys, "stop", "_i"), keys, ["_i"], bucket, "_k")
     return firsts.join(lasts, [*keys, "_k"]).select(*keys, "start", "stop", (F.col("_i") - F.col("_i0") + 1).alias("parts"))
-
-
-def blocks_of(n: int, size: int) -> int:
-    return math.ceil(n / size)

@@ -77,17 +77,21 @@ def interpolated(points: DataFrame, anchors: DataFrame, key: str, at: str, value
     return near.where("_p").withColumn(value, out).drop("_b", "_t", "_v", "_p", "_before", "_after", "_l", "_r")
 
 
-def count_within(points: DataFrame, events: DataFrame, ident: str, at: str, reach: int) -> DataFrame:
-    """ident, near: how many other events lie within ``reach`` of each point.
+def count_within(points: DataFrame, events: DataFrame, ident: str, at: str, reach: int, cell: int) -> DataFrame:
+    """ident, near: how many events lie within ``reach`` of each point (points that aren't events themselves).
 
-    Each point looks into its own time cell and both neighbours; events are counted per cell and offset first, so that
-    crowded cells send sums.
+    No pair is ever made: the count is the events up to the end of a point's reach less those before its beginning, and
+    both are running counts in two levels, over time cells (one row a cell) and inside a cell.
     """
-    cell = F.floor(F.col(at) / reach)
-    e = events.select(F.col(ident).alias("_e"), F.col(at).alias("_at"), cell.alias("_c"))
-    p = points.select(ident, at, F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
-    hit = (F.abs(F.col(at) - F.col("_at")) <= reach) & (F.col("_e") != F.col(ident))
-    return p.join(e, "_c", "left").groupBy(ident).agg(F.count_if(hit).alias("near"))
+    e = events.select(F.lit(None).cast("long").alias(ident), F.col(at).alias("_at"), F.lit(0).alias("_sign"), F.lit(1).alias("_one"))
+    ends = F.array(F.struct((F.col(at) + reach).alias("_at"), F.lit(1).alias("_sign")), F.struct((F.col(at) - reach - 1).alias("_at"), F.lit(-1).alias("_sign")))
+    p = points.select(ident, F.explode(ends).alias("_e")).select(ident, "_e.*", F.lit(0).alias("_one"))
+    both = e.unionByName(p).withColumn("_b", F.floor(F.col("_at") / cell))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy("_b").agg(F.sum("_one").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_b").orderBy("_at", F.desc("_one")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = both.join(cells, "_b").withColumn("_upto", F.col("_start") + F.sum("_one").over(inside))
+    return upto.where(F.col("_sign") != 0).groupBy(ident).agg(F.sum(F.col("_sign") * F.col("_upto")).alias("near"))
 
 
 def rises(df: DataFrame, keys: list[str], ix: str, value: str) -> DataFrame:

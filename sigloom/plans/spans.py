@@ -233,9 +233,9 @@ def asof_interpolate(spark, d):
 @query("""SELECT e.event_id, count(b.event_id) AS near FROM events e LEFT JOIN events b ON b.event_type = 'error' AND b.ts BETWEEN e.ts - INTERVAL '30 minutes' AND e.ts + INTERVAL '30 minutes' AND b.event_id <> e.event_id
 WHERE e.event_type = 'purchase' GROUP BY e.event_id""")
 def interval_count(spark, d):
-    """Errors within half an hour of each purchase: a range join by time cells."""
+    """Errors within half an hour of each purchase."""
     e = v.table(spark, d, "events").select("event_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("us"))
-    return spans.count_within(e.where(F.col("event_type") == "purchase"), e.where(F.col("event_type") == "error"), "event_id", "us", 1_800_000_000)
+    return spans.count_within(e.where(F.col("event_type") == "purchase"), e.where(F.col("event_type") == "error"), "event_id", "us", 1_800_000_000, 3_600_000_000)
 
 
 @query(f"""WITH {v.LONG}, w AS (SELECT track, ix // 40 AS k, sqrt(avg(x * x)) AS level FROM signal_long GROUP BY track, ix // 40 HAVING count(*) = 40)

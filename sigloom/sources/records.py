@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ def append_new(fresh: DataFrame, path: str, key: str = "id") -> int:
     spark = fresh.sparkSession
     try:
         there = spark.read.json(path).select(key)
-    except Exception:  # nothing written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         there = fresh.select(key).limit(0)
     new = fresh.dropDuplicates([key]).join(there, key, "left_anti").persist()
     n = new.count()

@@ -81,8 +81,6 @@ class WavReader(DataSourceReader):
         return out or [Run("", 0, 0)]
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.types import StructType  # noqa: F401
-
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.string()]
         names = ["track", "channel", "block", "start", "rate", "data", "error"]
 
