@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.levels import bark, quiet_threshold_db
+from sigloom.functions.levels import bark, power_spectrum, quiet_threshold_db
 from sigloom.operators import layout, transforms
 from sigloom.plans import views as v
 from sigloom.plans.scoring import FLAT, TOTALS, filled, totals
 from sigloom.plans.signal_work import WELCH, welch
+from sigloom.plans.signals import spectra
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -201,3 +202,45 @@ def ordering_check(spark, d):
     h = summary(spark, d).where("metric = 'noise' AND side = 'delta'").groupBy("tape", "candidate").agg(F.count_if(F.col("median") > 13.5).alias("hard"))
     w = Window.partitionBy("tape").orderBy("hard", F.round("score", 6), "candidate")
     return s.join(h, ["tape", "candidate"]).select("tape", "candidate", "hard", F.row_number().over(w).alias("place"))
+
+
+@query(f"""WITH {v.POWER64}, a AS (SELECT track, p, list_position(p[2:32], list_max(p[2:32])) + 1 AS k FROM power64),
+f AS (SELECT track, (k - 1) + 0.5 * (sqrt(p[k - 1]) - sqrt(p[k + 1])) / (sqrt(p[k - 1]) - 2 * sqrt(p[k]) + sqrt(p[k + 1]) - 1e-12) AS hz, p[k] / (list_avg(p[2:32]) + 1e-12) AS prominence FROM a)
+SELECT track, count(*) AS frames, round(stddev_pop(hz) / avg(hz), 7) AS deviation, stddev_pop(hz) / avg(hz) > 0.003 AS drifts FROM f WHERE prominence > 4 GROUP BY track HAVING count(*) >= 8""")
+def speed_drift(spark, d):
+    """Relative deviation of the strongest line's refined position over frames where it is prominent."""
+    inner = F.slice("p", 2, 31)
+    a = spectra(spark, d).withColumn("k", (F.array_position(inner, F.array_max(inner)) + 1).cast("int"))
+    at = lambda i: F.sqrt(F.element_at("p", F.col("k") + i))
+    mean = F.aggregate(inner, F.lit(0.0), lambda s, x: s + x) / 31
+    hz = (F.col("k") - 1) + 0.5 * (at(-1) - at(1)) / (at(-1) - 2 * at(0) + at(1) - 1e-12)
+    f = a.select("track", hz.alias("hz"), (F.element_at("p", F.col("k")) / (mean + 1e-12)).alias("prominence")).where(F.col("prominence") > 4)
+    g = f.groupBy("track").agg(F.count("*").alias("frames"), (F.stddev_pop("hz") / F.avg("hz")).alias("d")).where(F.col("frames") >= 8)
+    return g.select("track", "frames", F.round("d", 7).alias("deviation"), (F.col("d") > 0.003).alias("drifts"))
+
+
+@query(f"""WITH {v.POWER64}, e AS (SELECT track, unnest(range(1, 32)) AS bin, unnest(p[2:32]) AS p, list_avg(p[2:32]) AS mean FROM power64)
+SELECT track, bin::INTEGER AS bin, round(avg((p > 2 * mean)::INTEGER), 6) AS persistence FROM e GROUP BY track, bin HAVING avg((p > 2 * mean)::INTEGER) >= 0.2""")
+def persistent_tones(spark, d):
+    """Bins that stand above twice their frame's mean in a fifth of the frames or more."""
+    mean = F.aggregate(F.slice("p", 2, 31), F.lit(0.0), lambda s, x: s + x) / 31
+    e = spectra(spark, d).select("track", mean.alias("mean"), F.posexplode(F.slice("p", 2, 31)).alias("bin", "p"))
+    g = e.groupBy("track", (F.col("bin") + 1).alias("bin")).agg(F.avg((F.col("p") > 2 * F.col("mean")).cast("int")).alias("share"))
+    return g.where(F.col("share") >= 0.2).select("track", "bin", F.round("share", 6).alias("persistence"))
+
+
+@query(f"""WITH {WELCH.replace("ps AS (SELECT track,", "ps AS (SELECT track, fix,")}, fe AS (SELECT track, fix, sum(p) AS e FROM ps GROUP BY track, fix),
+q AS (SELECT track, quantile_cont(e, 0.2) AS lo, quantile_cont(e, 0.7) AS hi FROM fe GROUP BY track),
+b AS (SELECT track, bin, ln(avg(p) FILTER (WHERE e <= lo) + 1e-12) AS quiet, ln(avg(p) FILTER (WHERE e >= hi) + 1e-12) AS loud FROM ps JOIN fe USING (track, fix) JOIN q USING (track) GROUP BY track, bin)
+SELECT track, round(corr(quiet, loud), 6) AS similarity FROM b GROUP BY track""")
+def probe_similarity(spark, d):
+    """Correlation of the logarithmic mean spectra of a track's quietest and loudest frames."""
+    x = F.col("x") * (0.5 - 0.5 * F.cos(2 * F.pi() * (F.col("ix") % 32) / 32))
+    g = v.signal_long(spark, d).groupBy("track", F.floor(F.col("ix") / 32).alias("fix")).agg(F.array_sort(F.collect_list(F.struct("ix", x.alias("x")))).alias("s"))
+    f = g.where(F.size("s") == 32).select("track", power_spectrum(F.transform("s", lambda s: s["x"]), 32).alias("p"))
+    f = f.withColumn("e", F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
+    q = layout.quantiles(f, ["track"], "e", lo=0.2, hi=0.7)
+    b = f.join(q, "track").select("track", "e", "lo", "hi", F.posexplode("p").alias("bin", "p")).groupBy("track", "bin")
+    log = lambda c: F.log(F.avg(F.when(c, F.col("p"))) + 1e-12)
+    m = b.agg(log(F.col("e") <= F.col("lo")).alias("quiet"), log(F.col("e") >= F.col("hi")).alias("loud"))
+    return m.groupBy("track").agg(F.round(F.corr("quiet", "loud"), 6).alias("similarity"))
