@@ -9,6 +9,15 @@ from sigloom.functions.levels import finite
 from sigloom.operators import layout
 
 
+def with_each(df: DataFrame, dimension: DataFrame) -> DataFrame:
+    """``df`` with every row of a small dimension (gates, readings of a grid), which becomes a literal list in the plan."""
+    kinds = dict(dimension.dtypes)
+    items = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in dimension.collect()]
+    if not items:
+        return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
+    return df.withColumn("_item", F.explode(F.array(*items))).select(*df.columns, "_item.*")
+
+
 def deltas(readings: DataFrame) -> DataFrame:
     """``readings`` with delta, where both sides are finite."""
     return readings.where(finite(F.col("src")) & finite(F.col("out"))).withColumn("delta", F.col("out") - F.col("src"))
@@ -33,7 +42,7 @@ def summarise(deltas: DataFrame, specs: DataFrame) -> DataFrame:
 
 def verdicts(summary: DataFrame, gates: DataFrame) -> DataFrame:
     """A verdict of every gate on every candidate: passed, failed, or skipped where the reading is missing."""
-    spine = summary.select("tape", "candidate").distinct().join(F.broadcast(gates), how="cross")  # a handful of gates
+    spine = with_each(summary.select("tape", "candidate").distinct(), gates)
     s = spine.join(summary.select("tape", "candidate", "metric", "side", "median", "tail"), ["tape", "candidate", "metric", "side"], "left")
     value = F.when(F.col("stat") == "tail", F.col("tail")).otherwise(F.col("median"))
     s = s.withColumn("value", value)
@@ -60,7 +69,7 @@ def distances(flat: DataFrame, grid: DataFrame) -> DataFrame:
 
     Beyond the dead zone a distance counts in units of the scale; within the tie the band is what noise can explain.
     """
-    spine = flat.select("tape", "candidate").distinct().join(F.broadcast(grid), how="cross")  # a handful of readings
+    spine = with_each(flat.select("tape", "candidate").distinct(), grid)
     s = spine.join(flat, ["tape", "candidate", "reading"], "left")
     off = F.abs(F.col("value") - F.col("target"))
     raw = F.col("weight") * F.greatest(F.lit(0.0), off - F.col("dead_zone")) / F.col("scale")

@@ -172,9 +172,10 @@ SELECT candidate, size, count(*) AS n FROM best, moves WHERE NOT EXISTS (SELECT
 def neighbour_proposals(spark, d):
     """Grid neighbours, one step either way, of settings in use that are not in use themselves, for the leader."""
     t = totals(spark, d).groupBy("candidate").agg(F.avg("total").alias("m")).agg(F.min_by("candidate", F.struct(F.round("m", 9), "candidate")).alias("candidate"))
+    leader = t.head()["candidate"]
     i = v.table(spark, d, "part").where("p_brand = 'Brand#1'").select(F.col("p_size").alias("size")).distinct()
     moves = i.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size") + 1))).where(F.col("size").between(1, 50))
-    return moves.join(i, "size", "left_anti").join(F.broadcast(t)).groupBy("candidate", "size").agg(F.count("*").alias("n"))
+    return moves.join(i, "size", "left_anti").groupBy(F.lit(leader).alias("candidate"), "size").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TOTALS}, r AS (SELECT tape, candidate, rank() OVER (PARTITION BY tape ORDER BY round(total, 3)) AS place FROM totals), i AS (SELECT tape, total AS theirs FROM totals WHERE candidate = '5-LOW')

@@ -216,7 +216,8 @@ def oracle_gain(spark, d):
     t = totals(spark, d)
     one = t.groupBy("candidate").agg(F.avg("total").alias("m")).agg(F.min("m").alias("single"))
     per = t.groupBy("tape").agg(F.min("total").alias("m")).agg(F.avg("m").alias("oracle"))
-    return one.join(F.broadcast(per)).select(F.round("single", 9).alias("single"), F.round("oracle", 9).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 9).alias("gain"))
+    both = one.withColumn("oracle", F.lit(None).cast("double")).unionByName(per.withColumn("single", F.lit(None).cast("double"))).agg(F.max("single").alias("single"), F.max("oracle").alias("oracle"))
+    return both.select(F.round("single", 9).alias("single"), F.round("oracle", 9).alias("oracle"), F.round(F.col("single") - F.col("oracle"), 9).alias("gain"))
 
 
 MOVES = FLAT + """, moves AS (SELECT c.tape, c.candidate, c.reading, c.ix, c.raw AS mine, i.raw AS theirs, c.raw - i.raw AS move FROM dist c JOIN dist i ON i.tape = c.tape AND i.reading = c.reading AND i.candidate = '5-LOW' WHERE c.candidate <> '5-LOW')"""
