@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .blocks import best, usable
 
 PROJECTIONS, MISS, SEED = 64, 0.1, 11
-#: Rows of a block (2^16 at most, for ranks of 16 bits), and how many of the most colliding rows the first look
-#: verifies (at least ten times k).
+#: Rows of a block (larger ones, which a hash may deal, take ranks of 32 bits instead of 16), and how many of the most
+#: colliding rows the first look verifies (at least ten times k).
 BLOCK_ROWS, FIRST_LOOK = 1 << 16, 256
 
 
@@ -41,8 +41,6 @@ class Index:
     """Sorted projections of one block."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, lines: int = PROJECTIONS, seed: int = SEED):
-        if len(ids) > 1 << 16:
-            raise ValueError("a block has 65,536 rows at most")
         self.ids, self.rows, self.lines = ids, rows, lines
         self.thresholds: dict[float, int] = {}
         self.scale = np.abs(rows).max() or 1.0  # so that squares neither overflow nor vanish
@@ -55,8 +53,8 @@ class Index:
         self.order = np.ascontiguousarray(np.argsort(spots, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.take_along_axis(spots.T, self.order.astype(np.int64), axis=1))
 
-        self.ranks = np.empty(self.order.shape, np.uint16)
-        np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.ranks = np.empty(self.order.shape, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(len(ids), dtype=self.ranks.dtype)[None, :], axis=1)
 
     def _counts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """On how many lines each row lies in the window [lo, hi) of the line's sorted array."""
@@ -67,7 +65,7 @@ class Index:
         full = int((hi - lo >= n).sum())  # wide windows: by the rows' places in the arrays, which costs no scattered reads
         some = hi - lo < n
         place = self.ranks[some] if full else self.ranks
-        inside = place - lo[some].astype(np.uint16)[:, None] < (hi - lo)[some].astype(np.uint16)[:, None]
+        inside = place - lo[some].astype(place.dtype)[:, None] < (hi - lo)[some].astype(place.dtype)[:, None]
         return inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if self.lines < 256 else np.int32) + np.int64(full)
 
     def least(self, miss: float) -> int:
@@ -144,4 +142,5 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = 20, blo
             got, scores, _ = index.search(q, v, k, miss)
             yield q, got, scores
 
-    return best(usable(vectors, True), F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, block_rows, kernel, "double")
+    mean = max(1, block_rows - 4 * math.isqrt(block_rows))  # blocks dealt by a hash scatter by the root of their size
+    return best(usable(vectors, True), F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, mean, kernel, "double")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sigloom.llm import bitsliced, blocks, collision
 
 NAN, INF = math.nan, math.inf
@@ -105,3 +106,18 @@ def test_threshold_bounds_the_chance_to_miss():
     rng = np.random.default_rng(2)
     hits = (np.abs(rng.standard_normal((4000, 64))) < 1).sum(axis=1)
     assert (hits < collision._threshold(64, 0.05)).mean() < 0.06
+
+
+def test_blocks_just_under_a_multiple_of_the_block_rows(spark):
+    n = 2 * collision.BLOCK_ROWS - 2
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.rand(s) - 0.5 for s in range(4)]).alias("embedding")).localCheckpoint()
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    query = F.col("vec_id").isin(0, 20)
+    for rows in (collision.BLOCK_ROWS, 2 * n):  # in the second all rows are in one block larger than 2^16
+        got = collision.nearest(df, query, k=10, block_rows=rows).collect()
+        hits = 0
+        for q in (0, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:10].tolist()))
+        assert len(got) == 20 and hits >= 18
