@@ -13,6 +13,8 @@ Components come from label propagation with pointer jumping on the linked nodes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from . import shingles
 from .common import cut
 
 LINK_BITS = 2
@@ -129,15 +132,59 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
+def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label) for every set of ``nodes`` (name, b0, b1, bands) that is linked: label is the least name of its component.
+
+    Sets that share a band key and have a true similarity of 0.8 or more link.  First the sets of a key are compared with
+    the key's least one alone, so that a large group of near copies takes as many comparisons as it has members; then, in
+    keys that still hold several components, all pairs across components.  ``sets_of`` gives name and set of the names
+    it gets.
+    """
+    keys = nodes.select("name", "b0", "b1", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1").select("key", "first")
+    held = cut(keys.join(shared, "key"))
+    sets = cut(sets_of(held.select("name").distinct()))
+
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) <= shingles.DIFFERENT_BITS
+
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
+
+    stars = held.where(F.col("name") != F.col("first")).select(F.col("first").alias("a"), F.col("name").alias("b")).distinct()
+    linked = cut(shingles.similar(stars, sets))
+    labels = components(both_ways(linked))
+
+    at = held.join(labels, held["name"] == labels["node"], "left").select("key", "name", "first", "b0", "b1", F.coalesce("label", "name").alias("label"))
+    firsts = at.where(F.col("name") == F.col("first")).select("key", F.col("label").alias("main"))
+    at = cut(at.join(firsts, "key").select("key", "name", "first", "b0", "b1", "label", "main"))
+    apart = at.where(F.col("label") != F.col("main"))  # of two components in a key one at least isn't the main one
+    other = F.col("y.label") != F.col("x.label")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.name") < F.col("y.name"))
+    untried = (F.col("x.name") != F.col("x.first")) & (F.col("y.name") != F.col("y.first"))
+    across = apart.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & other & once & untried & near("x", "y"))
+    across = across.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+    return components(both_ways(linked.unionAll(shingles.similar(across, sets))))
+
+
+def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the least doc_id (null last).
 
+    Near copies have sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more (wordless texts are alike).
     Of rows that repeat that id the one with the least text hash stays, of exact repeats one.
     """
-    prints = docs.select(fingerprint_column("text", words).alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).alias("row"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("row")))  # copies with one fingerprint are one from here on
-    of_node = grouped(nodes.select("fp", F.col("row._id").alias("least")))
-    first = nodes.join(of_node, "fp").groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
+    prints = docs.select(shingles.sketched("text", words).alias("s"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).alias("row"))
+    nodes = cut(prints.groupBy("s.name").agg(F.min("row").alias("row"), F.first("s").alias("s")))  # equal sets are one from here on
+    texts = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_tt"), "text")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        wanted = nodes.select("name", "row._id", "row._th").join(names, "name")
+        found = texts.join(wanted, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_tt") == F.col("_th")))
+        return found.dropDuplicates(["name"]).select("name", shingles.shingle_column("text", words).alias("set"))
+
+    labels = similar_groups(nodes.select("name", "s.b0", "s.b1", "s.bands"), sets_of)
+    grouped_rows = nodes.join(labels, nodes["name"] == labels["node"], "left").select("row", F.coalesce("label", "name").alias("label"))
+    first = grouped_rows.groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"))  # whatever names docs has
     kept = rows.join(first, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")))
     return kept.dropDuplicates(["_id", "_of"]).select("doc.*")
