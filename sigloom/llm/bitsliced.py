@@ -16,12 +16,25 @@ from pyspark.sql import functions as F
 from .blocks import best, usable
 
 BLOCK_ROWS = 65536
-#: Largest quantised component; beyond it 64 products might not fit a long.
-LARGEST = 1 << 28
+#: Integers below this (in absolute value) are kept and added up as longs, larger ones as Python's integers.
+WIDE = 1 << 62
+
+
+def quantised(rows: np.ndarray, steps: int) -> np.ndarray:
+    """floor(steps * x) of every component, as longs or, where one is too large for that, as Python's integers."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(steps * rows)
+    if (np.abs(whole) < WIDE / 2).all():
+        return whole.astype(np.int64)
+    exact = np.where(np.isfinite(whole), whole, 0.0).astype(object)
+    out = np.vectorize(int, otypes=[object])(exact)
+    for i, j in zip(*np.nonzero(~np.isfinite(whole)), strict=True):
+        out[i, j] = steps * int(rows[i, j])  # doubles that large are whole numbers
+    return out
 
 
 class SlicedIndex:
-    """Bitmaps of one block: ``ids`` ascending, ``rows`` their integer components."""
+    """Bitmaps of one block: ``ids`` ascending, ``rows`` their integer components (as many slices as they are wide)."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
@@ -75,10 +88,14 @@ class SlicedIndex:
         return out
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k rows with the highest scores (all, if fewer), the query's own row left out."""
+        """As ``find``, with ids in place of places."""
+        places, scores = self.find(query_id, query, k)
+        return self.ids[places], scores
+
+    def find(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the block, scores) of the k rows with the highest scores (all, if fewer), the query's own id left out."""
         open_ = self.all.copy()
-        own = int(np.searchsorted(self.ids, query_id))
-        if own < len(self.ids) and self.ids[own] == query_id:
+        for own in range(*np.searchsorted(self.ids, [query_id, query_id + 1]).tolist()):
             open_[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
         sure, need = np.zeros(self.words, np.uint64), k
         for s in reversed(self.score_slices(query)):
@@ -91,24 +108,35 @@ class SlicedIndex:
                 need -= n
                 open_ = open_ & ~s
         where = lambda bits: np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")[: len(self.ids)])
-        rows = np.concatenate([where(sure), where(open_)[:need]])
-        return self.ids[rows], self.rows[rows] @ query
+        places = np.concatenate([where(sure), where(open_)[:need]])
+        return places, self._scores(places, query)
+
+    def _scores(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        rows = self.rows[places]
+        bound = sum(int(w) * int(m) for w, m in zip(np.abs(query).tolist(), np.abs(rows).max(axis=0).tolist(), strict=True)) if len(places) else 0
+        if bound < WIDE:
+            return (rows @ query).astype(np.int64)
+        scores = [sum(int(a) * int(b) for a, b in zip(r, query.tolist(), strict=True)) for r in rows.tolist()]
+        if any(abs(s) >= 1 << 63 for s in scores):
+            raise OverflowError("the score of a row among the best does not fit a long")
+        return np.array(scores, dtype=np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 20, steps: int = 64, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k rows with the highest integer inner product.
 
     A component x counts as floor(``steps`` * x).  Queries are the rows with a vec_id divisible by 20 unless
-    ``is_query`` says otherwise; candidates all other rows (with another id).  Rows with a null id or a vector that is
-    null, empty, not finite or beyond ``LARGEST`` take no part; vectors of different lengths don't meet.  Ties go to the
-    smaller vec_id; an empty table gives an empty result.
+    ``is_query`` says otherwise; candidates all rows with another id.  Rows with a null id or a vector that is null, empty
+    or not finite take no part; vectors of different lengths don't meet.  Of rows that repeat an id each is a candidate
+    (exact repeats too), each different vector a query of its own.  Components may be of any size; only a score among the
+    best that doesn't fit a long ends the query with an error.  Ties go to the smaller vec_id; an empty table gives an
+    empty result.
     """
-    whole = usable(vectors, False).withColumn("v", F.transform("v", lambda x: F.floor(x * steps)))
-    whole = whole.where(F.forall("v", lambda x: F.abs(x) <= LARGEST)).withColumn("v", F.col("v").cast("array<long>"))
 
-    def kernel(ids, rows, query_ids, queries):
-        index = SlicedIndex(ids, rows)
-        for q, v in zip(query_ids.tolist(), queries, strict=True):
-            yield (q, *index.top(q, v, k))
+    def ask(index: SlicedIndex, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return index.find(query_id, quantised(query[None, :], steps)[0], k)
 
-    return best(whole, F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, block_rows, kernel, "long")
+    return best(
+        usable(vectors, False), F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, block_rows,
+        lambda ids, rows: SlicedIndex(ids, quantised(rows, steps)), ask, "long",
+    )

@@ -74,10 +74,15 @@ class Index:
         return self.thresholds[miss]
 
     def search(self, query_id: int, query: np.ndarray, k: int, miss: float = MISS) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, number of rows verified): at least the k nearest, and with them the others that may tie."""
+        """As ``find``, with ids in place of places."""
+        places, scores, n_seen = self.find(query_id, query, k, miss)
+        return self.ids[places], scores, n_seen
+
+    def find(self, query_id: int, query: np.ndarray, k: int, miss: float = MISS) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places in the block, scores, number of rows verified): at least the k nearest, and with them the others that
+        may tie; rows with the query's own id are left out."""
         n = len(self.ids)
-        own = np.searchsorted(self.ids, query_id)
-        own = own if own < n and self.ids[own] == query_id else -1
+        own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
         q = query / np.abs(query).max()
         q = q / math.sqrt(float(q @ q)) * self.length
         at, least = q @ self.dirs[:-1], self.least(miss)
@@ -96,19 +101,16 @@ class Index:
                 return math.inf
             return math.sqrt(max(0.0, 2 * self.length**2 - 2 * float(np.partition(ok, len(ok) - k)[len(ok) - k])))
 
-        if own >= 0:
-            seen[own] = True  # never verified: its place stays at minus infinity
-        if n > FIRST_LOOK:
-            mid = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(self.lines)])
-            counts = self._counts(np.maximum(mid - n // 32, 0), np.minimum(mid + n // 32, n))
-            first = max(FIRST_LOOK, 10 * k)
-            verify_now = np.argpartition(counts, n - min(first, n))[n - min(first, n) :]
-            verify(verify_now[~seen[verify_now]])
-            radius = 0.92 * kth()
-        else:
-            radius = math.inf
+        seen[own] = True  # never verified: their places stay at minus infinity
+        mid = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(self.lines)])
+        reach = max(n // 32, 1)
+        counts = self._counts(np.maximum(mid - reach, 0), np.minimum(mid + reach, n))
+        first = min(max(FIRST_LOOK, 10 * k), n)
+        look = np.sort(np.argpartition(counts, n - first)[n - first :])
+        verify(look[~seen[look]])
+        radius = 0.92 * kth()
         while True:
-            if math.isinf(radius):
+            if math.isinf(radius):  # fewer than k rows verified: the window is the whole line
                 verify(np.flatnonzero(~seen))
                 break
             lo = np.array([np.searchsorted(s, x - radius) for s, x in zip(self.sorted, at, strict=True)])
@@ -118,29 +120,26 @@ class Index:
             if far <= radius * (1 + 1e-6):
                 break
             radius = far
-        if own >= 0:
-            near[own] = -np.inf
+        near[own] = -np.inf
         n_seen = int(seen.sum())
         good = np.flatnonzero(np.isfinite(near))
         if len(good) > k:
             edge = np.partition(near[good], len(good) - k)[len(good) - k]
             good = good[near[good] >= edge - 2e-6 * self.length**2]
-        return self.ids[good], (self.rows[good] * query).sum(axis=1), n_seen  # row by row alike, so that equal rows tie
+        return good, (self.rows[good] * query).sum(axis=1), n_seen  # row by row alike, so that equal rows tie
 
 
 def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = 20, block_rows: int = BLOCK_ROWS, lines: int = PROJECTIONS, miss: float = MISS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest found by inner product, in double precision.
 
-    Queries are the rows with a vec_id divisible by 20 unless ``is_query`` says otherwise; candidates all other rows
-    (with another id).  Rows with a null id or a vector that is null, empty, zero or not finite take no part; vectors of
-    different lengths don't meet.  Ties go to the smaller vec_id; an empty table gives an empty result.
+    Queries are the rows with a vec_id divisible by 20 unless ``is_query`` says otherwise; candidates all rows with another
+    id.  Rows with a null id or a vector that is null, empty, zero or not finite take no part; vectors of different
+    lengths don't meet.  Of rows that repeat an id each is a candidate (exact repeats too), each different vector a query
+    of its own.  Ties go to the smaller vec_id; an empty table gives an empty result.  Very long vectors make blocks of
+    fewer rows.
     """
-
-    def kernel(ids, rows, query_ids, queries):
-        index = Index(ids, rows, lines)
-        for q, v in zip(query_ids.tolist(), queries, strict=True):
-            got, scores, _ = index.search(q, v, k, miss)
-            yield q, got, scores
-
     mean = max(1, block_rows - 4 * math.isqrt(block_rows))  # blocks dealt by a hash scatter by the root of their size
-    return best(usable(vectors, True), F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, mean, kernel, "double")
+    return best(
+        usable(vectors, True), F.col("vec_id") % 20 == 0 if is_query is None else is_query, k, mean,
+        lambda ids, rows: Index(ids, rows, lines), lambda index, q, v: index.find(q, v, k, miss)[:2], "double",
+    )

@@ -102,14 +102,15 @@ def op4_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(floor(64 * x::DOUBLE)) > 268435456)) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (SELECT DISTINCT vec_id, embedding, v FROM whole WHERE vec_id % 20 = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+  SELECT q.vec_id AS query_id, q.embedding AS asks, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM asked q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, asks ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT * FROM ranked WHERE rank <= 20
 """
 

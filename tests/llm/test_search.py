@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,13 +17,11 @@ def odd(spark):
 
 
 def brute(rows, score, k, zero):
-    ok = {}
-    for i, v in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: str(r)):
-        if all(x is not None and math.isfinite(x) for x in v) and (zero or any(v)):
-            ok[i] = min(ok.get(i, v), v)
+    """Every row is a candidate; of rows that repeat an id each different vector asks."""
+    ok = [(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v))]
     out = []
-    for q in (i for i in ok if i % 20 == 0):
-        c = sorted(((-score(ok[q], ok[i]), i) for i in ok if i != q and len(ok[i]) == len(ok[q])))[:k]
+    for q, v in {(i, v) for i, v in ok if i % 20 == 0}:
+        c = sorted((-score(v, w), i) for i, w in ok if i != q and len(w) == len(v))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(c)]
     return sorted(out)
 
@@ -46,7 +45,7 @@ def test_blocks_do_not_change_the_exact_search(spark, sf, monkeypatch):
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute(rows, quantised, 20, True)
     assert sorted(map(tuple, bitsliced.top_k(df).collect())) == want
-    monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
+    monkeypatch.setattr(blocks, "SHARE_ROWS", 3)
     assert sorted(map(tuple, bitsliced.top_k(df, block_rows=60).collect())) == want
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # several partitions, each with some of the blocks
     try:
@@ -110,7 +109,7 @@ def test_threshold_bounds_the_chance_to_miss():
 
 def test_blocks_just_under_a_multiple_of_the_block_rows(spark):
     n = 2 * collision.BLOCK_ROWS - 2
-    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.rand(s) - 0.5 for s in range(4)]).alias("embedding")).localCheckpoint()
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.rand(s) - 0.5 for s in range(4)]).alias("embedding")).checkpoint()
     x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
     query = F.col("vec_id").isin(0, 20)
     for rows in (collision.BLOCK_ROWS, 2 * n):  # in the second all rows are in one block larger than 2^16
@@ -121,3 +120,53 @@ def test_blocks_just_under_a_multiple_of_the_block_rows(spark):
             s[q] = -np.inf
             hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:10].tolist()))
         assert len(got) == 20 and hits >= 18
+
+
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in np.round(rng.standard_normal(3), 2)]) for i in rng.integers(0, 60, 300)] + [(7, [1.0, 1.0, 1.0])] * 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for search, score, zero in ((bitsliced.top_k, quantised, True), (collision.nearest, inner, False)):
+        for size in (65536, 40):
+            got = sorted((*r[:3], round(r[3], 9)) for r in search(df, k=6, block_rows=size).collect())
+            want = sorted((*r[:3], round(r[3], 9)) for r in brute(rows, score, 6, zero))
+            assert len(got) == len(want)
+            both = Counter((r[0], *r[2:]) for r in got) & Counter((r[0], *r[2:]) for r in want)
+            assert got == want if zero else both.total() >= 0.9 * len(want)
+
+
+def test_large_components(spark):
+    probe = [(0, [5e6, 1.0]), (20, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [6e6, 1.0])]
+    wide = [(40 * i, [float(2**i), 1.0, -(2.0**-i)]) for i in range(24)] + [(3, [float(2**24), 0.0, 1.0])]
+    huge = [(0, [1e-9, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [float(2**70), 1.0])]
+    for rows in (probe, wide, huge):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        exact = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) if abs(x) < 1e290 and abs(y) < 1e290 else 64 * int(x) * math.floor(64 * y) if abs(x) >= 1e290 else 64 * int(y) * math.floor(64 * x) for x, y in zip(a, b))
+        assert sorted(map(tuple, bitsliced.top_k(df, k=3).collect())) == brute(rows, exact, 3, True)
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitsliced.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_sql_keeps_repeated_rows(spark):
+    import duckdb
+    from sigloom.llm import queries
+
+    rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [0.5, 0.25]), (20, [0.5, 0.25]), (1, [5e6, 1.0]), (1, [5e6, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    c = duckdb.connect()
+    c.register("embeddings", df.toPandas())
+    assert sorted(map(tuple, bitsliced.top_k(df).collect())) == sorted(c.sql(queries.OP4_SQL).fetchall())
+
+
+def test_blocks_follow_the_length_of_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(200 if i % 3 else 5)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = blocks.usable(df, False)
+
+    def build(ids, m):
+        assert m.size <= 4 * 2048, "a block holds about as many components as it may"
+        return ids, m
+
+    got = blocks.best(vectors, F.col("vec_id") % 20 == 0, 5, 65536, build, lambda b, q, v: (np.flatnonzero(b[0] != q), (b[1] @ v)[b[0] != q]), "double", cells=2048).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r.rank))] == [(q, i) for q, _, i, _ in brute(rows, inner, 5, True)]
