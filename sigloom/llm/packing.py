@@ -12,6 +12,7 @@ document's pieces stay in one shard.  Rows of a shard that aren't full are padde
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,6 +92,29 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+#: White space as the split pattern knows it, and the length of a run from which it is encoded apart.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 4096
+
+
+def encode(enc, text: str, pattern: str = PATTERN, long_run: int = LONG_RUN) -> list[int]:
+    """Ids of one whole text, the same as the encoder's own for it.
+
+    The encoder's regular expression can't look past very long runs of white space (a million spaces end the process), so
+    long runs are cut out where ``PATTERN`` ends a piece anyway: before the run, and before its last character if a
+    word follows (which may take that one in).  Other patterns get the text as it is.
+    """
+    if pattern != PATTERN or len(text) <= long_run:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in re.finditer(f"[{_WHITE}]{{{long_run},}}", text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : stop])
+        at = stop
+    return out + enc.encode_ordinary(text[at:])
+
+
 def pack_shard(docs: list[tuple[int | None, np.ndarray]], row: int) -> Iterator[tuple]:
     """(ids, cumulative lengths, doc ids, doc offsets) of each row that the documents' ids are packed into."""
     pieces = [(d, at, ids[at : at + row]) for d, ids in docs for at in range(0, len(ids), row)]
@@ -105,7 +129,9 @@ def packed(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, end_id: i
     shard and row name a packed row; ids are its n_tokens token ids as little-endian unsigned 16-bit numbers;
     cu_seqlens are the cumulative lengths of its segments from 0 on, position_resets the places where positions start
     again at 0; doc_ids and doc_offsets tell for each segment the document and the place in it.  A null text is packed
-    as an empty one, whose only id is the end id.  Repeated rows and null ids are packed like others.
+    as an empty one, whose only id is the end id.  Repeated rows and null ids are packed like others; texts of any length
+    are packed whole, long runs of white space too; an empty table gives no rows.  Which documents share a row depends on
+    how the table is split into tasks, their ids don't.
     """
     with open(path, "rb") as f:
         ranks = f.read()  # under 1 MB; tasks get the content, not the path
@@ -130,7 +156,7 @@ def packed(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, end_id: i
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(enc.encode_ordinary(t.as_py() or ""), dtype=np.uint16 if end_id < 65536 else np.uint32)
+                ids = np.array(encode(enc, t.as_py() or "", pattern), dtype=np.uint16 if end_id < 65536 else np.uint32)
                 held.append((d, np.append(ids, ids.dtype.type(end_id))))
                 tokens += len(ids) + 1
                 if tokens >= shard_tokens:
@@ -144,13 +170,14 @@ def packed(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, end_id: i
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def write_matrices(rows: DataFrame, path: str, row: int = ROW, pad_id: int = END_ID) -> DataFrame:
-    """Write packed rows as binary records for training, partitioned by nothing and sorted by nothing.
+def padded(rows: DataFrame, row: int = ROW, pad_id: int = END_ID) -> DataFrame:
+    """Packed rows with ``ids`` filled up to ``row`` ids by ``pad_id``: the rows of the id matrix, all of one width."""
+    padding = pad_id.to_bytes(2, "little") * row
+    return rows.withColumn("ids", F.concat("ids", F.substring(F.lit(bytearray(padding)), 1, 2 * row - F.length("ids"))))
 
-    Each row becomes one record: ``row`` ids padded with ``pad_id``; beside it stay cumulative lengths and position
-    resets.  Written by Spark, so a lost executor's files are written again; returns what was written.
-    """
-    padding = (pad_id).to_bytes(2, "little") * row
-    padded = F.concat("ids", F.substring(F.lit(bytearray(padding)), 1, 2 * row - F.length("ids")))
-    rows.withColumn("ids", padded).write.mode("overwrite").parquet(path)
+
+def write_matrices(rows: DataFrame, path: str, row: int = ROW, pad_id: int = END_ID) -> DataFrame:
+    """Write packed rows as binary records for training: matrix rows (see ``padded``), beside them cumulative lengths and
+    position resets.  Written by Spark, so a lost executor's files are written again; returns what was written."""
+    padded(rows, row, pad_id).write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)

@@ -62,7 +62,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.AdditiveModel:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.padded(packing.packed(table(spark, sf_dir, "documents")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

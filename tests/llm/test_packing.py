@@ -84,3 +84,22 @@ def test_rooms_against_a_list():
             assert (got[0] if got else None) == want
             if got:
                 held.remove(want)
+
+
+def test_long_runs_of_white_space_keep_their_ids():
+    enc = packing._encoding(open(packing.RANKS, "rb").read(), packing.PATTERN)
+    rnd = random.Random(5)
+    for _ in range(400):
+        text = "".join(rnd.choice(["a", "Wort ", "'s", "7", "!", "  ", " \n ", "\u3000\u2003 ", "\t" * 9, "\x1f\x1f\x1f", " " * 12, "é"]) for _ in range(rnd.randrange(1, 30)))
+        assert packing.encode(enc, text, long_run=3) == enc.encode_ordinary(text), repr(text)
+    for run in (" " * 300_000, "\n" * 300_000, " \t" * 150_000):  # below what the encoder can take itself
+        for text in (run, "x" + run, run + "x", "a" + run + "!", run + "'s" + run):
+            assert packing.encode(enc, text) == enc.encode_ordinary(text)
+
+
+def test_a_million_spaces(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "end", "a" + " " * 3_000_000 + "b", "word" * 500_000]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    enc = packing._encoding(open(packing.RANKS, "rb").read(), packing.PATTERN)
+    docs = restored(rows)
+    assert all(enc.decode(docs[i][:-1].tolist()) == t for i, t in enumerate(texts))
