@@ -5,7 +5,13 @@ pages (pages that mark their article), mostly negative.  One linear scan finds t
 sum: the content region.  Inside it, elements that are no part of an article (menus, adverts, forms, comments and the
 like) are left out, and the rest is joined block by block.
 
-Every page is read in its own task; only the weights, one number per tag, come from a bounded sample of pages.
+Such an element is known by its name or by a class, id or role that says nothing else: every word of it must be a
+known one ("ad-slot", but not "ad-free" or "share-price"), or labelled pages must have it outside their articles only.
+An element that holds the page's main article, or a form or mixed class around nearly all of the page's words, is
+none of them.
+
+Every page is read in its own task, in time proportional to its length; only the weights, one number per tag, come from
+a bounded sample of pages.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -21,35 +28,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Pages that the weights are learned from at most, in expectation.
-MOST_PAGES = 2000
+#: Pages that the weights are learned from at most, in expectation, and tags and classes that get a weight.
+MOST_PAGES, MOST_KEYS = 2000, 10_000
 #: Elements whose content is never text, elements that are no part of an article, and class or id words that say so.
 SILENT = frozenset("script style noscript template svg math canvas iframe object video audio head title textarea select".split())
 ASIDE = frozenset("nav footer aside form button dialog menu search".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comment comments disqus replies respond share sharing social related recommended widget pagination pager skip disclaimer copyright".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comment comments disqus replies respond share sharing social related recommended widget pagination pager skip disclaimer copyright "
+    "contentinfo complementary".split()
+)
+COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
+#: Words that say nothing beside one of those.
+PLACE_WORDS = frozenset(
+    "area bar block body bottom bottoms box button buttons close col column container content desktop footer form global group head header holder icon icons inner item items left link links list main "
+    "mobile outer page panel post posts primary region right row secondary section site slot slots space strip text thread top unit wrap wrapper".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag of the same kind ends.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+_CAMEL, _APART = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z]+")
+#: What an element's mark is: none, set by its name or class, the same where most of a page may be inside, comments.
+FREE, OFF, WRAPPER, COMMENTS = range(4)
 
 
 @dataclass
 class Weights:
     """What a tag adds to the score (a word adds 1): ``other`` stands for tags that the labelled pages don't have, ``aside``
-    for any tag (and -0.25 for a word) inside elements that are no part of an article, ``bound`` for the ends of a marked one."""
+    for any tag (and -0.25 for a word) inside elements that are no part of an article, ``bound`` for the ends of a marked one.
+    ``classes`` holds class names with a word of such elements that labelled pages have, less than 0 for outside."""
 
     tags: dict[str, float] = field(default_factory=dict)
     other: float = -0.3
     aside: float = -0.1
     bound: float = -10.0
+    classes: dict[str, float] = field(default_factory=dict)
 
     def of(self, kind: str, value: str, aside: bool) -> float:
         if kind == "text":
@@ -59,59 +77,165 @@ class Weights:
         return self.bound if value.lstrip("/") in ("article", "main") else self.tags.get(value, self.other)
 
 
-def _roles(tag: str) -> set[str]:
-    return {w for m in _ROLE.finditer(tag) for v in m.groups() if v for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower())}
+def _names(tag: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Each class, id and role name of a tag (lower case) with its words."""
+    out = []
+    for m in _ROLE.finditer(tag):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            name = _CAMEL.sub("-", name).lower()
+            if words := tuple(w for w in _APART.split(name) if w):
+                out.append((name, words))
+    return out
+
+
+def _mark(name: str, tag: str, classes: dict[str, float]) -> int:
+    """Whether an element is no part of an article by its own name and classes."""
+    names = _names(tag) if "=" in tag else []
+    sure = [w for n, w in names if any(x in ASIDE_WORDS for x in w) and (all(x in ASIDE_WORDS or x in PLACE_WORDS for x in w) or classes.get(n, 0.0) <= -2.0)]
+    if any(x in COMMENT_WORDS for w in sure for x in w):
+        return COMMENTS
+    if name in ("html", "body", "main", "article"):
+        return FREE
+    if name in ASIDE:
+        return WRAPPER if name == "form" else OFF
+    if not sure:
+        return FREE
+    return WRAPPER if any(not any(x in ASIDE_WORDS or x in PLACE_WORDS for x in w) for _, w in names) else OFF
 
 
-def tokens(page: str | None):
-    """(kind, value, aside) in page order: kind ``word`` with raw text and its words' number, or ``tag`` with its key.
+def _pieces(page: str) -> Iterator[tuple[str, str]]:
+    """The page cut into texts and tags, ``silent`` for the tag of an element whose content is left out, as are comments
+    and declarations; each character is looked at a few times at most."""
+    at, end, quotes, unclosed = 0, len(page), True, set()
+    while at < end:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "text", page[at : lt if lt >= 0 else end]
+            if lt < 0:
+                return
+            at = lt
+        mark = page[at + 1 : at + 2]
+        if mark in ("!", "?") and mark:
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 2)
+                stop = end if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", at):
+                stop = page.find("]]>", at)
+                yield "text", page[at + 9 : end if stop < 0 else stop].replace("&", "&amp;")
+                stop = end if stop < 0 else stop + 3
+            else:
+                stop = page.find(">", at)
+                stop = end if stop < 0 else stop + 1
+            at = stop
+            continue
+        if not (mark.isascii() and mark.isalpha()) and not (mark == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha()):
+            yield "text", "<"
+            at += 1
+            continue
+        m = _TAG.match(page, at) if quotes else None
+        if m:
+            stop = m.end()
+        else:  # no end outside quotes: from here on quotes don't count, so that nothing is looked through twice
+            quotes, stop = False, page.find(">", at) + 1
+            if not stop:
+                yield "text", page[at:]
+                return
+        raw, at = page[at:stop], stop
+        name = _NAME.match(raw)[1].lower()
+        if name not in SILENT or raw[1] == "/" or raw.endswith("/>") or name in unclosed:
+            yield "tag", raw
+            continue
+        close = _CLOSE[name].search(page, at)
+        if close or name in ("script", "style"):
+            yield "silent", raw
+            at = close.end() if close else end
+        else:
+            unclosed.add(name)
+            yield "tag", raw
+
+
+def tokens(page: str | None, classes: dict[str, float] | None = None) -> list[tuple[str, str, bool]]:
+    """(kind, value, aside) in page order: kind ``text`` with raw text, or ``tag`` with its name.
 
     Comments and the content of silent elements give nothing.  ``aside`` tells whether the place is inside an element
     that is no part of an article; ``header`` is one unless it is inside an article.
     """
-    page = page or ""
-    open_: list[tuple[str, bool]] = []
-    away = 0
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        raw, at = m.group(), m.end()
-        if raw[0] != "<" or raw == "<":
-            yield "text", raw, away > 0
+    page, classes = page or "", classes or {}
+    parts: list[tuple[str, str, int]] = []
+    parent, marks, words, names = [-1], [FREE], [0], [""]  # of elements in page order; the first is the page
+    open_, depth = [0], Counter()
+    for kind, raw in _pieces(page):
+        if kind == "text":
+            parts.append(("text", raw, open_[-1]))
+            words[open_[-1]] += len(raw.split())
             continue
-        name = _NAME.match(raw)
-        if not name:
-            if raw.startswith("<![CDATA["):
-                yield "text", raw[9:].removesuffix("]]>").replace("&", "&amp;"), away > 0
+        name = _NAME.match(raw)[1].lower()
+        if kind == "silent":
+            parts.append(("tag", name, open_[-1]))
             continue
-        name = name.group(1).lower()
         if raw[1] == "/":
-            was_away = away > 0
-            if any(n == name for n, _ in open_):
-                while open_:
-                    n, was = open_.pop()
-                    away -= was
+            parts.append(("tag", "/" + name, open_[-1]))
+            if depth[name]:
+                while True:
+                    n = names[open_.pop()]
+                    depth[n] -= 1
                     if n == name:
                         break
-            yield "tag", "/" + name, was_away
             continue
-        if name in SILENT and not raw.endswith("/>"):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if name in ("script", "style") else at)
-            yield "tag", name, away > 0
-            continue
-        if name in SELF_ENDING and open_ and open_[-1][0] == name:
-            away -= open_.pop()[1]
-        roles = _roles(raw) if " " in raw or "\n" in raw else set()
-        off = name in ASIDE or (name not in ("html", "body", "main") and bool(roles & (COMMENT_WORDS if name == "article" else ASIDE_WORDS))) or (name == "header" and not any(n in ("article", "main") for n, _ in open_))
+        if name in SELF_ENDING and names[open_[-1]] == name:
+            depth[name] -= 1
+            open_.pop()
+        mark = _mark(name, raw, classes)
+        if mark == FREE and name == "header" and not depth["article"] and not depth["main"]:
+            mark = OFF
+        parent.append(open_[-1]), marks.append(mark), words.append(0), names.append(name)
+        parts.append(("tag", name, len(names) - 1))
         if name not in VOID and not raw.endswith("/>"):
-            open_.append((name, off))
-            away += off
-        yield "tag", name, away > 0
+            open_.append(len(names) - 1)
+            depth[name] += 1
+    return _judged(parts, parent, marks, words, names)
+
+
+def _judged(parts: list, parent: list[int], marks: list[int], words: list[int], names: list[str]) -> list[tuple[str, str, bool]]:
+    """Parts with their element's verdict, marks lifted from elements around the page's main article or most of its words."""
+    n = len(parent)
+    total = list(words)
+    for e in range(n - 1, 0, -1):  # children come after their parents
+        total[parent[e]] += total[e]
+    away, comments = [False] * n, [False] * n
+
+    def judge() -> int:
+        """Marks passed down; how many words are left."""
+        left = words[0]
+        for e in range(1, n):
+            away[e] = marks[e] != FREE or away[parent[e]]
+            comments[e] = marks[e] == COMMENTS or comments[parent[e]]
+            left += 0 if away[e] else words[e]
+        return left
+
+    left = judge()
+    articles = [e for e in range(1, n) if names[e] in ("article", "main") and not comments[e]]
+    main = max(articles, key=lambda e: (total[e], -e), default=0)
+    lifted = False
+    if main and away[main] and total[main] >= left:
+        e = main
+        while e:
+            lifted, marks[e], e = True, FREE, parent[e]
+    inner = [0] * n  # words of an element outside all marked elements within it
+    for e in range(n - 1, 0, -1):
+        inner[e] += words[e]
+        if marks[e] == FREE:
+            inner[parent[e]] += inner[e]
+    for e in range(1, n):
+        if marks[e] == WRAPPER and inner[e] >= 10 * left and inner[e] > 0 and not (main and not away[main]):
+            lifted, marks[e] = True, FREE
+    if lifted:
+        judge()
+    return [(kind, value, away[e]) for kind, value, e in parts]
 
 
 def _scan(parts: list, weights: Weights) -> tuple[int, int]:
-    """Bounds of the stretch of ``parts`` with the highest sum (Kadane's scan); the longest of equals, (0, 0) for none above 0."""
+    """Bounds of the stretch of ``parts`` with the highest sum (one linear scan); the longest of equals, (0, 0) for none above 0."""
     best, lo, hi, total, start = 0.0, 0, 0, 0.0, 0
     for i, (kind, value, aside) in enumerate(parts):
         s = weights.of(kind, value, aside)
@@ -128,7 +252,7 @@ def extract(page: str | None, weights: Weights) -> str:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
     """
-    parts = list(tokens(page))
+    parts = tokens(page, weights.classes)
     lo, hi = _scan(parts, weights)
     blocks, block = [], []
     for kind, value, aside in parts[lo:hi]:
@@ -142,39 +266,67 @@ def extract(page: str | None, weights: Weights) -> str:
     return " ".join(w for b in blocks if (w := " ".join(html.unescape(b).split())))
 
 
-def learn(pages: list[str], smooth: float = 1.0) -> Weights:
-    """Tag weights from pages that mark their main text by one ``article`` or ``main`` element; other pages teach nothing.
+def counted(page: str | None) -> list[tuple[str, str, int, int]]:
+    """(kind, key, inside, outside) of one page: how often it has a tag, or a class name with a word of ``ASIDE_WORDS``,
+    inside its article and outside; nothing of a page without one ``article`` or ``main`` element that marks its main text.
 
-    A tag's weight is the logarithm of how often it is met inside marked articles against outside, between -4 and
-    -0.02; tags inside menus and the like tell nothing about the same tags elsewhere and are left out.
+    Tags inside menus and the like tell nothing about the same tags elsewhere and are left out.
     """
-    inside, outside, n_in, n_out = Counter(), Counter(), 0, 0
-    for page in pages:
-        depth, marks, rows = 0, 0, []
-        for kind, value, aside in tokens(page):
-            if kind == "tag" and value in ("article", "main"):
-                depth, marks = depth + 1, marks + (depth == 0)
-            elif kind == "tag" and value in ("/article", "/main"):
-                depth = max(0, depth - 1)
-            elif kind == "tag" and not aside:
-                rows.append((value, depth > 0))
-        if marks == 1:
-            for value, there in rows:
-                (inside if there else outside)[value] += 1
-    n_in, n_out = sum(inside.values()), sum(outside.values())
-    tags = {}
-    for t in inside.keys() | outside.keys():
-        odds = math.log((inside[t] + smooth) / (n_in + smooth)) - math.log((outside[t] + smooth) / (n_out + smooth))
-        tags[t] = round(min(-0.02, max(-4.0, odds)), 4)
-    return Weights(tags)
+    depth, marks, rows = 0, 0, Counter()
+    for kind, value, aside in tokens(page):
+        if kind == "tag" and value in ("article", "main"):
+            depth, marks = depth + 1, marks + (depth == 0)
+        elif kind == "tag" and value in ("/article", "/main"):
+            depth = max(0, depth - 1)
+        elif kind == "tag" and not aside:
+            rows["tag", value, depth > 0] += 1
+    depth = 0
+    for kind, raw in _pieces(page or ""):
+        if kind == "tag":
+            name = _NAME.match(raw)[1].lower()
+            if name in ("article", "main"):
+                depth = max(0, depth + (-1 if raw[1] == "/" else 1))
+            elif raw[1] != "/" and "=" in raw:
+                rows.update(("class", n, depth > 0) for n, w in _names(raw) if any(x in ASIDE_WORDS for x in w))
+    return [(k, v, n if there else 0, 0 if there else n) for (k, v, there), n in rows.items()] if marks == 1 else []
+
+
+def weighed(counts: Iterable[tuple[str, str, int, int]], smooth: float = 1.0) -> Weights:
+    """Weights from sums of ``counted``: the logarithm of how often a key is met inside marked articles against outside.
+
+    Tags get between -4 and -0.02, class names (met five times at least) between -4 and 4.
+    """
+    inside, outside = {"tag": Counter(), "class": Counter()}, {"tag": Counter(), "class": Counter()}
+    for kind, key, there, elsewhere in counts:
+        inside[kind][key] += there
+        outside[kind][key] += elsewhere
+    n_in, n_out = sum(inside["tag"].values()), sum(outside["tag"].values())
+    odds = {kind: {t: math.log((inside[kind][t] + smooth) / (n_in + smooth)) - math.log((outside[kind][t] + smooth) / (n_out + smooth)) for t in inside[kind].keys() | outside[kind].keys()} for kind in inside}
+    tags = {t: round(min(-0.02, max(-4.0, o)), 4) for t, o in sorted(odds["tag"].items())}
+    classes = {t: round(min(4.0, max(-4.0, o)), 4) for t, o in sorted(odds["class"].items()) if inside["class"][t] + outside["class"][t] >= 5}
+    return Weights(tags, classes=classes)
+
+
+def learn(pages: list[str]) -> Weights:
+    """Weights from pages that mark their main text by one ``article`` or ``main`` element; other pages teach nothing."""
+    return weighed(row for page in pages for row in counted(page))
 
 
 def fit(pages: DataFrame, most: int = MOST_PAGES) -> Weights:
-    """Weights from about ``most`` pages, chosen by a hash of their content."""
+    """Weights from about ``most`` pages, chosen by a hash of their content; copies of a page count once.
+
+    Pages are counted in tasks; the sums of at most ``MOST_KEYS`` tags and classes, the most frequent, come to the driver.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([r for page in batch["html"] for r in counted(page)], columns=["kind", "key", "inside", "outside"])
+
     n = max(pages.count(), 1)
     share = int(min(1.0, most / n) * (1 << 20) + 1)
-    rows = pages.where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share)).select("html").collect()
-    return learn(sorted(r["html"] for r in rows))
+    chosen = pages.select("html").where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share)).distinct()
+    sums = chosen.mapInPandas(count, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    return weighed(map(tuple, sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "key").limit(MOST_KEYS).collect()))
 
 
 def main_text(weights: Weights, page: Column | str) -> Column:
@@ -188,5 +340,9 @@ def main_text(weights: Weights, page: Column | str) -> Column:
 
 
 def extracted(pages: DataFrame, weights: Weights) -> DataFrame:
-    """page_id, url, text and n_chars (code points of the text) for every row of ``pages``; other columns are not read."""
+    """page_id, url, text and n_chars (code points of the text) for every row of ``pages``; other columns are not read.
+
+    A null, empty or wordless page, and one with nothing but menus and the like, has an empty text; pages of any length
+    are read whole; null ids and repeated rows come out like others; an empty table gives an empty result.
+    """
     return pages.select("page_id", "url", main_text(weights, "html").alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

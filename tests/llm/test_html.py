@@ -53,3 +53,52 @@ def test_articles_of_the_test_pages(spark, sf):
         s = re.sub(r"</?(p|h1|br)[^>]*>", "\x00", re.search(r"<article>(.*?)</article>", r.html, re.S).group(1))
         truth[r.page_id] = " ".join(w for b in re.sub("</?b>", "", s).split("\x00") if (w := " ".join(html.unescape(b).split())))
     assert {r.page_id: r.text for r in H.extracted(pages, H.fit(pages)).collect()} == truth
+
+
+STORY = "<p>The whole story is told here, from its first day to its last, with all that was said. </p>" * 4
+TEXT = " ".join(["The whole story is told here, from its first day to its last, with all that was said."] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>One.</p><div class='share-price'>{STORY}</div><p class='notice-board'>Two.</p></article>", f"One. {TEXT} Two."),
+        (f"<body><div class='entry-content ad-free'>{STORY}</div></body>", TEXT),
+        (f"<div class='content has-sidebar'><nav>Home</nav>{STORY}<div class='sidebar'>More of it</div></div>", TEXT),
+        (f"<div id='page-menu-layout'>{STORY}</div>", TEXT),
+        (f"<form id='aspnetForm'><nav>Home</nav><div>{STORY}</div><footer>Us</footer></form>", TEXT),
+        (f"<div class='sidebar'><main>{STORY}</main></div>", TEXT),
+        (f"<article>{STORY}</article><section id='comments'><article class='comment'>{STORY * 5}</article></section>", TEXT),
+        (f"<div>{STORY}</div><aside class='related'><article><p>Another story, a short one</p></article></aside>", TEXT),
+        (f"<div>{STORY}</div><form><label>Mail</label><p>Tell us what you think of it</p></form>", TEXT),
+        (f"<div>{STORY}<div class='ad-slot-3'>Buy</div><div class='cookieBanner'>We use some</div></div>", TEXT),
+        ("<nav>Home</nav><div class='ad'>Buy this</div><footer>Us</footer>", ""),
+        (f"<svg><div>{STORY}</div>", TEXT),
+        (f"<p title='a > b'>{STORY}</p>", TEXT),
+        (f"<p title='never closed>{STORY}", TEXT),
+    ],
+)
+def test_marks(page, want):
+    assert H.extract(page, H.Weights()) == want
+
+
+def test_class_names_are_learned():
+    other = "<div class='ad-leaderboard'>Buy it now, or tomorrow</div>"
+    pages = [f"<body>{other}<article><p>{i} {STORY}</p></article></body>" for i in range(6)]
+    assert H.extract(f"<div>{STORY}{other}</div>", H.learn(pages)) == TEXT
+    assert "Buy" in H.extract(f"<div>{STORY}{other}</div>", H.Weights())
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<a \"" * 75_000, "<a b=\">\" " * 60_000, "<" * 300_000, "<div>" * 60_000 + "<header>x</header>" * 5_000, "<svg>" * 60_000, "<!-" * 100_000, "<!--" * 75_000, "</p" * 100_000, "<b></i>" * 40_000, "<p>" * 100_000, "<div class='" + "ad " * 100_000, "&#" * 150_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.extract(page + " end", H.Weights())
+    H.learn([page])
+    assert time.process_time() - began < 6
+
+
+def test_copies_of_a_page_are_sampled_once(spark):
+    pages = spark.range(5000).selectExpr("id AS page_id", "'<article><p>a b</p></article><div>x</div>' AS html").unionAll(spark.sql("SELECT -1L, '<article><h1>a</h1><p>b</p></article>'"))
+    assert H.fit(pages, most=10_000) == H.learn(["<article><p>a b</p></article><div>x</div>", "<article><h1>a</h1><p>b</p></article>"])
