@@ -42,14 +42,27 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._sigloom_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, where both are one machine, may leave it unset: it gets a temporary folder.
+    """
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; one is made only where that is unset.
+    The folder is that of ``shared_folder``.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -62,19 +75,26 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> list[tuple[str, int, float]]:
-    """A bounded sample of labelled texts: (text, label, weight) rows on the driver.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> DataFrame:
+    """A bounded sample of labelled texts: text, label, weight.
 
     ``per_class`` bounds the rows of each label value (met in expectation: rows are kept by a hash of their id, so that
     the choice is the same in every run and takes no sort).  The weight is how many labelled rows a sampled one stands
-    for.  A document labelled twice counts with its larger label; null texts, ids and labels take no part.
+    for.  A document labelled twice counts with its larger label, one that is there twice with its least text; null
+    texts, ids and labels, and labels without a bound, take no part.
     """
-    lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*per_class)).where(keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     sizes = {r["_label"]: r["n"] for r in lab.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    share = {k: min(1.0, per_class.get(k, 0) / n) for k, n in sizes.items() if n}
-    pick = F.lit(False)
+    share = {k: min(1.0, per_class[k] / n) for k, n in sizes.items() if n}
+    pick, weight = F.lit(False), F.lit(1.0)
     for k, s in sorted(share.items()):
         pick = pick | ((F.col("_label") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(s * (1 << 20))))
+        weight = F.when(F.col("_label") == k, 1.0 / s).otherwise(weight)
     chosen = F.broadcast(lab.where(pick))  # at most the rows that per_class allows, whatever the size of the tables
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("text", "_label").collect()
-    return sorted((r["text"], r["_label"], 1.0 / share[r["_label"]]) for r in rows)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return rows.select("text", F.col("_label").alias("label"), weight.alias("weight"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: dict[int, int]) -> list[tuple[str, int, float]]:
+    """The rows of ``labelled_rows`` on the driver, whole texts: for short ones."""
+    return sorted(map(tuple, labelled_rows(docs, labels, label, keep, per_class).collect()))

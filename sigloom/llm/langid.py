@@ -5,13 +5,14 @@ three bytes of the lower-cased text) says which side a text is on.  A text's lan
 loss, each bit's loss weighted by how well its classifier did on rows kept from its fit; a small lead over the
 second-best codeword flags the answer as ambiguous.
 
-The classifiers are fitted on the driver from a bounded sample of rows with a language (``MOST_ROWS``); every document
-is then decoded in its own task, from its whole text.
+The classifiers are fitted on the driver from the profiles of a bounded sample of rows with a language (``MOST_ROWS``);
+every document is then decoded in its own task, from its whole text.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Rows that a fit uses at most, in expectation, and width of the hashed feature space.
-MOST_ROWS, WIDTH = 2400, 4096
-#: Codeword bits with more than ``EXHAUSTIVE`` languages, where all splits of the languages would be too many.
-EXHAUSTIVE, LONG_CODE = 6, 31
+#: Rows that a fit uses at most, in expectation, least rows of a language (so at most MOST_ROWS / LEAST_ROWS languages,
+#: the most frequent ones, are learned), and width of the hashed feature space.
+MOST_ROWS, LEAST_ROWS, WIDTH = 2400, 8, 4096
+#: Up to so many languages the code has all splits of them; beyond, ``BITS`` random bits for each doubling of their number.
+EXHAUSTIVE, BITS = 6, 10
 UNKNOWN = "und"
 PIECE = 1 << 20
 
@@ -46,18 +48,20 @@ def profile(text: str | None) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """An n-row matrix of +1 and -1: every split of up to ``EXHAUSTIVE`` classes, else rows of a fixed random code."""
+    """An n-row matrix of +1 and -1: every split of up to ``EXHAUSTIVE`` classes, else rows of a fixed random code, long
+    enough that any two differ in a fifth of their bits."""
     if n < 2:
         return np.ones((n, 1))
     if n <= EXHAUSTIVE:
         return np.array([(1, *c) for c in itertools.product((1, -1), repeat=n - 1)][1:], dtype=float).T
-    rng, best = np.random.default_rng(7), None
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], size=(n, LONG_CODE))
-        gap = min(int((code[i] != code[j]).sum()) for i, j in itertools.combinations(range(n), 2)) if (np.abs(code.sum(0)) < n).all() else -1
-        if best is None or gap > best[0]:
-            best = (gap, code)
-    return best[1]
+    rng, bits = np.random.default_rng(7), BITS * math.ceil(math.log2(n))
+    while True:
+        for _ in range(20):
+            code = rng.choice([-1.0, 1.0], size=(n, bits))
+            apart = (bits - code @ code.T) / 2 + np.diag(np.full(n, np.inf))
+            if (np.abs(code.sum(0)) < n).all() and apart.min() >= bits / 5:
+                return code
+        bits += BITS
 
 
 @dataclass
@@ -92,12 +96,17 @@ class LanguageModel:
 def train(sample: list[tuple[str, str]], steps: int = 150, ridge: float = 1e-4) -> LanguageModel:
     """A model from (text, language) rows; rows without a letter take no part.  Of no rows, a model that answers ``und``."""
     sample = [(t, k) for t, k in sorted(sample, key=lambda r: (r[1], r[0])) if any(map(str.isalpha, t))]
-    langs = sorted({k for _, k in sample})
+    x = np.stack([profile(t) for t, _ in sample]) if sample else np.zeros((0, WIDTH))
+    return learned(x.astype(np.float32), [k for _, k in sample], steps, ridge)
+
+
+def learned(x: np.ndarray, of: list[str], steps: int = 150, ridge: float = 1e-4) -> LanguageModel:
+    """A model from profiles and their languages."""
+    langs = sorted(set(of))
     code = codewords(len(langs))
     if len(langs) < 2:
         return LanguageModel(langs, code, np.zeros((WIDTH, code.shape[1])), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    x = np.stack([profile(t) for t, _ in sample]).astype(np.float32)
-    at = np.array([langs.index(k) for _, k in sample])
+    at = np.searchsorted(np.array(langs, dtype=object), np.array(of, dtype=object))
     y = code[at].astype(np.float32)
     size = np.bincount(at, minlength=len(langs))
     w = (len(at) / len(langs) / size[at]).astype(np.float32)[:, None]  # each language weighs the same
@@ -116,17 +125,33 @@ def train(sample: list[tuple[str, str]], steps: int = 150, ridge: float = 1e-4)
     return LanguageModel(langs, code, weights.astype(float), bias.astype(float), trust)
 
 
-def fit_sample(docs: DataFrame, keep: Column, most: int = MOST_ROWS) -> list[tuple[str, str]]:
-    """About ``most`` rows that ``keep`` allows, in equal parts of the languages as far as they go; chosen by a hash of the id."""
+def fit_rows(docs: DataFrame, keep: Column, most: int = MOST_ROWS, least: int = LEAST_ROWS) -> DataFrame:
+    """text, lang: about ``most`` different rows that ``keep`` allows, in equal parts of the languages as far as they go.
+
+    Rows are chosen by a hash of id and text.  Of more than ``most`` / ``least`` languages the most frequent are learned.
+    """
     known = docs.select("doc_id", "text", "lang").where(keep & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return []
-    pick = F.lit(False)
-    for k, n in sorted(sizes.items()):
-        share = min(1.0, max(40.0, most / len(sizes)) / n)
-        pick = pick | ((F.col("lang") == k) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)))
-    return [(r["text"], r["lang"]) for r in known.where(pick).select("text", "lang").collect()]
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most // least)).collect()  # a bounded number
+    shares = [(r["lang"], int(min(1.0, most / len(sizes) / r["n"]) * (1 << 20) + 1)) for r in sizes]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share long"))
+    picked = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("_share"))
+    return picked.select("text", "lang").distinct()
+
+
+def fitted(rows: DataFrame) -> LanguageModel:
+    """A model from ``fit_rows``: profiles are made in tasks, so that no texts come to the driver."""
+
+    @pandas_udf("at array<int>, share array<float>, letters boolean")
+    def sparse(texts: pd.Series) -> pd.DataFrame:
+        all_ = [profile(t) for t in texts]
+        at = [np.flatnonzero(p) for p in all_]
+        return pd.DataFrame({"at": [a.astype(np.int32) for a in at], "share": [p[a].astype(np.float32) for p, a in zip(all_, at)], "letters": [any(map(str.isalpha, t)) for t in texts]})
+
+    got = sorted(rows.select("lang", F.sha2("text", 256).alias("name"), sparse("text").alias("p")).where("p.letters").select("lang", "name", "p.at", "p.share").collect())
+    x = np.zeros((len(got), WIDTH), np.float32)
+    for i, r in enumerate(got):
+        x[i, r["at"]] = r["share"]
+    return learned(x, [r["lang"] for r in got])
 
 
 def language(model: LanguageModel, text: Column | str) -> Column:
@@ -140,5 +165,10 @@ def language(model: LanguageModel, text: Column | str) -> Column:
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous for every row of ``docs``; only doc_id and text are read."""
+    """doc_id, lang_pred, score and ambiguous for every row of ``docs``; only doc_id and text are read.
+
+    A null text, and one without a letter, is ``und`` with score 0; texts of any length are read whole; of languages with
+    equal loss the first by name is taken (and flagged as ambiguous); null ids and repeated rows come out like others; an
+    empty table gives an empty result.
+    """
     return docs.select("doc_id", language(model, "text").alias("l")).select("doc_id", "l.lang_pred", "l.score", "l.ambiguous")

@@ -4,8 +4,8 @@ Each feature of a text is cut into bins; shallow trees, boosted in turn over the
 per feature; a second pass boosts over the pairs of features whose joint bins explain most of what is left.  A text's
 score is the sum of its bins' entries through the logistic function: a few additions, vectorised over a batch.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``per_class`` rows of each label); every
-document is then scored in its own task, from its whole text.
+The model is fitted on the driver from the features of a bounded sample of labelled rows (``PER_CLASS`` rows of each
+label); every document is then scored in its own task, from its whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -157,6 +157,23 @@ def train(sample: list[tuple[str, int, float]]) -> AdditiveModel:
     return fit(x, np.array([k for _, k, _ in sample], dtype=float), np.array([w for _, _, w in sample], dtype=float))
 
 
+def fitted(rows: DataFrame) -> AdditiveModel:
+    """A model from ``common.labelled_rows``: features are made in tasks, so that numbers and no texts come to the driver."""
+    got = sorted(map(tuple, rows.select(feature_column("text"), "label", "weight").collect()))
+    x = np.array([r[0] for r in got], dtype=float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got], dtype=float))
+
+
+def feature_column(text: Column | str) -> Column:
+    """``features`` of each text, as an array."""
+
+    @pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts])
+
+    return of(text)
+
+
 def quality_score(model: AdditiveModel, text: Column | str) -> Column:
     """Score between 0 and 1 of each text; null and empty texts are scored as texts without words."""
 
@@ -167,7 +184,11 @@ def quality_score(model: AdditiveModel, text: Column | str) -> Column:
     return of(text)
 
 
-def scored(docs, model: AdditiveModel, threshold: float = 0.5):
-    """doc_id, score and predicted (1 from ``threshold`` on) for every row of ``docs``; other columns are not read."""
+def scored(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score and predicted (1 from ``threshold`` on) for every row of ``docs``; other columns are not read.
+
+    Null, empty and blank texts have all features 0 and the score that follows; texts of any length are scored whole; null
+    ids and repeated rows come out like others; equal texts have equal scores; an empty table gives an empty result.
+    """
     out = docs.select("doc_id", quality_score(model, "text").alias("score"))
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitsliced, collision, html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
-from .common import in_fold, labelled_sample, ship, table
+from .common import in_fold, labelled_rows, ship, table
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,12 @@ FROM queue q LEFT JOIN taken t USING (rid)
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
     """The lexicon that op2 and the pipeline use: learned from labelled rows outside fold 2 of 4."""
-    return toxicity.train(labelled_sample(docs, labels, "toxic", ~in_fold("doc_id", 4, 2), toxicity.PER_CLASS))
+    return toxicity.fitted(labelled_rows(docs, labels, "toxic", ~in_fold("doc_id", 4, 2), toxicity.PER_CLASS))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.AdditiveModel:
     """The model that op8 and the pipeline use: learned from labelled rows outside fold 1 of 3."""
-    return quality.train(labelled_sample(docs, labels, "quality", ~in_fold("doc_id", 3, 1), quality.PER_CLASS))
+    return quality.fitted(labelled_rows(docs, labels, "quality", ~in_fold("doc_id", 3, 1), quality.PER_CLASS))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(langid.fit_sample(docs, ~in_fold("doc_id", 5, 0)))
+    model = langid.fitted(langid.fit_rows(docs, ~in_fold("doc_id", 5, 0)))
     return langid.identified(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

@@ -1,20 +1,24 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (lower case, look-alike letters of other scripts, digits and signs that stand for letters, marks
-without width), and one pass of an Aho-Corasick automaton finds every stem of the lexicon that starts a word, and
-every exception phrase.  A hit inside an exception phrase doesn't count.  What is left, weighted and normalised by
-length, gives the score through a calibrated logistic curve.
-
-Stems and weights are learned from a bounded sample of labelled rows; a few plain insults are known from the start.
-Copies of a text count once in the learning.  A stem enters when its likelihood-ratio statistic is beyond what the
+Texts are folded (letters without accents, lower case, look-alike letters of other scripts, digits and signs that stand
+for letters, marks without width; i, l, 1 are one letter), and one pass of an Aho-Corasick automaton finds every stem of
+the lexicon that starts a word (one of three letters: that is a word), and every exception phrase.  A hit inside an
+exception phrase doesn't count.  What is left, weighted and normalised by length, gives the score through a calibrated
+logistic curve.
+
+Stems and weights are learned from a bounded sample of labelled rows, counted in tasks; a few plain insults are known
+from the start.  Copies of a text count once in the learning.  A stem enters when its likelihood-ratio statistic is beyond what the
 best of all candidates would reach by chance and nearly all documents that hold it are toxic.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -24,20 +28,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import cut
+
 #: Rows of each label that a fit uses at most, in expectation.
 PER_CLASS = {0: 4000, 1: 2000}
 STEM_LENGTHS = range(4, 13)
 KNOWN = ("idiot", "moron", "stupid", "worthless", "scum", "loser", "pathetic", "disgusting", "imbecile", "dumbass")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser")
 #: Letters of other scripts that look like Latin ones, and what stands for letters in disguised words.
-LOOKALIKES = dict(zip("аеорсухіјѕкмтнвԁɡοαειικνρτυχѵⅼ", "aeopcyxijskmthbdgoaeiiknptuxvl", strict=True))
-DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_FOLD = str.maketrans(LOOKALIKES | DISGUISES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {c: "" for c in "​‌‍⁠﻿­"})
+LOOKALIKES = dict(zip("аеорсухіјѕкмтнвԁɡοαειικνρτυχѵⅼıłø", "aeopcyxijskmthbdgoaeiiknptuxviiio", strict=True))
+DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+#: Marks without width, and marks that combine with the letter before them.
+_NO_WIDTH = {c: "" for c in "​‌‍⁠﻿­"}
+_MARKS = {chr(c): "" for c in range(0x300, 0x370)}
+_FOLD = str.maketrans(LOOKALIKES | DISGUISES | _NO_WIDTH | {"l": "i"})
+_FOLD_PLAIN = str.maketrans(LOOKALIKES | DISGUISES | _NO_WIDTH | _MARKS | {"l": "i"})
+_STROKE = re.compile(r"(?<=\w)[!|](?=\w)")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str | None) -> str:
-    return (text or "").lower().translate(_FOLD)
+def fold(text: str | None, plain: bool = False) -> str:
+    """The folded text; ``plain`` takes off accents and other marks too."""
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD" if plain else "NFKC", text)
+    if "!" in text or "|" in text:
+        text = _STROKE.sub("i", text)
+    return text.lower().translate(_FOLD_PLAIN if plain else _FOLD)
 
 
 @dataclass
@@ -47,40 +64,51 @@ class Lexicon:
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = (-4.0, 1.0, 2.0)
-    _automaton: object = field(default=None, repr=False, compare=False)
+    _automata: tuple = field(default=(), repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
-
-    def automaton(self):
-        if self._automaton is None:
-            a = ahocorasick.Automaton()
-            for phrase in self.exceptions:
-                a.add_word(fold(phrase), (len(fold(phrase)), None))
-            for stem, w in self.weights.items():
-                if stem not in a:
-                    a.add_word(stem, (len(stem), w))
-            a.make_automaton()
-            self._automaton = a
-        return self._automaton
+        return self.__dict__ | {"_automata": ()}
+
+    def automata(self) -> tuple:
+        """For folded texts the whole lexicon; for those without their marks, the stems that have none themselves."""
+        if not self._automata:
+            made = []
+            for ascii_only in (False, True):
+                a = ahocorasick.Automaton()
+                for phrase in self.exceptions:
+                    a.add_word(fold(phrase), (len(fold(phrase)), None))
+                for stem, w in self.weights.items():
+                    if (folded := fold(stem)) not in a and (folded.isascii() or not ascii_only):
+                        a.add_word(folded, (len(folded), w))
+                a.make_automaton()
+                made.append(a)
+            self._automata = tuple(made)
+        return self._automata
 
     def strength(self, text: str | None) -> tuple[float, float, int]:
         """(weight of all hits, the same by length, number of hits) of one whole text, the first two on a logarithmic
-        scale; zeros for a null or empty one."""
-        folded = fold(text)
-        if not folded or not len(self.automaton()):
+        scale; zeros for a null or empty one.  Of the readings with accents and without them the heavier counts."""
+        whole, plain = self.automata()
+        found = self._hits(fold(text), whole)
+        return found if text is None or text.isascii() else max(found, self._hits(fold(text, plain=True), plain))
+
+    def _hits(self, folded: str, automaton) -> tuple[float, float, int]:
+        if not folded or not len(automaton):
             return 0.0, 0.0, 0
         hits, spared = [], []
-        for end, (size, w) in self.automaton().iter(folded):
+        for end, (size, w) in automaton.iter(folded):
             start = end - size + 1
             if start and folded[start - 1].isalnum():
                 continue  # within a word
+            if size < STEM_LENGTHS[0] and end + 1 < len(folded) and folded[end + 1].isalnum():
+                continue  # a short one must be the whole word
             if w is None:
                 spared.append((start, end))
             else:
                 hits.append((start, end, w))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+            reach = max(b - a for a, b in spared) + 1
+            hits = [h for h in hits if not _inside(h, spared, reach)]
         if not hits:
             return 0.0, 0.0, 0
         starts = {}
@@ -96,34 +124,61 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve), -30, 30))), np.array([f[2] for f in found], dtype=np.int32)
 
 
-def _stems(text: str) -> tuple[set[str], set[str]]:
-    """Stems that start a word of the text, and those that start more than one."""
-    once, twice = set(), set()
-    for w in _TOKEN.findall(fold(text)):
-        for k in STEM_LENGTHS:
-            if k > len(w):
-                break
-            (twice if w[:k] in once else once).add(w[:k])
-    return once, twice
+def _inside(hit: tuple[int, int, float], spared: list[tuple[int, int]], reach: int) -> bool:
+    """Whether a hit lies in one of the phrases, which are in order of their ends and ``reach`` characters long at most."""
+    for i in range(bisect.bisect_left(spared, hit[1], key=lambda s: s[1]), len(spared)):
+        if spared[i][0] <= hit[0]:
+            return True
+        if spared[i][1] > hit[1] + reach:  # from here on phrases begin after the hit
+            return False
+    return False
+
+
+def stems_of(word: str) -> list[str]:
+    """The stems that a folded word starts with; a word of three letters is one itself."""
+    return [word] if len(word) == STEM_LENGTHS[0] - 1 else [word[:k] for k in STEM_LENGTHS if k <= len(word)]
+
+
+def document_counts(rows: Iterable[tuple[str, int]]) -> dict[str, np.ndarray]:
+    """For each stem, how many toxic texts use it, how many more than once, and the same of clean ones."""
+    out: dict[str, np.ndarray] = {}
+    for text, toxic in rows:
+        times = Counter(s for w in _TOKEN.findall(fold(text)) for s in stems_of(w))
+        at = 0 if toxic else 2
+        for s, n in times.items():
+            c = out.get(s)
+            if c is None:
+                c = out[s] = np.zeros(4, dtype=np.int64)
+            c[at] += 1
+            c[at + 1] += n > 1
+    return out
 
 
-def _uses(texts: list[str], stems: set[str]) -> tuple[Counter, Counter]:
-    """How often each stem starts a word, and how many different (word before, word, word after) it is met in."""
-    times, around = Counter(), Counter()
-    met = set()
-    for t in texts:
-        words = ["", *_TOKEN.findall(fold(t)), ""]
+def use_counts(rows: Iterable[tuple[str, int]], stems: set[str]) -> tuple[Counter, Counter, set[tuple[str, str]]]:
+    """How often each of ``stems`` starts a word in toxic texts, in clean ones, and the contexts of it in toxic ones: of each
+    text the least (word before, word, word after), so that near copies of a text, which share it, count as one."""
+    uses, other, around = Counter(), Counter(), set()
+    for text, toxic in rows:
+        words, least = ["", *_TOKEN.findall(fold(text)), ""], {}
         for i in range(1, len(words) - 1):
-            for k in STEM_LENGTHS:
-                if k > len(words[i]):
-                    break
-                s = words[i][:k]
+            for s in stems_of(words[i]):
                 if s in stems:
-                    times[s] += 1
-                    if (key := hash((s, *words[i - 1 : i + 2]))) not in met:
-                        met.add(key)
-                        around[s] += 1
-    return times, around
+                    (uses if toxic else other)[s] += 1
+                    if toxic:
+                        context = " ".join(words[i - 1 : i + 2])
+                        least[s] = min(context, least.get(s, context))
+        around.update(least.items())
+    return uses, other, around
+
+
+def known_counts(rows: Iterable[tuple[str, int]]) -> Counter:
+    """How many clean texts hold each of ``KNOWN``."""
+    out = Counter()
+    for text, toxic in rows:
+        if not toxic:
+            folded = fold(text)
+            out.update(s for s in KNOWN if fold(s) in folded)
+    return out
 
 
 def _g2(p: float, n: float, pos: int, neg: int) -> float:
@@ -135,59 +190,117 @@ def _g2(p: float, n: float, pos: int, neg: int) -> float:
     return out
 
 
-def train(sample: list[tuple[str, int, float]], precision: float = 0.5) -> Lexicon:
-    """A lexicon from (text, label, weight) rows, see ``common.labelled_sample``; of no rows, the known stems alone.
+def candidates(held: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> dict[str, np.ndarray]:
+    """Stems of ``document_counts`` that at least three toxic texts use and that tell toxic texts from clean ones beyond chance."""
+    frequent = {s: c for s, c in held.items() if c[0] >= 3}
+    least = chance(len(frequent))
+    return {s: c for s, c in frequent.items() if apart(c, math.inf, n_toxic, n_clean, least)}
 
-    A stem needs a likelihood-ratio statistic above chance, counting documents but no more of them than it has
-    different contexts (copies and passages that documents share repeat theirs), and at least ``precision`` of its
-    uses in toxic documents.  Its weight is the logarithm of how much more often it is used in toxic ones.
-    """
-    once = {}
-    for t, y, w in sample:
-        k, old = once.get(t, (0, 0.0))
-        once[t] = (max(k, y), old + w)
-    toxic, clean = [t for t, (y, _) in once.items() if y], [t for t, (y, _) in once.items() if not y]
+
+def chance(n: int) -> float:
+    """The likelihood-ratio statistic that the best of ``n`` stems rarely reaches by chance."""
+    return 2 * math.log(max(n, 1) / 0.01)
+
+
+def apart(c: np.ndarray, most: float, n_toxic: int, n_clean: int, least: float) -> bool:
+    """Whether a stem tells the labels apart by the texts that use it, or by those that use it more than once."""
+    pairs = ((min(c[0], most), c[2]), (min(c[1], most / 2), c[3]))
+    return any(k * n_clean > m * n_toxic and _g2(float(k), float(m), n_toxic, n_clean) > least for k, m in pairs)
+
+
+def weighed(held: dict[str, np.ndarray], n_frequent: int, uses, other, around, known, sizes: list[tuple[int, float, int]], precision: float) -> Lexicon:
+    """The lexicon of what was counted.  ``held`` has the candidates, ``around`` the number of contexts by stem, ``sizes`` for
+    clean and toxic texts their number, their weight and their length."""
     weights: dict[str, float] = {}
-    if toxic and clean:
-        held, held2, n, n2 = Counter(), Counter(), Counter(), Counter()
-        for t in toxic:
-            once_, twice = _stems(t)
-            held.update(once_), held2.update(twice)
-        p = {s: k for s, k in held.items() if k >= 3}
-        for t in clean:
-            once_, twice = _stems(t)
-            n.update(once_ & p.keys()), n2.update(twice & p.keys())
-        least = 2 * math.log(max(len(p), 1) / 0.01)
-
-        def apart(s: str, most: float) -> bool:  # by the documents that use it, or by those that use it more than once
-            pairs = ((min(p[s], most), n[s]), (min(held2[s], most / 2), n2[s]))
-            return any(k * len(clean) > m * len(toxic) and _g2(k, m, len(toxic), len(clean)) > least for k, m in pairs)
-
-        stems = {s for s in p if apart(s, math.inf)}
-        (uses, around), (other, _) = _uses(toxic, stems), _uses(clean, stems)
-        up = sum(w for y, w in once.values() if not y) / len(clean) / (sum(w for y, w in once.values() if y) / len(toxic))
-        stems = {s for s in stems if apart(s, around[s]) and uses[s] >= precision * (uses[s] + up * other[s])}
-        size = [sum(len(t) for t in texts) for texts in (toxic, clean)]
-        w = {s: math.log((uses[s] + 0.5) / size[0]) - math.log((other[s] + 0.5) / size[1]) for s in stems}
+    (n_clean, w_clean, l_clean), (n_toxic, w_toxic, l_toxic) = sizes
+    if n_toxic and n_clean:
+        least = chance(n_frequent)
+        up = w_clean / n_clean / (w_toxic / n_toxic)
+        stems = {s for s, c in held.items() if apart(c, around[s], n_toxic, n_clean, least) and uses[s] >= precision * (uses[s] + up * other[s])}
+        w = {s: math.log((uses[s] + 0.5) / l_toxic) - math.log((other[s] + 0.5) / l_clean) for s in stems}
         longer = Counter()
         for s in stems:
-            longer[s[:-1]] = max(longer[s[:-1]], p[s])
-        stems = {s for s in stems if longer[s] < 0.95 * p[s]}  # as long as it goes without losing documents
+            longer[s[:-1]] = max(longer[s[:-1]], held[s][0])
+        stems = {s for s in stems if len(s) < STEM_LENGTHS[0] or longer[s] < 0.95 * held[s][0]}  # as long as it goes without losing documents
         for s in sorted(stems, key=lambda s: (len(s), s)):  # a longer one beside a shorter one only where it says more
             if all(w[s] > weights[s[:k]] + 0.7 for k in STEM_LENGTHS if s[:k] in weights and k < len(s)):
                 weights[s] = round(w[s], 4)
     for s in KNOWN:
-        if not any(s[:k] in weights for k in range(4, len(s) + 1)) and sum(s in fold(t) for t in clean) * 50 <= len(clean):
+        if not any(fold(s)[:k] in weights for k in range(4, len(s) + 1)) and known[s] * 50 <= n_clean:
             weights[s] = 3.0
-    return calibrated(Lexicon(dict(sorted(weights.items()))), once)
+    return Lexicon(dict(sorted(weights.items())))
 
 
-def calibrated(lex: Lexicon, rows: dict[str, tuple[int, float]]) -> Lexicon:
-    """Logistic curve by Newton steps with a small ridge; the default curve without rows of both labels."""
-    if len({y for y, _ in rows.values()}) < 2:
+def train(sample: list[tuple[str, int, float]], precision: float = 0.5) -> Lexicon:
+    """A lexicon from (text, label, weight) rows; of no rows, the known stems alone.
+
+    A stem needs a likelihood-ratio statistic above chance, counting documents but near copies once (see ``use_counts``), and at least ``precision`` of its
+    uses in toxic documents.  Its weight is the logarithm of how much more often it is used in toxic ones.
+    """
+    once = {}
+    for t, y, w in sample:
+        k, old = once.get(t, (0, 0.0))
+        once[t] = (max(k, y), old + w)
+    rows = [(t, y) for t, (y, _) in once.items()]
+    sizes = [(len(own), sum(w for _, w in own), sum(n for n, _ in own)) for label in (0, 1) for own in [[(len(t), w) for t, (y, w) in once.items() if y == label]]]
+    counts = document_counts(rows)
+    held = candidates(counts, sizes[1][0], sizes[0][0]) if sizes[0][0] and sizes[1][0] else {}
+    uses, other, around = use_counts(rows, held.keys())
+    lex = weighed(held, sum(c[0] >= 3 for c in counts.values()), uses, other, Counter(s for s, _ in around), known_counts(rows), sizes, precision)
+    return calibrated(lex, [(*lex.strength(t)[:2], y, w) for t, (y, w) in once.items()])
+
+
+def fitted(rows: DataFrame, precision: float = 0.5) -> Lexicon:
+    """As ``train``, from ``common.labelled_rows``: texts are counted in tasks, and counts and strengths come to the driver."""
+    once = cut(rows.groupBy("text").agg(F.max("label").alias("label"), F.sum("weight").alias("weight")).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+    def counted(of: Callable[[list[tuple[str, int]]], Iterable[tuple]], schema: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame(list(of(list(zip(b["text"], b["label"], strict=True)))), columns=[c.split()[0] for c in schema.split(", ")])
+
+        return once.select("text", "label").mapInPandas(run, schema)
+
+    size = {r["label"]: tuple(r)[1:] for r in once.groupBy("label").agg(F.count("*"), F.sum("weight"), F.sum(F.char_length("text"))).collect()}
+    sizes = [size.get(k, (0, 0.0, 0)) for k in (0, 1)]
+    (n_clean, *_), (n_toxic, *_) = sizes
+    names = ["toxic", "toxic2", "clean", "clean2"]
+    counts = counted(lambda r: ((s, *c.tolist()) for s, c in document_counts(r).items()), "stem string, toxic long, toxic2 long, clean long, clean2 long")
+    frequent = cut(counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in names]).where("toxic >= 3"))
+    more = frequent.where((F.col("toxic") * n_clean > F.col("clean") * n_toxic) | (F.col("toxic2") * n_clean > F.col("clean2") * n_toxic))
+    n_frequent, held = frequent.count(), {}
+    if n_clean and n_toxic:
+        held = {r["stem"]: np.array([r[c] for c in names]) for r in more.collect()}  # no more than the words of the sample
+        held = {s: c for s, c in held.items() if apart(c, math.inf, n_toxic, n_clean, chance(n_frequent))}
+    stems = set(held)
+
+    def used(r: list[tuple[str, int]]) -> Iterator[tuple]:
+        uses, other, around = use_counts(r, stems)
+        yield from ((s, None, uses[s], other[s]) for s in uses.keys() | other.keys())
+        yield from ((s, a, 0, 0) for s, a in around)
+        yield from ((s, None, -1, n) for s, n in known_counts(r).items())
+
+    found = counted(used, "stem string, around string, uses long, other long")
+    is_known = F.col("uses") < 0
+    sums = found.groupBy("stem").agg(F.sum(F.when(~is_known, F.col("uses"))), F.sum(F.when(~is_known, F.col("other"))), F.countDistinct("around"), F.sum(F.when(is_known, F.col("other")))).collect()
+    uses, other, around, known = (Counter({r[0]: r[i] or 0 for r in sums}) for i in range(1, 5))
+    lex = weighed(held, n_frequent, uses, other, around, known, sizes, precision)
+
+    @pandas_udf("a double, b double")
+    def strengths(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([lex.strength(t)[:2] for t in texts], columns=["a", "b"], dtype=float)
+
+    got = once.select(strengths("text").alias("s"), "label", "weight").select("s.a", "s.b", "label", "weight").collect()
+    return calibrated(lex, sorted(map(tuple, got)))
+
+
+def calibrated(lex: Lexicon, rows: list[tuple[float, float, int, float]]) -> Lexicon:
+    """Logistic curve by Newton steps with a small ridge, from (strength, the same by length, label, weight) rows; the default
+    curve without rows of both labels."""
+    if len({y for _, _, y, _ in rows}) < 2:
         return lex
-    x = np.array([(1.0, *lex.strength(t)[:2]) for t in rows])
-    y, w = np.array([y for y, _ in rows.values()], dtype=float), np.array([w for _, w in rows.values()])
+    x = np.array([(1.0, a, b) for a, b, _, _ in rows])
+    y, w = np.array([y for _, _, y, _ in rows], dtype=float), np.array([w for *_, w in rows])
     w = w / w.sum() * len(y)
     b, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(60):
@@ -211,6 +324,10 @@ def toxicity(lex: Lexicon, text: Column | str) -> Column:
 
 
 def scored(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted (1 from ``threshold`` on) and hits for every row of ``docs``; other columns are not read."""
+    """doc_id, score, predicted (1 from ``threshold`` on) and hits for every row of ``docs``; other columns are not read.
+
+    Null and empty texts score as texts without a hit; texts of any length are scored whole; of stems that start one word
+    the heaviest counts; null ids and repeated rows come out like others; an empty table gives an empty result.
+    """
     out = docs.select("doc_id", toxicity(lex, "text").alias("t")).select("doc_id", F.col("t.score").alias("score"), F.col("t.hits").alias("hits"))
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
