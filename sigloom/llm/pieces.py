@@ -8,8 +8,8 @@ For a unigram model the survivor is the reading with the highest score.  For a B
 merges make: the one whose last two pieces, merged from their characters, come out as just these two (a boundary has
 exactly one such reading, and what holds for all neighbours holds for the whole), so ids equal the merge procedure's.
 
-No piece spans the start of a word (checked for each model), so all paths meet there; what was committed for a word
-is remembered for its next use, in a table of bounded size.
+No piece spans the start of a word (checked for each model), so all paths meet there: the pass takes one word at a
+time (of any length), and what was committed for a word is remembered for its next use, in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql.functions import arrow_udf
 #: Default model file; every function takes another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters read between two looks for a common boundary, and words (and pairs of pieces) remembered by a worker.
+#: Characters read between two looks for a common boundary; words (twice as many at most) and pairs of pieces that a worker
+#: remembers.
 LOOK_EVERY, REMEMBERED = 128, 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
@@ -105,8 +106,8 @@ class PieceModel:
         else:
             self.cutter = re.compile("(?s).+")
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.often: dict[str, array] = {}
-        self.once: dict[str, array] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.fits: list[dict[int, bool]] = [{} for _ in self.text]  # by the first piece, then the second
         self.n_fits = 0
         self.stories: dict[int, tuple[list[float], list[str], list[str]]] = {}
@@ -172,112 +173,125 @@ class PieceModel:
         An Aho-Corasick automaton over the pieces tells, position by position, which pieces end there, the longest first.
         """
         out: list[int] = []
-        base, end = 0, 0  # boundaries up to ``base`` are committed and the lists start at it; those up to ``end`` have a survivor
-        back, last, best = [0], [-2], [0.0]
-        fits, merging, score, worst = self.fits, self.merging, self.score, self.worst
-
-        def commit(upto: int) -> None:
-            steps, at = [], upto
-            while at > base:
-                steps.append((at, last[at - base]))
-                at = back[at - base]
-            for at, piece in reversed(steps):
-                if piece >= 0:
-                    out.append(piece)
-                else:
-                    out.extend(self._single(s[at - 1]))
-
-        def unknown(upto: int) -> None:
-            for k in range(end, upto):  # until a piece is found to end there: a character that is no piece
-                back.append(k), last.append(-1)
-                if not merging:
-                    best.append(best[k - base] + worst)
-
-        settled = False
-        for at, (size, piece) in self.matcher.iter(s):
-            i = at + 1
-            if i > end:
-                if end - base >= LOOK_EVERY + self.longest:
-                    # every later piece starts at one of the last boundaries: follow their paths back until they meet
-                    alive = set(range(end + 1 - self.longest, end + 1))
-                    while len(alive) > 1:
-                        far = max(alive)
-                        alive.discard(far)
-                        alive.add(back[far - base])
-                    common = alive.pop()
-                    if common > base:
-                        commit(common)
-                        cut = common - base  # the piece before the cut still decides which pieces may follow it
-                        back, last, best, base = back[cut:], last[cut:], [v - best[cut] for v in best[cut:]], common
-                unknown(i)
-                end, settled = i, False
-            elif settled:
-                continue
-            j = i - size - base
-            if merging:
-                before = last[j]
-                fit = True if before < 0 else fits[before].get(piece)
-                if fit or (fit is None and self._fit(before, piece)):
-                    back[-1], last[-1], settled = i - size, piece, True
-            elif (value := best[j] + score[piece]) > best[-1] or last[-1] < 0:
-                back[-1], last[-1], best[-1] = i - size, piece, value
-        unknown(len(s))
-        if s:
-            commit(len(s))
+        (self._by_merges if self.merging else self._by_scores)(s, out)
         return out
 
-    def word(self, s: str) -> array:
-        """As ``viterbi``, for a stretch so short that its end is the first place to commit at (BPE models)."""
-        n, fits = len(s), self.fits
-        last, back, settled = [-2] + [-1] * n, list(range(-1, n)), 0
+    # ``back`` and ``last`` hold for each boundary of the window, which starts at the committed place ``base``, where its last
+    # piece starts (counted from there) and which it is: -1 for a character that is no piece.
+
+    def _commit(self, s: str, base: int, upto: int, back: list[int], last: list[int], out: list[int]) -> None:
+        """Write the ids of the path to the ``upto``-th boundary of the window."""
+        steps, at = [], upto
+        while at > 0:
+            steps.append((at, last[at]))
+            at = back[at]
+        for at, piece in reversed(steps):
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out.extend(self._single(s[base + at - 1]))
+
+    def _advance(self, s: str, base: int, back: list[int], last: list[int], out: list[int]) -> int:
+        """Commit a full window up to the last boundary on all paths to its end, and move it on; how far it moved.
+
+        Every later piece starts at one of the last boundaries: their paths are followed back until they meet.
+        """
+        full = len(last) - 1
+        alive = set(range(max(0, full + 1 - self.longest), full + 1))
+        while len(alive) > 1:
+            far = max(alive)
+            alive.discard(far)
+            alive.add(back[far])
+        met = alive.pop()
+        self._commit(s, base, met, back, last, out)
+        last[:] = last[met:] + [-1] * LOOK_EVERY  # the piece before the cut still decides which pieces may follow it
+        back[:] = [k - met for k in back[met:]] + list(range(full - met, full - met + LOOK_EVERY))
+        return met
+
+    def _by_merges(self, s: str, out: list[int]) -> None:
+        """The pass for BPE models: of the pieces that end at a boundary one fits, and none after it is looked at."""
+        n, base, settled = len(s), 0, 0
+        width = min(n, LOOK_EVERY + self.longest)
+        last, back, fits, limit = [-2] + [-1] * width, list(range(-1, width)), self.fits, width
         for at, (size, piece) in self.matcher.iter(s):
-            if at + 1 == settled:
+            at += 1
+            if at == settled:
                 continue
-            j = at + 1 - size
-            before = last[j]
+            while at > limit:
+                base += self._advance(s, base, back, last, out)
+                limit = base + len(last) - 1
+            before = last[at - base - size]
             if before >= 0:
                 fit = fits[before].get(piece)
                 if fit is None:
                     fit = self._fit(before, piece)
                 if not fit:
                     continue
-            settled = at + 1
-            last[settled], back[settled] = piece, j
-        out = []
-        while n:
-            if last[n] >= 0:
-                out.append(last[n])
-            else:
-                out.extend(reversed(self._single(s[n - 1])))
-            n = back[n]
-        return array("i", out[::-1])
+            settled = at
+            last[at - base], back[at - base] = piece, at - base - size
+        while n > limit:
+            base += self._advance(s, base, back, last, out)
+            limit = base + len(last) - 1
+        self._commit(s, base, n - base, back, last, out)
+
+    def _by_scores(self, s: str, out: list[int]) -> None:
+        """The pass for unigram models: the reading with the highest score survives; scores count from the cut."""
+        n, base, end = len(s), 0, 0
+        width = min(n, LOOK_EVERY + self.longest)
+        last, back, best, limit = [-2] + [-1] * width, list(range(-1, width)), [0.0] * (width + 1), width
+
+        def moved() -> None:
+            nonlocal base, limit
+            met = self._advance(s, base, back, last, out)
+            base, limit = base + met, base + met + len(last) - 1
+            best[:] = [v - best[met] for v in best[met:]] + [0.0] * LOOK_EVERY
+
+        def reached(upto: int) -> None:
+            nonlocal end
+            while end < upto:
+                end += 1
+                if end > limit:
+                    moved()
+                best[end - base] = best[end - base - 1] + self.worst  # until a piece is found to end there
+
+        for at, (size, piece) in self.matcher.iter(s):
+            reached(at + 1)
+            i = end - base
+            if (value := best[i - size] + self.score[piece]) > best[i] or last[i] < 0:
+                last[i], back[i], best[i] = piece, i - size, value
+        reached(n)
+        self._commit(s, base, n - base, back, last, out)
 
     def normalized(self, text: str) -> str:
         if self.normalizer is not None:
             return self.normalizer(text)
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
-    def encode(self, text: str) -> array:
-        """Ids of one whole text.  Words met once lately, and words met more often, are remembered apart, so that the
-        many that never return don't push out the others."""
-        out, often, once = array("i"), self.often, self.once
+    def encode_into(self, text: str, out: bytearray) -> None:
+        """Append the ids of one whole text, as 32-bit integers.
+
+        Every word goes through ``viterbi``; its ids are then remembered.  When the table of remembered words is full it becomes
+        the old one, whose words move to the new one when they are met again, and the old one before it is dropped.
+        """
+        known, old = self.known, self.old
         for w in self.cutter.findall(self.normalized(text)):
-            known = often.get(w)
-            if known is None:
-                known = once.get(w)
-                if known is not None:
-                    if len(often) >= REMEMBERED:
-                        often.clear()
-                    often[w] = known
-                else:
-                    short = len(w) <= 48
-                    known = self.word(w) if short and self.merging else array("i", self.viterbi(w))
-                    if short:
-                        if len(once) >= REMEMBERED // 2:
-                            once.clear()
-                        once[w] = known
-            out.extend(known)
-        return out
+            ids = known.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    ids = array("i", self.viterbi(w)).tobytes()
+                if len(w) <= 48:
+                    if len(known) >= REMEMBERED:
+                        self.old = old = known
+                        self.known = known = {}
+                    known[w] = ids
+            out += ids
+
+    def encode(self, text: str) -> array:
+        """Ids of one whole text."""
+        raw = bytearray()
+        self.encode_into(text, raw)
+        return array("i", bytes(raw))
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -300,17 +314,16 @@ def encoded(model: bytes, text: Column | str) -> Column:
 
     @arrow_udf("ids array<int>, exact boolean")
     def of(texts: pa.Array) -> pa.Array:
-        m, flat, ends, exact = load(model), array("i"), [0], []  # ids of a batch in one buffer, which Arrow then takes as it is
+        m, flat, ends, exact = load(model), bytearray(), [0], []  # ids of a batch in one buffer, which Arrow then takes as it is
         for t in texts:
             t = t.as_py()
             if t is None:
                 exact.append(None)
             else:
-                ids = m.encode(t)
-                flat.extend(ids)
-                exact.append(m.decode(ids) == t)
-            ends.append(len(flat))
-        values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, np.int32))
+                m.encode_into(t, flat)
+                exact.append(m.decode(array("i", bytes(memoryview(flat)[4 * ends[-1] :]))) == t)
+            ends.append(len(flat) // 4)
+        values = pa.array(np.frombuffer(flat, dtype=np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values, mask=pa.array([e is None for e in exact], type=pa.bool_()))
         return pa.StructArray.from_arrays([lists, pa.array(exact, type=pa.bool_())], names=["ids", "exact"])
 
@@ -331,8 +344,10 @@ def decoded(model: bytes, ids: Column | str) -> Column:
 def tokenized(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids and exact for every row of ``docs``; only doc_id and text are read.
 
-    An empty text has no ids; a null one null ids, n_ids 0 and exact null.  Texts are encoded whole.  ``exact`` is
-    false only where a text holds the sign U+2581, which the model reads as a space.
+    An empty text has no ids; a null one null ids, n_ids 0 and exact null.  Texts of any length are encoded whole; of two
+    readings that merge alike the leftmost merge decides, as in the model's own procedure; null ids and repeated rows come
+    out like others; an empty table gives an empty result.  ``exact`` is false only where a text holds the sign U+2581,
+    which the model reads as a space.
     """
     out = docs.select("doc_id", encoded(read_model(path), "text").alias("e"))
     return out.select("doc_id", "e.ids", F.coalesce(F.size("e.ids"), F.lit(0)).alias("n_ids"), "e.exact")

@@ -29,8 +29,33 @@ def test_commits_do_not_change_the_result(monkeypatch):
     for k in (1, 5, 40, 10_000):
         monkeypatch.setattr(pieces, "LOOK_EVERY", k)
         assert M.viterbi(text) == whole
-    for w in M.cutter.findall(M.normalized("Eredhe a the, Ñandú 中 x\x00y " + "ab" * 20 + "".join(ODD))):
-        assert M.word(w).tolist() == M.viterbi(w)
+    for w in M.cutter.findall(M.normalized("Eredhe a the, Ñandú 中 x\x00y " + "ab" * 20 + "".join(ODD[:10]))):
+        assert merged(w) == M.viterbi(w)
+
+
+def merged(s):
+    """Ids by the merge procedure: again and again the best-scored neighbours, the leftmost of equals."""
+    parts = list(s)
+    while True:
+        best = max(((M.score[k], -i) for i in range(len(parts) - 1) if (k := M.ids.get(parts[i] + parts[i + 1])) is not None), default=None)
+        if best is None:
+            return [j for p in parts for j in ([M.ids[p]] if p in M.ids else M._single(p))]
+        i = -best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_runs_of_no_pieces_and_long_words(monkeypatch):
+    for text in ("\x01" * 5000, "a" + "\x01" * 1000 + "b" + "\x01" * 700, "ab" * 3000 + "\x02" * 400, " " * 50_000 + "end", "word" * 20_000):
+        assert list(M.encode(text)) == SP.encode(text)
+    monkeypatch.setattr(pieces, "LOOK_EVERY", 1)
+    assert M.viterbi("\x01" * 300 + "the" + "\x01" * 300) == SP.encode("\x01" * 300 + "the" + "\x01" * 300)[1:]
+
+
+def test_remembered_words_come_and_go(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    m = pieces.PieceModel(pieces.read_model())
+    text = "one two three four five six seven one two eight nine ten one eleven twelve one two " * 30
+    assert list(m.encode(text)) == SP.encode(text) and len(m.known) <= 5 and len(m.old) <= 5
 
 
 def unigram(vocab):
