@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 

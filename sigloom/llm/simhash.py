@@ -132,46 +132,69 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
+
+
 def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) for every set of ``nodes`` (name, b0, b1, bands) that is linked: label is the least name of its component.
 
     Sets that share a band key and have a true similarity of 0.8 or more link.  First the sets of a key are compared with
-    the key's least one alone, so that a large group of near copies takes as many comparisons as it has members; then, in
-    keys that still hold several components, all pairs across components.  ``sets_of`` gives name and set of the names
-    it gets.
+    one of them, another in every key, so that a large group of near copies takes as many comparisons as it has members.
+    What is left are keys of three sets or more that still hold several components (see ``across``).  ``sets_of`` gives
+    name and set of the names it gets.
     """
     keys = nodes.select("name", "b0", "b1", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1").select("key", "first")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("name", F.xxhash64("name", "key")).alias("first")).where("n > 1")
     held = cut(keys.join(shared, "key"))
     sets = cut(sets_of(held.select("name").distinct()))
-
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) <= shingles.DIFFERENT_BITS
-
-    def both_ways(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
-
-    stars = held.where(F.col("name") != F.col("first")).select(F.col("first").alias("a"), F.col("name").alias("b")).distinct()
+    stars = held.where(F.col("name") != F.col("first")).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b")).distinct()
     linked = cut(shingles.similar(stars, sets))
     labels = components(both_ways(linked))
 
-    at = held.join(labels, held["name"] == labels["node"], "left").select("key", "name", "first", "b0", "b1", F.coalesce("label", "name").alias("label"))
+    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "name", "first", "b0", "b1", F.coalesce("label", "name").alias("label"))
     firsts = at.where(F.col("name") == F.col("first")).select("key", F.col("label").alias("main"))
-    at = cut(at.join(firsts, "key").select("key", "name", "first", "b0", "b1", "label", "main"))
-    apart = at.where(F.col("label") != F.col("main"))  # of two components in a key one at least isn't the main one
+    at = cut(at.join(firsts, "key"))
+    open_ = cut(at.join(at.where(F.col("label") != F.col("main")).select("key").distinct(), "key", "left_semi"))
+    return components(both_ways(linked.unionAll(shingles.similar(across(open_, sets), sets))))
+
+
+def across(at: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs across components that may still be similar, of sets that meet in a key.
+
+    ``at`` has key, name, first, b0, b1, label and main (the label of the key's first).  Two sets either share a shingle
+    that at most ``shingles.RARE`` of all sets here have, which such shingles' short lists tell; or all they share is among
+    each one's other shingles, and then both must have enough of these.  So members of a large group that are changed in
+    too many places to be similar to any other are not compared with all of it, and no link is lost.
+    """
+    named = at.select("name", "label").distinct()
+    held = named.join(sets, "name").select("name", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
+    met = held.groupBy("s").agg(F.count("*").alias("c"))
+    counted = cut(held.join(met, "s"))
+    often = counted.groupBy("name").agg(F.first("n").alias("n"), F.count_if(F.col("c") > shingles.RARE).alias("often"))
+    rare = counted.where(F.col("c").between(2, shingles.RARE))
+    x, y = rare.alias("x"), rare.alias("y")
+    share = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+
+    sized = cut(at.join(often, "name"))
+    apart = sized.where(F.col("label") != F.col("main"))  # of two components in a key one at least isn't the main one
     other = F.col("y.label") != F.col("x.label")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.name") < F.col("y.name"))
     untried = (F.col("x.name") != F.col("x.first")) & (F.col("y.name") != F.col("y.first"))
-    across = apart.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & other & once & untried & near("x", "y"))
-    across = across.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    return components(both_ways(linked.unionAll(shingles.similar(across, sets))))
+    enough = F.least("x.often", "y.often") * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    bits = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
+    met_in_key = apart.alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & other & once & untried & enough & (bits <= shingles.DIFFERENT_BITS))
+    return share.unionAll(met_in_key.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))).distinct()
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the least doc_id (null last).
 
-    Near copies have sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more (wordless texts are alike).
-    Of rows that repeat that id the one with the least text hash stays, of exact repeats one.
+    Near copies have sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more (null and wordless texts are
+    alike, a text of fewer words is one shingle).  At that similarity fingerprints of 64 bits differ in about 10 bits and
+    in up to 19: Hamming balls that wide hold a seventh of all fingerprints, so sets are met by keys of min-hashes
+    here, and every link is verified.  Of rows that repeat that id the one with the least text hash stays, of exact repeats
+    one; texts of any length are read whole; an empty table gives an empty result.
     """
     prints = docs.select(shingles.sketched("text", words).alias("s"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).alias("row"))
     nodes = cut(prints.groupBy("s.name").agg(F.min("row").alias("row"), F.first("s").alias("s")))  # equal sets are one from here on

@@ -66,6 +66,29 @@ def test_planted_similarities(spark):
     assert kept(df) == survivors(rows)
 
 
+def test_a_group_changed_in_many_places(spark):
+    """Members near each other, members near none, and small families among them."""
+    rnd = random.Random(6)
+    base, rows = [f"b{i}" for i in range(140)], []
+
+    def changed(words, n):
+        out = list(words)
+        for p in rnd.sample(range(len(out)), n):
+            out[p] = f"c{rnd.randrange(10**6)}"
+        return out
+
+    for _ in range(160):
+        rows.append(changed(base, rnd.choice([0, 1, 1, 2, 3, 4, 6, 9])))
+    for _ in range(25):
+        far = changed(base, 7)
+        rows += [far, *(changed(far, 1) for _ in range(rnd.choice([1, 2, 5])))]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = survivors(rows)
+    assert kept(df) == want and 20 < len(want) < len(rows) - 100
+
+
 def test_sets_are_the_words_of_a_text():
     assert len(shingles.shingles(" \t")) == 0 and len(shingles.shingles("a b c")) == 1
     assert (shingles.shingles("A b c d e  f") == shingles.shingles("a b c d e f")).all()

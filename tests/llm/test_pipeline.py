@@ -2,7 +2,7 @@ import collections
 
 import corpus_pipeline
 import sentencepiece
-from sigloom.llm import mixing, pieces, quality, queries, simhash, toxicity
+from sigloom.llm import mixing, pieces, quality, queries, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -23,7 +23,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         return [r for r in rs if lexicon.scores([r[1]])[0][0] < 0.3]
 
     def single(rs):
-        fp = [simhash.fingerprint(r[1]) for r in rs]
+        """One of each component of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+        sets = []
+        for r in rs:
+            w = (r[1] or "").encode().lower().split()
+            sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
         at = list(range(len(rs)))
 
         def root(i):
@@ -33,7 +37,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
         for i in range(len(rs)):
             for j in range(i):
-                if (fp[i] ^ fp[j]).bit_count() <= 2:
+                if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
                     at[root(i)] = root(j)
         least = {}
         for i, r in enumerate(rs):
@@ -83,9 +87,25 @@ def test_odd_tables(spark, tmp_path):
     odd = spark.createDataFrame([(1, None, None, None, 0), (None, "", "en", "a", 0), (2, "one two three", None, "a", 1), (2, "one two three", None, "a", 1), (3, "w " * 50_000, "x", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     odd.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
     odd.write.parquet(str(tmp_path / "documents.parquet"))
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, str(tmp_path)).collect()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).collect() == [], name
+    got = {name: stage(spark, odd, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted(str(r.doc_id) for r in rows) for name, rows in got.items()}
+    assert ids["quality"] == ids["toxicity"] == ["1", "2", "2", "3", "None"]  # all labels are 1 and 0
+    assert ids["dedup"] == ["1", "2", "3"]  # the null text and the empty one are alike, the repeated row is one
+    times = collections.Counter(ids["mixture"])
+    assert times["2"] in (0, 2, 4) and times["3"] <= 2  # exact repeats are sent together, nothing more than twice
+    assert {r.doc_id: r.n_ids for r in got["tokens"]}[1] == 0 and len(got["tokens"]) == 5
+
+
+def test_stage_tables_are_removed(spark, tmp_path):
+    import os
+
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {p for p in os.listdir(shared) if p.startswith("pipeline-")}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    (new,) = {p for p in os.listdir(shared) if p.startswith("pipeline-")} - before
+    assert os.listdir(os.path.join(shared, new)) == [corpus_pipeline.STAGES[-2][0]] and out.count() > 0
 
 
 def test_finer_histograms_find_the_same_cut(spark, monkeypatch):
