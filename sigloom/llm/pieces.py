@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters read between two looks for a common boundary; words (twice as many at most) and pairs of pieces that a worker
 #: remembers.
-LOOK_EVERY, REMEMBERED = 128, 250_000
+LOOK_EVERY, REMEMBERED = 128, 100_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 

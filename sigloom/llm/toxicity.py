@@ -33,6 +33,8 @@ from .common import cut
 #: Rows of each label that a fit uses at most, in expectation.
 PER_CLASS = {0: 4000, 1: 2000}
 STEM_LENGTHS = range(4, 13)
+#: Texts of the sample that a task counts at a time.
+COUNTED_TEXTS = 100
 KNOWN = ("idiot", "moron", "stupid", "worthless", "scum", "loser", "pathetic", "disgusting", "imbecile", "dumbass")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser")
 #: Letters of other scripts that look like Latin ones, and what stands for letters in disguised words.
@@ -139,19 +141,15 @@ def stems_of(word: str) -> list[str]:
     return [word] if len(word) == STEM_LENGTHS[0] - 1 else [word[:k] for k in STEM_LENGTHS if k <= len(word)]
 
 
-def document_counts(rows: Iterable[tuple[str, int]]) -> dict[str, np.ndarray]:
+def document_counts(rows: Iterable[tuple[str, int]]) -> dict[str, tuple[int, ...]]:
     """For each stem, how many toxic texts use it, how many more than once, and the same of clean ones."""
-    out: dict[str, np.ndarray] = {}
+    held = [Counter() for _ in range(4)]
     for text, toxic in rows:
         times = Counter(s for w in _TOKEN.findall(fold(text)) for s in stems_of(w))
         at = 0 if toxic else 2
-        for s, n in times.items():
-            c = out.get(s)
-            if c is None:
-                c = out[s] = np.zeros(4, dtype=np.int64)
-            c[at] += 1
-            c[at + 1] += n > 1
-    return out
+        held[at].update(times.keys())
+        held[at + 1].update(s for s, n in times.items() if n > 1)
+    return {s: tuple(h[s] for h in held) for s in held[0].keys() | held[2].keys()}
 
 
 def use_counts(rows: Iterable[tuple[str, int]], stems: set[str]) -> tuple[Counter, Counter, set[tuple[str, str]]]:
@@ -190,7 +188,7 @@ def _g2(p: float, n: float, pos: int, neg: int) -> float:
     return out
 
 
-def candidates(held: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> dict[str, np.ndarray]:
+def candidates(held: dict[str, tuple[int, ...]], n_toxic: int, n_clean: int) -> dict[str, tuple[int, ...]]:
     """Stems of ``document_counts`` that at least three toxic texts use and that tell toxic texts from clean ones beyond chance."""
     frequent = {s: c for s, c in held.items() if c[0] >= 3}
     least = chance(len(frequent))
@@ -202,13 +200,13 @@ def chance(n: int) -> float:
     return 2 * math.log(max(n, 1) / 0.01)
 
 
-def apart(c: np.ndarray, most: float, n_toxic: int, n_clean: int, least: float) -> bool:
+def apart(c: tuple[int, ...], most: float, n_toxic: int, n_clean: int, least: float) -> bool:
     """Whether a stem tells the labels apart by the texts that use it, or by those that use it more than once."""
     pairs = ((min(c[0], most), c[2]), (min(c[1], most / 2), c[3]))
     return any(k * n_clean > m * n_toxic and _g2(float(k), float(m), n_toxic, n_clean) > least for k, m in pairs)
 
 
-def weighed(held: dict[str, np.ndarray], n_frequent: int, uses, other, around, known, sizes: list[tuple[int, float, int]], precision: float) -> Lexicon:
+def weighed(held: dict[str, tuple[int, ...]], n_frequent: int, uses, other, around, known, sizes: list[tuple[int, float, int]], precision: float) -> Lexicon:
     """The lexicon of what was counted.  ``held`` has the candidates, ``around`` the number of contexts by stem, ``sizes`` for
     clean and toxic texts their number, their weight and their length."""
     weights: dict[str, float] = {}
@@ -257,7 +255,9 @@ def fitted(rows: DataFrame, precision: float = 0.5) -> Lexicon:
     def counted(of: Callable[[list[tuple[str, int]]], Iterable[tuple]], schema: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame(list(of(list(zip(b["text"], b["label"], strict=True)))), columns=[c.split()[0] for c in schema.split(", ")])
+                rows = list(zip(b["text"], b["label"], strict=True))
+                for i in range(0, len(rows), COUNTED_TEXTS):
+                    yield pd.DataFrame(list(of(rows[i : i + COUNTED_TEXTS])), columns=[c.split()[0] for c in schema.split(", ")])
 
         return once.select("text", "label").mapInPandas(run, schema)
 
@@ -265,12 +265,12 @@ def fitted(rows: DataFrame, precision: float = 0.5) -> Lexicon:
     sizes = [size.get(k, (0, 0.0, 0)) for k in (0, 1)]
     (n_clean, *_), (n_toxic, *_) = sizes
     names = ["toxic", "toxic2", "clean", "clean2"]
-    counts = counted(lambda r: ((s, *c.tolist()) for s, c in document_counts(r).items()), "stem string, toxic long, toxic2 long, clean long, clean2 long")
+    counts = counted(lambda r: ((s, *c) for s, c in document_counts(r).items()), "stem string, toxic long, toxic2 long, clean long, clean2 long")
     frequent = cut(counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in names]).where("toxic >= 3"))
     more = frequent.where((F.col("toxic") * n_clean > F.col("clean") * n_toxic) | (F.col("toxic2") * n_clean > F.col("clean2") * n_toxic))
     n_frequent, held = frequent.count(), {}
     if n_clean and n_toxic:
-        held = {r["stem"]: np.array([r[c] for c in names]) for r in more.collect()}  # no more than the words of the sample
+        held = {r["stem"]: tuple(r[c] for c in names) for r in more.collect()}  # no more than the words of the sample
         held = {s: c for s, c in held.items() if apart(c, math.inf, n_toxic, n_clean, chance(n_frequent))}
     stems = set(held)
 
