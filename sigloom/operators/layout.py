@@ -8,11 +8,15 @@ windows of bounded reach see all they need inside their block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Positions of a block; halos copy only the rows within reach of a block's ends.
 BLOCK = 8192
+#: Rows of a key whose quantiles one aggregation finds.
+SMALL = 1 << 18
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "ix") -> DataFrame:
@@ -57,51 +61,93 @@ def lagged(df: DataFrame, keys: list[str], ix: str = "ix", **columns: tuple[str,
     return own(halo.withColumns({k: F.lag(c, s).over(w) if s >= 0 else F.lead(c, -s).over(w) for k, (c, s) in columns.items()}))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``; only a local session,
+    where both are one machine, may leave it unset."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder: for what a plan reads several times."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, **probs: float) -> DataFrame:
     """keys and one column for each name=probability: exact quantiles with linear interpolation, nulls left out.
 
-    Values are numbered by value buckets, and only the rows at the wanted positions are aggregated: a key with very
-    many values is sorted by many tasks, not held in one.
+    One aggregation finds them for keys of up to ``SMALL`` rows.  Larger keys are spread over many tasks: equal values are
+    counted, not sorted, and the counts are added up in two levels, over ranges of values that hold about equally many.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    span = known.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    joined = known.join(span, keys)
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).otherwise(0)
-    ranked = numbered(joined, keys, ["_v"], bucket, "_rank")
+    known = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
+    large = cut(known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL))
+    names, wanted = list(probs), F.array(*[F.lit(p) for p in probs.values()])
+    small = known if large.isEmpty() else known.join(large.select(*keys), keys, "left_anti")
+    q = small.groupBy(*keys).agg(F.percentile("_v", wanted).alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return q if small is known else q.unionByName(_large_quantiles(known, large, keys, probs))
+
+
+def _large_quantiles(known: DataFrame, large: DataFrame, keys: list[str], probs: dict[str, float], ranges: int = 64) -> DataFrame:
+    """``quantiles`` of the keys in ``large`` (with their number of rows, _n)."""
+    own = known.join(large, keys)
+    cuts = own.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"))
+    values = own.groupBy(*keys, "_n", "_v").agg(F.count("*").alias("_c")).join(cuts, keys)
+    values = cut(values.select(*keys, "_n", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b")))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = values.join(starts, [*keys, "_b"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))  # rows up to and including the value
 
-    def place(p: float) -> Column:
-        return F.lit(p) * (F.col("_n") - 1)
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")), F.col("_v")))
 
-    wanted = [f(place(p)) for p in probs.values() for f in (F.floor, F.ceil)]
-    picked = ranked.where(F.col("_rank").isin(*wanted))
     aggs = []
     for name, p in probs.items():
-        low = F.max(F.when(F.col("_rank") == F.floor(place(p)), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(place(p)), F.col("_v")))
-        share = F.max(place(p) - F.floor(place(p)))
+        place = F.lit(p) * (F.col("_n") - 1)
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
         aggs.append((low + (high - low) * share).alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
+    return upto.groupBy(*keys).agg(*aggs)
 
 
 def runs(df: DataFrame, keys: list[str], flag: str, ix: str = "ix") -> DataFrame:
     """keys, start, stop (exclusive), length of every maximal run of consecutive positions where ``flag`` is true.
 
-    A run's ends are found by looking one position around; the k-th start of a track belongs to the k-th end.
+    Runs are found block by block; the few that touch a block's ends are then joined over them.
     """
-    f = F.coalesce(F.col(flag), F.lit(False))
-    seen = lagged(df.select(*keys, ix, f.alias("_f")), keys, ix, _p=("_f", 1), _q=("_f", -1))
-    bucket = F.floor(F.col(ix) / BLOCK)
-    starts = numbered(seen.where(F.col("_f") & ~F.coalesce("_p", F.lit(False))).select(*keys, F.col(ix)), keys, [ix], bucket, "_k").withColumnRenamed(ix, "start")
-    stops = numbered(seen.where(F.col("_f") & ~F.coalesce("_q", F.lit(False))).select(*keys, F.col(ix)), keys, [ix], bucket, "_k").withColumn("stop", F.col(ix) + 1).drop(ix)
-    return starts.join(stops, [*keys, "_k"]).select(*keys, "start", "stop", (F.col("stop") - F.col("start")).alias("length"))
+    on = df.where(F.col(flag)).select(*keys, F.col(ix).alias("_ix"), F.floor(F.col(ix) / BLOCK).alias("_blk"))
+    grouped = on.withColumn("_g", F.col("_ix") - F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy("_ix")))
+    parts = cut(grouped.groupBy(*keys, "_blk", "_g").agg(F.min("_ix").alias("start"), (F.max("_ix") + 1).alias("stop")))
+    at_end = (F.col("start") == F.col("_blk") * BLOCK) | (F.col("stop") == (F.col("_blk") + 1) * BLOCK)
+    whole = _joined(parts.where(at_end), keys, F.lit(0)).select(*keys, "start", "stop")
+    return parts.where(~at_end).select(*keys, "start", "stop").unionByName(whole).withColumn("length", F.col("stop") - F.col("start"))
+
+
+def _joined(spans: DataFrame, keys: list[str], gap: Column, *sums: str) -> DataFrame:
+    """Spans of a key (few) that lie no farther than ``gap`` apart made one, with the sums of ``sums``."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    new = F.coalesce((F.col("start") - F.lag("stop").over(w) > gap).cast("int"), F.lit(1))
+    grouped = spans.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w))
+    return grouped.groupBy(*keys, "_s").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *[F.sum(c).alias(c) for c in sums]).drop("_s")
 
 
 def merged(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Spans closer than ``gap`` positions joined to one: keys, start, stop, parts.  Spans of a key mustn't overlap."""
-    k = numbered(spans.select(*keys, "start", "stop"), keys, ["start"], F.floor(F.col("start") / BLOCK), "_i")
-    seen = lagged(k, keys, "_i", _before=("stop", 1), _after=("start", -1))
-    opens, closes = F.col("start") - F.col("_before") >= gap, F.col("_after") - F.col("stop") >= gap
-    bucket = F.floor(F.col("_i") / BLOCK)
-    firsts = numbered(seen.where(F.coalesce(opens, F.lit(True))).select(*keys, "start", "_i"), keys, ["_i"], bucket, "_k").withColumnRenamed("_i", "_i0")
-    lasts = numbered(seen.where(F.coalesce(closes, F.lit(True))).select(*keys, "stop", "_i"), keys, ["_i"], bucket, "_k")
-    return firsts.join(lasts, [*keys, "_k"]).select(*keys, "start", "stop", (F.col("_i") - F.col("_i0") + 1).alias("parts"))
+    """Spans closer than ``gap`` positions joined to one: keys, start, stop, parts.  Spans of a key mustn't overlap.
+
+    Spans are joined block by block; the first and the last of each block are then joined over the blocks.
+    """
+    at = spans.select(*keys, "start", "stop", F.floor(F.col("start") / BLOCK).alias("_blk"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("start")
+    new = F.coalesce((F.col("start") - F.lag("stop").over(w) >= gap).cast("int"), F.lit(1))
+    grouped = at.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
+    parts = grouped.groupBy(*keys, "_blk", "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("parts"))
+    parts = cut(parts.withColumn("_last", F.max("_g").over(Window.partitionBy(*keys, "_blk"))))
+    at_end = (F.col("_g") == 1) | (F.col("_g") == F.col("_last"))
+    columns = [*keys, "start", "stop", "parts"]
+    return parts.where(~at_end).select(*columns).unionByName(_joined(parts.where(at_end).select(*columns), keys, F.lit(gap - 1), "parts").select(*columns))

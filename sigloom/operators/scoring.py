@@ -9,10 +9,19 @@ from sigloom.functions.levels import finite
 from sigloom.operators import layout
 
 
+#: Rows of a dimension at most.
+MOST = 1000
+
+
 def with_each(df: DataFrame, dimension: DataFrame) -> DataFrame:
-    """``df`` with every row of a small dimension (gates, readings of a grid), which becomes a literal list in the plan."""
-    kinds = dict(dimension.dtypes)
-    items = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in dimension.collect()]
+    """``df`` with every row of a small dimension (gates, readings of a grid), which becomes a literal list in the plan.
+
+    A dimension of more than ``MOST`` rows is refused.
+    """
+    kinds, rows = dict(dimension.dtypes), dimension.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"a dimension has {MOST} rows at most")
+    items = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in rows]
     if not items:
         return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
     return df.withColumn("_item", F.explode(F.array(*items))).select(*df.columns, "_item.*")

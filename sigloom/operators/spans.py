@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sigloom.operators import layout
 from sigloom.operators.layout import BLOCK
 
+#: Time cells of a group.
+CELLS = 4096
+
 
 def isolated(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Spans with no neighbour closer than ``gap`` on either side."""
@@ -80,18 +83,24 @@ def interpolated(points: DataFrame, anchors: DataFrame, key: str, at: str, value
 def count_within(points: DataFrame, events: DataFrame, ident: str, at: str, reach: int, cell: int) -> DataFrame:
     """ident, near: how many events lie within ``reach`` of each point (points that aren't events themselves).
 
-    No pair is ever made: the count is the events up to the end of a point's reach less those before its beginning, and
-    both are running counts in two levels, over time cells (one row a cell) and inside a cell.
+    No pair is ever made: the count is the events up to the end of a point's reach less those before its beginning.  Both
+    are running counts over instants (what falls on one instant is counted before), in three levels: over groups of time
+    cells, over the cells of a group, and inside a cell.
     """
-    e = events.select(F.lit(None).cast("long").alias(ident), F.col(at).alias("_at"), F.lit(0).alias("_sign"), F.lit(1).alias("_one"))
     ends = F.array(F.struct((F.col(at) + reach).alias("_at"), F.lit(1).alias("_sign")), F.struct((F.col(at) - reach - 1).alias("_at"), F.lit(-1).alias("_sign")))
-    p = points.select(ident, F.explode(ends).alias("_e")).select(ident, "_e.*", F.lit(0).alias("_one"))
-    both = e.unionByName(p).withColumn("_b", F.floor(F.col("_at") / cell))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = both.groupBy("_b").agg(F.sum("_one").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_b").orderBy("_at", F.desc("_one")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = both.join(cells, "_b").withColumn("_upto", F.col("_start") + F.sum("_one").over(inside))
-    return upto.where(F.col("_sign") != 0).groupBy(ident).agg(F.sum(F.col("_sign") * F.col("_upto")).alias("near"))
+    asked = layout.cut(points.select(ident, F.explode(ends).alias("_e")).select(ident, "_e.*"))
+    moments = events.select(F.col(at).alias("_at"), F.lit(1).alias("_one")).unionByName(asked.select("_at", F.lit(0).alias("_one")))
+    moments = layout.cut(moments.groupBy("_at").agg(F.sum("_one").alias("_one")).withColumn("_b", F.floor(F.col("_at") / cell)).withColumn("_c", F.floor(F.col("_b") / CELLS)))
+
+    def start(df: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*(within or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        sums = df.groupBy(*within, by).agg(F.sum("_one").alias("_n"))
+        return sums.select(*within, by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(name))
+
+    inside = Window.partitionBy("_c", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = moments.join(start(moments, ["_c"], "_b", "_s1"), ["_c", "_b"]).join(start(moments, [], "_c", "_s0"), "_c")
+    upto = known.select("_at", (F.col("_s0") + F.col("_s1") + F.sum("_one").over(inside)).alias("_upto"))
+    return asked.join(upto, "_at").groupBy(ident).agg(F.sum(F.col("_sign") * F.col("_upto")).alias("near"))
 
 
 def rises(df: DataFrame, keys: list[str], ix: str, value: str) -> DataFrame:

@@ -59,7 +59,7 @@ summary AS (SELECT tape, candidate, metric, side, median, CASE better WHEN 'high
 
 
 def summary(spark, d):
-    return scoring.summarise(scoring.deltas(v.readings(spark, d)), specs(spark))
+    return layout.cut(scoring.summarise(scoring.deltas(v.readings(spark, d)), specs(spark)))  # a few rows a tape
 
 
 @query(f"WITH {DELTAS} SELECT tape, candidate, win, metric, round(delta, 4) AS delta FROM deltas")
@@ -122,7 +122,7 @@ def lost(dist):
 
 
 def filled(spark, d):
-    return scoring.fill_missing(lost(scoring.distances(scoring.flattened(summary(spark, d)), grid(spark))))
+    return layout.cut(scoring.fill_missing(lost(scoring.distances(scoring.flattened(summary(spark, d)), grid(spark)))))
 
 
 @query(f"WITH {FLAT} SELECT tape, candidate, reading, round(value, 9) AS value FROM flat")
@@ -159,7 +159,7 @@ reward AS (SELECT tape, candidate, family AS worst_family, CASE WHEN tripped THE
 
 def reward(spark, d):
     s = summary(spark, d)
-    rates = scoring.win_rates(scoring.pair_points(scoring.fill_missing(lost(scoring.distances(scoring.flattened(s), grid(spark))))))
+    rates = scoring.win_rates(scoring.pair_points(layout.cut(scoring.fill_missing(lost(scoring.distances(scoring.flattened(s), grid(spark)))))))
     trips = s.where("metric = 'noise' AND side = 'delta'").groupBy("tape", "candidate").agg((F.count_if(F.col("median") > 14) > 0).alias("tripped"))
     return scoring.rewards(rates, trips)
 
@@ -224,7 +224,7 @@ MOVES = FLAT + """, moves AS (SELECT c.tape, c.candidate, c.reading, c.ix, c.raw
 
 
 def moves(spark, d):
-    return scoring.moves(lost(scoring.distances(scoring.flattened(summary(spark, d)), grid(spark))), "5-LOW")
+    return scoring.moves(layout.cut(lost(scoring.distances(scoring.flattened(summary(spark, d)), grid(spark)))), "5-LOW")
 
 
 @query(f"""WITH {MOVES} SELECT tape, candidate, reading, CASE WHEN mine IS NULL AND theirs IS NOT NULL THEN true WHEN move > 0 AND mine - 0.6 > 0 THEN greatest(move, mine - 0.6) > 0.4 ELSE false END AS trips FROM moves""")
@@ -252,7 +252,7 @@ def holm(spark, d):
 SELECT metric, round(max(p95), 5) AS tie_floor, round(avg(p95), 5) AS mean_floor FROM t GROUP BY metric""")
 def benign_floor(spark, d):
     """Floor of a metric: per tape the 95 % quantile of deviations from the median of all; the largest is the tie floor."""
-    x = scoring.deltas(v.readings(spark, d))
+    x = layout.cut(scoring.deltas(v.readings(spark, d)))
     c = layout.quantiles(x, ["metric"], "delta", centre=0.5)
     t = layout.quantiles(x.join(c, "metric").withColumn("dev", F.abs(F.col("delta") - F.col("centre"))), ["metric", "tape"], "dev", p95=0.95)
     return t.groupBy("metric").agg(F.round(F.max("p95"), 5).alias("tie_floor"), F.round(F.avg("p95"), 5).alias("mean_floor"))

@@ -56,7 +56,7 @@ def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, fix, ls, lo: levels (root mean square) of source and output in whole frames."""
     g = pair(spark, sf_dir).groupBy("track", F.floor(F.col("ix") / FRAME).alias("fix"))
     levels = g.agg(F.sqrt(F.avg(F.col("src") * F.col("src"))).alias("ls"), F.sqrt(F.avg(F.col("out") * F.col("out"))).alias("lo"), F.count("*").alias("n"))
-    return levels.where(F.col("n") == FRAME).drop("n")
+    return layout.cut(levels.where(F.col("n") == FRAME).drop("n"))  # read again by most queries, an eighth of the rows
 
 
 FRAME_PAIRS = PAIR + f""", frame_pairs AS (
@@ -67,7 +67,7 @@ FRAME_PAIRS = PAIR + f""", frame_pairs AS (
 def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, fix, level: levels of the long tracks in whole frames."""
     g = signal_long(spark, sf_dir).groupBy("track", F.floor(F.col("ix") / FRAME).alias("fix"))
-    return g.agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"), F.count("*").alias("n")).where(F.col("n") == FRAME).drop("n")
+    return layout.cut(g.agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"), F.count("*").alias("n")).where(F.col("n") == FRAME).drop("n"))
 
 
 FRAME_LEVELS = LONG + f""", frame_levels AS (

@@ -90,3 +90,29 @@ def test_interpolated_across_cells(spark):
     for k, t in points:
         a = [(x, y) for i, x, y in anchors if i == k]
         assert have[k, t] == (pytest.approx(float(np.interp(t, *zip(*a)))) if a else None)
+
+
+def test_large_keys_are_spread_over_ranges_of_values(spark, monkeypatch):
+    """A constant track, one with an outlier, one with many ties, and a small one."""
+    monkeypatch.setattr(layout, "SMALL", 50)
+    rnd = random.Random(4)
+    tracks = {1: [5.0] * 400, 2: [*(rnd.gauss(0, 1) for _ in range(600)), 1e12], 3: [float(rnd.randrange(4)) for _ in range(300)], 4: [1.0, 2.0, 4.0]}
+    df = spark.createDataFrame([(t, x) for t, v in tracks.items() for x in v], "track long, x double").repartition(4)
+    for p in (0.0, 0.13, 0.5, 0.9, 1.0):
+        got = {r.track: r.q for r in layout.quantiles(df, ["track"], "x", q=p).collect()}
+        assert got == pytest.approx({t: float(np.percentile(v, 100 * p)) for t, v in tracks.items()})
+    large = df.groupBy("track").agg(F.count("*").alias("_n")).where("_n > 50")
+    plan = layout._large_quantiles(df.withColumnRenamed("x", "_v"), large, ["track"], {"q": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
+    own = df.where("track = 2").withColumnRenamed("x", "_v")
+    cuts = own.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 10_000)).head()[0]
+    sizes = np.bincount(np.searchsorted(cuts, tracks[2], side="left"))
+    assert sizes.max() < 40, "the outlier does not push the others into one range"
+
+
+def test_count_within_an_hour_that_holds_all(spark):
+    rnd = random.Random(7)
+    events = [rnd.randrange(3600) for _ in range(500)] + [1800] * 400 + [10**7, 10**7 + 3]
+    points = [(i, rnd.randrange(3700)) for i in range(200)] + [(500, 1800), (501, 10**7 + 1), (502, -50)]
+    got = spans.count_within(spark.createDataFrame(points, "pid long, t long"), spark.createDataFrame([(e,) for e in events], "t long"), "pid", "t", 60, 3600).collect()
+    assert {r.pid: r.near for r in got} == {i: sum(abs(e - t) <= 60 for e in events) for i, t in points}
