@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.operators import kernels, layout
@@ -92,8 +92,6 @@ def warp(features: DataFrame, size: int = 200, overlap: int = 20, band: int = 16
         path = path[path["ref"].isin(df.loc[df["_own"], "ix"])]
         return pd.DataFrame({"track": int(df["track"].iloc[0]), "ref": path["ref"], "proc": path["proc"], "_blk": int(df["_blk"].iloc[0])})
 
-    from pyspark.sql import Window
-
     path = halo.groupBy("track", "_blk").applyInPandas(run, "track long, ref long, proc long, _blk long")
     tops = path.groupBy("track", "_blk").agg(F.max("proc").alias("_m"))
     tops = tops.select("track", "_blk", F.max("_m").over(Window.partitionBy("track").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
@@ -107,9 +105,8 @@ def quietest_apart(frames: DataFrame, k: int, width: int) -> DataFrame:
     A pick rules out at most 2 * width - 1 frames, so only the k * (2 * width - 1) quietest of a track can matter; these
     few are folded in order.
     """
-    span = frames.groupBy("track").agg(F.min("level").alias("_lo"), F.max("level").alias("_hi"))
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("level") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).otherwise(0)
-    few = layout.numbered(frames.join(span, "track"), ["track"], ["level", "fix"], bucket, "_r").where(F.col("_r") < k * (2 * width - 1))
+    place = F.row_number().over(Window.partitionBy("track").orderBy("level", "fix"))  # a limit by track, which every task applies first
+    few = frames.withColumn("_r", place).where(F.col("_r") <= k * (2 * width - 1))
     items = few.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("level", "fix"))).alias("items"))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<level: DOUBLE, fix: BIGINT>>)")
     free = lambda acc, x: ~F.exists(acc, lambda p: F.abs(p["fix"] - x["fix"]) < width)
@@ -123,7 +120,7 @@ def preference_fit(pairs: DataFrame, names: list[str], l2: float = 0.1, steps: i
     Newton steps: each is one aggregation that sums gradient and curvature, len(names) squared numbers, over all rows.
     """
     scales = [r or 1.0 for r in pairs.agg(*[F.sqrt(F.avg(F.coalesce(F.col(n), F.lit(0.0)) ** 2)) for n in names]).head()]
-    x = pairs.select("y", *[(F.coalesce(F.col(n), F.lit(0.0)) / s).alias(f"_x{i}") for i, (n, s) in enumerate(zip(names, scales, strict=True))])
+    x = layout.cut(pairs.select("y", *[(F.coalesce(F.col(n), F.lit(0.0)) / s).alias(f"_x{i}") for i, (n, s) in enumerate(zip(names, scales, strict=True))]))
     d, w = len(names), np.zeros(len(names))
     for _ in range(steps):
         z = sum((F.col(f"_x{i}") * float(w[i]) for i in range(d)), F.lit(0.0))

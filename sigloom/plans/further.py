@@ -167,15 +167,15 @@ def two_stage_scoring(spark, d):
 
 
 @query(f"""WITH {TOTALS}, best AS (SELECT arg_min(candidate, {{'m': round(m, 9), 'c': candidate}}) AS candidate FROM (SELECT candidate, avg(total) AS m FROM totals GROUP BY candidate)),
-i AS (SELECT DISTINCT p_size AS size FROM part WHERE p_brand = 'Brand#1'), moves AS (SELECT size + step AS size, step FROM i, (VALUES (-1), (1)) s(step) WHERE size + step BETWEEN 1 AND 50)
-SELECT candidate, size, count(*) AS n FROM best, moves WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.size = moves.size) GROUP BY ALL""")
+i AS (SELECT DISTINCT p_brand || p_type AS grid, p_size AS size FROM part), moves AS (SELECT grid, size + step AS size, step FROM i, (VALUES (-1), (1)) s(step) WHERE size + step BETWEEN 1 AND 50)
+SELECT candidate, grid, size, count(*) AS n FROM best, moves WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.grid = moves.grid AND i.size = moves.size) GROUP BY ALL""")
 def neighbour_proposals(spark, d):
-    """Grid neighbours, one step either way, of settings in use that are not in use themselves, for the leader."""
+    """Neighbours on each grid, one step either way, of settings in use that are not in use themselves, for the leader."""
     t = totals(spark, d).groupBy("candidate").agg(F.avg("total").alias("m")).agg(F.min_by("candidate", F.struct(F.round("m", 9), "candidate")).alias("candidate"))
     leader = t.head()["candidate"]
-    i = v.table(spark, d, "part").where("p_brand = 'Brand#1'").select(F.col("p_size").alias("size")).distinct()
+    i = v.table(spark, d, "part").select(F.concat("p_brand", "p_type").alias("grid"), F.col("p_size").alias("size")).distinct()
     moves = i.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size") + 1))).where(F.col("size").between(1, 50))
-    return moves.join(i, "size", "left_anti").groupBy(F.lit(leader).alias("candidate"), "size").agg(F.count("*").alias("n"))
+    return moves.join(i, ["grid", "size"], "left_anti").groupBy(F.lit(leader).alias("candidate"), "grid", "size").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TOTALS}, r AS (SELECT tape, candidate, rank() OVER (PARTITION BY tape ORDER BY round(total, 3)) AS place FROM totals), i AS (SELECT tape, total AS theirs FROM totals WHERE candidate = '5-LOW')

@@ -167,12 +167,12 @@ def degradation_expectations(spark, d):
     return m.groupBy("kind", "want").agg(F.bool_and(ok).alias("holds")).join(q, ["kind", "want"]).select("kind", "want", F.round("q", 5).alias("move_db"), "holds")
 
 
-# block kernels: no SQL; tests compare them with whole-track numpy
+# block kernels: where SQL can't say them, tests compare them with whole-track numpy
 
 
-@query()
+@query(f"WITH RECURSIVE {v.LONG}, numbered AS MATERIALIZED (SELECT * FROM signal_long), {v.filter_steps('numbered', 0.02)} SELECT track, ix, round(y, 6) AS y FROM steps")
 def high_pass(spark, d):
-    return transforms.high_pass(v.signal_long(spark, d), 0.02)
+    return transforms.high_pass(v.signal_long(spark, d), 0.02).select("track", "ix", F.round("y", 6).alias("y"))
 
 
 @query()
@@ -200,7 +200,13 @@ def dtw_path(spark, d):
     return transforms.warp(f.select(F.col("track"), F.col("fix").alias("ix"), F.col("ls").alias("a"), F.col("lo").alias("b")))
 
 
-@query()
+def _apart(k: int, width: int) -> str:
+    """The ``k`` quietest frames, each as far from those before it as it must be."""
+    steps = [f"p{i} AS (SELECT track, {i} AS pick, arg_min(fix, {{'l': level, 'f': fix}}) AS fix, min(level) AS level FROM frame_levels f WHERE " + (" AND ".join(f"NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.track = f.track AND abs(p{j}.fix - f.fix) < {width})" for j in range(i)) or "true") + " GROUP BY track)" for i in range(k)]
+    return f"WITH {v.FRAME_LEVELS}, " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(k))
+
+
+@query(_apart(3, 8))
 def greedy_nonoverlap_topk(spark, d):
     return transforms.quietest_apart(v.frame_levels(spark, d), 3, 8)
 

@@ -49,10 +49,10 @@ def merged_islands(spark, d):
 
 
 @query(f"""WITH {QUIET}, around AS (
-  SELECT track, ix, max(abs(x)) OVER (PARTITION BY track ORDER BY ix ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before,
-         max(abs(x)) OVER (PARTITION BY track ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS after FROM quiet)
-SELECT i.track, i.start, i.stop FROM islands i JOIN around a ON a.track = i.track AND a.ix = i.start JOIN around b ON b.track = i.track AND b.ix = i.stop - 1
-WHERE i.length >= 2 AND a.before >= 0.6 AND b.after >= 0.6""")
+  SELECT track, grp, quiet, ix, max(abs(x)) OVER (PARTITION BY track ORDER BY ix ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before,
+         max(abs(x)) OVER (PARTITION BY track ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS after FROM marked),
+ends AS (SELECT track, min(ix) AS start, max(ix) + 1 AS stop, arg_min(coalesce(before, 0), ix) AS before, arg_max(coalesce(after, 0), ix) AS after FROM around WHERE quiet GROUP BY track, grp)
+SELECT track, start, stop FROM ends WHERE stop - start >= 2 AND before >= 0.6 AND after >= 0.6""")
 def bounded_islands(spark, d):
     """Quiet runs with something loud within four samples on either side."""
     q = quiet(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +117,15 @@ readings AS (
   SELECT tape, candidate, win, route, 'noise' AS metric, q AS src, q2 AS out FROM wide UNION ALL
   SELECT tape, candidate, win, route, 'tone', d, d2 FROM wide UNION ALL
   SELECT tape, candidate, win, route, 'drop', x, CASE WHEN win % 11 <> 0 THEN x2 END FROM wide)"""
+
+
+def filter_steps(samples: str, cutoff: float) -> str:
+    """Common table expressions that run the second-order high-pass over ``samples`` (track, ix, x): steps has y of each."""
+    w = 2 * math.pi * cutoff
+    alpha, cos = math.sin(w) / (2 * 0.70710678), math.cos(w)
+    a0 = 1 + alpha
+    b0, b1, a1, a2 = (1 + cos) / 2 / a0, -(1 + cos) / a0, -2 * cos / a0, (1 - alpha) / a0
+    return f"""steps AS (
+  SELECT track, ix, x, 0::DOUBLE AS x1, {b0!r}::DOUBLE * x AS y, 0::DOUBLE AS y1 FROM {samples} WHERE ix = 0 UNION ALL
+  SELECT n.track, n.ix, n.x, s.x, {b0!r}::DOUBLE * n.x + {b1!r}::DOUBLE * s.x + {b0!r}::DOUBLE * s.x1 - {a1!r}::DOUBLE * s.y - {a2!r}::DOUBLE * s.y1, s.y
+  FROM steps s JOIN {samples} n ON n.track = s.track AND n.ix = s.ix + 1)"""

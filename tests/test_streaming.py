@@ -47,3 +47,31 @@ def test_carried_state_equals_whole_tracks(spark, parts):
     for t, y in out.items():
         x = df[df.user_id == t].value.to_numpy(float)
         assert y[4:] == pytest.approx(x[4 : len(y)].tolist())
+
+
+def test_all_comes_out_of_files_in_any_order(spark, parts, tmp_path):
+    """Many small files, not in order of time: no row is late, and what is open at the end is closed."""
+    path, df = parts
+    mixed = tmp_path / "events.parquet"
+    spark.createDataFrame(df.sample(frac=1, random_state=1)).repartition(9).write.parquet(str(mixed))
+    got = blocks.drained(spark, str(mixed), blocks.tumbling, file_rows=60).agg(F.sum("n")).head()[0]
+    assert got == len(df)
+    y = {(r.track, r.ix): r.y for r in blocks.drained(spark, str(mixed), blocks.overlap_added, file_rows=130).collect()}
+    assert len(y) == len(df)
+    for t, g in df.groupby("user_id"):
+        assert [y[t, i] for i in range(4, len(g))] == pytest.approx(g.value.tolist()[4:])
+
+
+def test_a_query_goes_on_where_it_stopped(spark, parts, tmp_path):
+    import shutil
+
+    path, df = parts
+    inbox, folder = tmp_path / "in.parquet", str(tmp_path / "query")
+    inbox.mkdir()
+    for k in range(6):
+        shutil.copy(f"{path}/part-{k}.parquet", inbox)
+        out = blocks.run(blocks.filtered(blocks.read_events(spark, str(inbox))), folder)
+        assert out.count() == min(k + 1, 5) * len(df) // 5 + (k == 5)
+    got = {r.event_id: r.y for r in out.where("track < 1000000").collect()}
+    for _, g in df.groupby("user_id"):
+        assert [got[e] for e in g.event_id] == pytest.approx(kernels.high_pass(g.value.to_numpy(float), 0.05)[0].tolist())
