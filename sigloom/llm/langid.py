@@ -147,7 +147,8 @@ def fitted(rows: DataFrame) -> LanguageModel:
         at = [np.flatnonzero(p) for p in all_]
         return pd.DataFrame({"at": [a.astype(np.int32) for a in at], "share": [p[a].astype(np.float32) for p, a in zip(all_, at)], "letters": [any(map(str.isalpha, t)) for t in texts]})
 
-    got = sorted(rows.select("lang", F.sha2("text", 256).alias("name"), sparse("text").alias("p")).where("p.letters").select("lang", "name", "p.at", "p.share").collect())
+    found = rows.select("lang", F.sha2("text", 256).alias("name"), sparse("text").alias("p")).select("lang", "name", "p.at", "p.share", "p.letters").collect()
+    got = sorted((r for r in found if r["letters"]), key=lambda r: (r["lang"], r["name"]))  # a filter in the plan would move before the choice of rows
     x = np.zeros((len(got), WIDTH), np.float32)
     for i, r in enumerate(got):
         x[i, r["at"]] = r["share"]
