@@ -137,14 +137,14 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, label) for every set of ``nodes`` (name, b0, b1, bands) that is linked: label is the least name of its component.
+    """(node, label) for every set of ``nodes`` (name, bands) that is linked: label is the least name of its component.
 
     Sets that share a band key and have a true similarity of 0.8 or more link.  First the sets of a key are compared with
     one of them, another in every key, so that a large group of near copies takes as many comparisons as it has members.
     What is left are keys of three sets or more that still hold several components (see ``across``).  ``sets_of`` gives
     name and set of the names it gets.
     """
-    keys = nodes.select("name", "b0", "b1", F.explode("bands").alias("key"))
+    keys = nodes.select("name", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("name", F.xxhash64("name", "key")).alias("first")).where("n > 1")
     held = cut(keys.join(shared, "key"))
     sets = cut(sets_of(held.select("name").distinct()))
@@ -152,39 +152,54 @@ def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
     linked = cut(shingles.similar(stars, sets))
     labels = components(both_ways(linked))
 
-    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "name", "first", "b0", "b1", F.coalesce("label", "name").alias("label"))
-    firsts = at.where(F.col("name") == F.col("first")).select("key", F.col("label").alias("main"))
-    at = cut(at.join(firsts, "key"))
-    open_ = cut(at.join(at.where(F.col("label") != F.col("main")).select("key").distinct(), "key", "left_semi"))
-    return components(both_ways(linked.unionAll(shingles.similar(across(open_, sets), sets))))
-
-
-def across(at: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the pairs across components that may still be similar, of sets that meet in a key.
-
-    ``at`` has key, name, first, b0, b1, label and main (the label of the key's first).  Two sets either share a shingle
-    that at most ``shingles.RARE`` of all sets here have, which such shingles' short lists tell; or all they share is among
-    each one's other shingles, and then both must have enough of these.  So members of a large group that are changed in
-    too many places to be similar to any other are not compared with all of it, and no link is lost.
+    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "name", F.coalesce("label", "name").alias("label"))
+    parts = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = at.join(mains.select("key", F.col("m.label").alias("main")), "key").select("main", "name", "label").distinct()
+    sure, maybe = across(open_, sets)
+    return components(both_ways(linked.unionAll(sure).unionAll(shingles.similar(maybe, sets))))
+
+
+def across(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) across components: links for certain, and those that may be similar; none that is similar is missing but
+    those that these links join anyway.
+
+    ``at`` has main (a group: the most frequent component of a key), name and label (its component so far).  The centre
+    of a group is what more than half of its sets hold.  A set is given by its differences from the centre: m shingles
+    missing, e more.  Two sets are similar if and only if 18 times the differences they share is u + u' or more, where
+    u is 10 m + 8 e - size of the centre.  So the set of least u is linked to all with a sum of 0 or less, and any other pair
+    shares a difference: at the first one, in an order that is one for the whole group and has the rare ones last, what is
+    left of both lists must reach the sum.  Lists are pruned by these bounds before they meet, so that members of a
+    large group that are similar to no other cost what their own differences cost.
     """
-    named = at.select("name", "label").distinct()
-    held = named.join(sets, "name").select("name", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
-    met = held.groupBy("s").agg(F.count("*").alias("c"))
-    counted = cut(held.join(met, "s"))
-    often = counted.groupBy("name").agg(F.first("n").alias("n"), F.count_if(F.col("c") > shingles.RARE).alias("often"))
-    rare = counted.where(F.col("c").between(2, shingles.RARE))
-    x, y = rare.alias("x"), rare.alias("y")
-    share = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-
-    sized = cut(at.join(often, "name"))
-    apart = sized.where(F.col("label") != F.col("main"))  # of two components in a key one at least isn't the main one
-    other = F.col("y.label") != F.col("x.label")
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.name") < F.col("y.name"))
-    untried = (F.col("x.name") != F.col("x.first")) & (F.col("y.name") != F.col("y.first"))
-    enough = F.least("x.often", "y.often") * 9 >= (F.col("x.n") + F.col("y.n")) * 4
-    bits = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
-    met_in_key = apart.alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & other & once & untried & enough & (bits <= shingles.DIFFERENT_BITS))
-    return share.unionAll(met_in_key.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))).distinct()
+    part = cut(at.join(sets, "name"))
+    size = part.groupBy("main").agg(F.count("*").alias("n"))
+    counted = part.select("main", F.explode("set").alias("s")).groupBy("main", "s").agg(F.count("*").alias("c")).where("c > 1")
+    inner = F.col("c") * 2 > F.col("n")
+    often = counted.join(size, "main").where(F.col("c") * shingles.OFTEN >= F.col("n")).withColumn("differ", F.when(inner, F.col("n") - F.col("c")).otherwise(F.col("c")))
+    centres = often.groupBy("main").agg(F.collect_list(F.when(inner, F.col("s"))).alias("centre"), F.sort_array(F.collect_list(F.struct("differ", "s")), asc=False)["s"].alias("often"))
+    none = F.array().cast("array<bigint>")
+    off = part.join(centres, "main", "left").withColumns({"centre": F.coalesce("centre", none), "often": F.coalesce("often", none)})
+    off = off.withColumns({"gone": F.array_except("centre", "set"), "more": F.array_except("set", "centre")})
+    off = off.withColumn("u", F.size("gone") * 10 + F.size("more") * 8 - F.size("centre")).withColumn("d", F.concat("gone", "more"))
+    listed = F.concat(F.array_intersect("often", "d"), F.sort_array(F.array_except("d", "often")))
+    off = cut(off.select("main", "name", "label", "u", listed.alias("listed")))
+
+    middle = off.groupBy("main").agg(F.min(F.struct("u", "name", "label")).alias("mid"))
+    near = F.col("u") + F.col("mid.u") <= 0
+    off = off.join(middle, "main").withColumn("near", near).withColumn("label", F.when(near, F.col("mid.label")).otherwise(F.col("label"))).withColumn("apart", F.col("label") != F.col("mid.label"))
+    sure = off.where(F.col("near") & (F.col("name") != F.col("mid.name"))).select(F.least("name", "mid.name").alias("a"), F.greatest("name", "mid.name").alias("b"))
+    least = off.where("apart").groupBy("main").agg(F.min("u").alias("least"))  # of two components one at least isn't the middle's
+    posted = off.join(least, "main").select("main", "name", "label", "apart", "u", F.when(F.col("apart"), F.col("mid.u")).otherwise(F.col("least")).alias("other"), F.posexplode("listed").alias("at", "s"))
+    reach = (F.col("at") + 1) * 18 - F.col("u")  # a partner's u is this at most
+    posted = cut(posted.select("main", "s", "name", "label", "apart", "u", "other", reach.alias("reach")).where("reach >= other").drop("other"))
+    met = posted.groupBy("main", "s").agg(F.max("reach").alias("most"), F.min("u").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    kept = cut(posted.join(met, ["main", "s"]).where("reach >= low AND u <= most").select(posted.columns))
+    x, y = kept.where("apart").alias("x"), kept.alias("y")
+    once = ~F.col("y.apart") | (F.col("x.name") < F.col("y.name"))
+    fit = (F.col("x.reach") >= F.col("y.u")) & (F.col("y.reach") >= F.col("x.u")) & (F.col("x.label") != F.col("y.label"))
+    found = x.join(y, (F.col("x.main") == F.col("y.main")) & (F.col("x.s") == F.col("y.s")) & once & fit)
+    return sure, found.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
 
 
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -205,7 +220,7 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
         found = texts.join(wanted, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_tt") == F.col("_th")))
         return found.dropDuplicates(["name"]).select("name", shingles.shingle_column("text", words).alias("set"))
 
-    labels = similar_groups(nodes.select("name", "s.b0", "s.b1", "s.bands"), sets_of)
+    labels = similar_groups(nodes.select("name", "s.bands"), sets_of)
     grouped_rows = nodes.join(labels, nodes["name"] == labels["node"], "left").select("row", F.coalesce("label", "name").alias("label"))
     first = grouped_rows.groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"))  # whatever names docs has
