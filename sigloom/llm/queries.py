@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, collision, html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
+from . import bitsliced, collision, exact_dedup, filter_audit, hard_negatives, html_text, langid, mixing, packing, pieces, quality, simhash, toxicity
 from .common import in_fold, labelled_rows, ship, table
 
 
@@ -119,6 +119,83 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP11_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT d.part, coalesce(quality = 1, false)::INTEGER AS good, coalesce(toxic = 1, false)::INTEGER AS toxic,
+         (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+         + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+         + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask
+  FROM texts d LEFT JOIN known k ON d.doc_id = k.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order
+  FROM letters a JOIN letters b ON b.c <> a.c JOIN letters c ON c.c NOT IN (a.c, b.c)
+  JOIN letters d ON d.c NOT IN (a.c, b.c, c.c) JOIN letters e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS own,
+         coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INTEGER AS prior
+  FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+counted AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (mask & (prior | own) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & prior <> 0 AND mask & own <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.v AS asks, c.vec_id, c.label, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor_label, asks ORDER BY score DESC, vec_id) AS place
+  FROM pairs WHERE label = anchor_label),
+far AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.asks, p.place ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+  FROM near p JOIN pairs n ON p.anchor_id = n.anchor_id AND p.anchor_label = n.anchor_label AND p.asks = n.asks AND n.label <> n.anchor_label
+  WHERE p.place <= 5 AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -130,8 +207,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_filters": op11_filters,
+    "op12_exact": op12_exact,
+    "op13_negatives": op13_negatives,
 }
-SQL: dict[str, str] = {"op4_bitsliced": OP4_SQL, "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {
+    "op4_bitsliced": OP4_SQL, "op10_mixing": OP10_SQL, "op11_filters": OP11_SQL, "op12_exact": OP12_SQL, "op13_negatives": OP13_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
