@@ -8,15 +8,16 @@ distance splits the other half into one part more than bits may differ there: on
 
 Scale: equal fingerprints are one node; each node looks up about 40 keys of 43 to 51 bits; every candidate is verified
 in the join itself, so what comes out are true links.  Links per node are bounded by the Hamming ball (2,080).
-Components come from label propagation with pointer jumping on the linked nodes alone.
+Components come from contracting the linked nodes alone, down to a size that one task can join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from . import shingles
 from .common import cut
 
 LINK_BITS = 2
+#: Edges of a graph whose components one task finds (4 MB of them).
+AT_ONCE = 1 << 18
 #: Shingles voted on at a time, so that one very long text stays within a few MB.
 VOTE_BLOCK = 65536
 
@@ -85,23 +88,45 @@ def links(prints: DataFrame) -> DataFrame:
     return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and label of all edges of one task: a forest in which the least node of a tree is its root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(up.setdefault(a, a)), root(up.setdefault(b, b))))
+            up[high] = low
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a, b, both ways): label is the least node of its component.
 
-    Each round a node takes the least label around it, then the label of that label; the rounds needed grow with the
-    logarithm of the longest chain.  Every round is cut at the shared checkpoint folder.
+    Graphs of more than ``at_once`` edges shrink first: every node goes to the least node around it, then on to where that
+    one goes, and edges are put between what is left.  As nodes are hashes, each round leaves a fraction of them, so rounds
+    grow with the logarithm of the graph.  A graph within the bound is joined in one task.  Every round is cut at the
+    shared checkpoint folder.
     """
-    edges = cut(edges)
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(around, labels["node"] == around["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        after = cut(step.join(jump, "to").select("node", "was", F.least("to", "far").alias("label")))
-        moved = after.where(F.col("was") != F.col("label")).limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels
+    edges, rounds = cut(edges), []
+    while edges.count() > at_once:
+        near = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        far = near.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = cut(near.join(far, "to").select("node", F.least("to", "far").alias("label")))
+        rounds.append(step)
+        left = edges.join(step.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("la", "b")
+        left = left.join(step.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        edges = cut(left.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    labels = cut(edges.where("a < b").select("a", "b").repartition(1).mapInArrow(_joined, "node long, label long"))
+    for step in reversed(rounds):
+        last = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = step.join(last, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return cut(labels) if rounds else labels
 
 
 def grouped(nodes: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import xxhash
 from sigloom.llm import simhash
 
@@ -56,3 +58,21 @@ def test_links_are_complete(spark):
 def test_very_long_text():
     text = " ".join(str(i % 977) for i in range(150_000))
     assert simhash.fingerprint(text) == slow(text)
+
+
+def test_components_of_large_and_small_graphs(spark):
+    """Chains, stars, cliques and a long path, contracted in rounds and joined at once."""
+    rnd = random.Random(8)
+    names = rnd.sample(range(-(10**12), 10**12), 900)
+    pairs = [(names[i], names[i + 1]) for i in range(300)] + [(names[400], names[i]) for i in range(401, 500)]
+    pairs += [(names[i], names[j]) for i in range(500, 512) for j in range(500, i)] + [(names[i], names[i + 1]) for i in range(600, 800, 3)]
+    groups = {}
+    for a, b in pairs:
+        one = groups.get(a, {a}) | groups.get(b, {b})
+        for x in one:
+            groups[x] = one
+    want = sorted((x, min(g)) for x, g in groups.items())
+    df = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a long, b long").repartition(5)
+    for at_once in (0, 40, 10**6):
+        assert sorted(map(tuple, simhash.components(df, at_once).collect())) == want
+    assert simhash.components(df.where("false")).collect() == []
