@@ -129,6 +129,16 @@ def runs(df: DataFrame, keys: list[str], flag: str, ix: str = "ix") -> DataFrame
     return parts.where(~at_end).select(*keys, "start", "stop").unionByName(whole).withColumn("length", F.col("stop") - F.col("start"))
 
 
+def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, ix: str = "ix") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its keys up to and including its own, in two levels: blocks, then rows."""
+    b = df.withColumn("_v", value).withColumn("_blk", F.floor(F.col(ix) / BLOCK))
+    sums = b.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(ix).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return b.join(starts, [*keys, "_blk"]).withColumn(name, F.col("_start") + F.sum("_v").over(inside)).drop("_v", "_blk", "_start")
+
+
 def _joined(spans: DataFrame, keys: list[str], gap: Column, *sums: str) -> DataFrame:
     """Spans of a key (few) that lie no farther than ``gap`` apart made one, with the sums of ``sums``."""
     w = Window.partitionBy(*keys).orderBy("start")

@@ -25,11 +25,6 @@ def by_block(samples: DataFrame, kernel: Callable[[np.ndarray, int], dict[str, n
     return halo.groupBy("track", "_blk").applyInPandas(run, "track long, ix long, " + schema)
 
 
-def high_pass(samples: DataFrame, cutoff: float, context: int = 400, block: int = layout.BLOCK) -> DataFrame:
-    """High-passed samples; the context lets the filter's start die away (below 1e-9 for cutoffs from 0.01 on)."""
-    return by_block(samples, lambda x, at: {"y": kernels.high_pass(x, cutoff)[0]}, "y double", context, block)
-
-
 def cancel_tone(samples: DataFrame, freq: float, half: int = 40, block: int = layout.BLOCK) -> DataFrame:
     """Samples less a tone; phases are absolute, and the context covers the smoothing twice, so blocks don't show."""
     return by_block(samples, lambda x, at: {"y": kernels.cancel_tone(x, at, freq, half)}, "y double", 2 * half + 1, block)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.functions.levels import power_spectrum
-from sigloom.operators import layout, transforms
+from sigloom.operators import filters, layout, transforms
 from sigloom.plans import views as v
 from sigloom.plans.signals import MASKED, masked
 
@@ -172,7 +172,7 @@ def degradation_expectations(spark, d):
 
 @query(f"WITH RECURSIVE {v.LONG}, numbered AS MATERIALIZED (SELECT * FROM signal_long), {v.filter_steps('numbered', 0.02)} SELECT track, ix, round(y, 6) AS y FROM steps")
 def high_pass(spark, d):
-    return transforms.high_pass(v.signal_long(spark, d), 0.02).select("track", "ix", F.round("y", 6).alias("y"))
+    return filters.high_pass(v.signal_long(spark, d), 0.02).select("track", "ix", F.round("y", 6).alias("y"))
 
 
 @query()

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sigloom.operators import kernels, transforms
+from sigloom.operators import filters, kernels, transforms
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def ordered(df, column="y"):
 def test_high_pass_blocks_do_not_show(signal):
     x, df = signal
     whole, _ = kernels.high_pass(x, 0.05)
-    assert np.abs(ordered(transforms.high_pass(df, 0.05, block=256)) - whole).max() < 1e-9
+    assert np.abs(ordered(filters.high_pass(df, 0.05, block=256)) - whole).max() < 1e-9
 
 
 def test_high_pass_state_carries(signal):
