@@ -7,8 +7,9 @@ like) are left out, and the rest is joined block by block.
 
 Such an element is known by its name or by a class, id or role that says nothing else: every word of it must be a
 known one ("ad-slot", but not "ad-free" or "share-price"), or labelled pages must have it outside their articles only.
-An element that holds the page's main article, or a form or mixed class around nearly all of the page's words, is
-none of them.
+An element that holds the page's main article is none of them, nor is a form or an element with other names too that
+outweighs the rest of the page, nor one known by its class that holds nearly all of it and is no list of links.  A menu or
+advert whose end tag is missing ends where running text begins.
 
 Every page is read in its own task, in time proportional to its length; only the weights, one number per tag, come from
 a bounded sample of pages.
@@ -53,27 +54,34 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 _CAMEL, _APART = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z]+")
-#: What an element's mark is: none, set by its name or class, the same where most of a page may be inside, comments.
-FREE, OFF, WRAPPER, COMMENTS = range(4)
+#: Elements of running text, and the words that mark them: others (a banner headline, a copyright line) don't.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote figcaption pre".split())
+RUNNING_WORDS = ASIDE_WORDS - frozenset("banner masthead notice notices copyright disclaimer menu nav navigation overlay toolbar topbar complementary contentinfo skip".split())
+#: Elements that end an advert or a menu whose own end is missing.
+RESUMES = frozenset("p h1 h2 h3 h4 h5 h6 article main section".split())
+#: What an element's mark is: none, set by its name or class, the same where most of a page may be inside, comments, comments by one
+#: name of several.
+FREE, OFF, WRAPPER, COMMENTS, MAYBE_COMMENTS = range(5)
+#: How many times the rest of the page an element must hold for its mark to be wrong; words from which it may be by class alone.
+OUTWEIGHS, FAR_OUTWEIGHS, STORY_WORDS = 2, 10, 30
 
 
 @dataclass
 class Weights:
-    """What a tag adds to the score (a word adds 1): ``other`` stands for tags that the labelled pages don't have, ``aside``
-    for any tag (and -0.25 for a word) inside elements that are no part of an article, ``bound`` for the ends of a marked one.
-    ``classes`` holds class names with a word of such elements that labelled pages have, less than 0 for outside."""
+    """What a tag adds to the score (a word adds 1): ``other`` stands for tags that the labelled pages don't have, ``bound`` for the
+    ends of a marked article.  What is inside elements that are no part of an article adds nothing, so that a long advert can't cut
+    off the shorter side of a story.  ``classes`` holds class names with a word of such elements that labelled pages have, less than 0 for outside."""
 
     tags: dict[str, float] = field(default_factory=dict)
     other: float = -0.3
-    aside: float = -0.1
     bound: float = -10.0
     classes: dict[str, float] = field(default_factory=dict)
 
     def of(self, kind: str, value: str, aside: bool) -> float:
-        if kind == "text":
-            return (-0.25 if aside else 1.0) * len(value.split())
         if aside:
-            return self.aside
+            return 0.0
+        if kind == "text":
+            return float(len(value.split()))
         return self.bound if value.lstrip("/") in ("article", "main") else self.tags.get(value, self.other)
 
 
@@ -91,16 +99,18 @@ def _names(tag: str) -> list[tuple[str, tuple[str, ...]]]:
 def _mark(name: str, tag: str, classes: dict[str, float]) -> int:
     """Whether an element is no part of an article by its own name and classes."""
     names = _names(tag) if "=" in tag else []
-    sure = [w for n, w in names if any(x in ASIDE_WORDS for x in w) and (all(x in ASIDE_WORDS or x in PLACE_WORDS for x in w) or classes.get(n, 0.0) <= -2.0)]
+    listed = RUNNING_WORDS if name in RUNNING else ASIDE_WORDS
+    sure = [w for n, w in names if any(x in listed for x in w) and (all(x in ASIDE_WORDS or x in PLACE_WORDS for x in w) or classes.get(n, 0.0) <= -2.0)]
+    alone = len(sure) == len(names)  # no other name says what the element is
     if any(x in COMMENT_WORDS for w in sure for x in w):
-        return COMMENTS
+        return COMMENTS if alone else MAYBE_COMMENTS
     if name in ("html", "body", "main", "article"):
         return FREE
     if name in ASIDE:
         return WRAPPER if name == "form" else OFF
     if not sure:
         return FREE
-    return WRAPPER if any(not any(x in ASIDE_WORDS or x in PLACE_WORDS for x in w) for _, w in names) else OFF
+    return OFF if alone else WRAPPER
 
 
 def _pieces(page: str) -> Iterator[tuple[str, str]]:
@@ -161,47 +171,80 @@ def tokens(page: str | None, classes: dict[str, float] | None = None) -> list[tu
     that is no part of an article; ``header`` is one unless it is inside an article.
     """
     page, classes = page or "", classes or {}
-    parts: list[tuple[str, str, int]] = []
-    parent, marks, words, names = [-1], [FREE], [0], [""]  # of elements in page order; the first is the page
-    open_, depth = [0], Counter()
+    parsed = _parsed(page, classes, frozenset())
+    if early := frozenset(e for e in parsed.unclosed if parsed.marks[e] in (OFF, WRAPPER) and parsed.names[e] != "form"):
+        parsed = _parsed(page, classes, early)
+    return _judged(parsed)
+
+
+@dataclass
+class _Page:
+    """The parts of a page with the element each is in, and of each element (in page order; the first is the page) its parent, mark,
+    own words, words in links, and name; ``unclosed`` are those whose end tag is missing."""
+
+    parts: list[tuple[str, str, int]] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [-1])
+    marks: list[int] = field(default_factory=lambda: [FREE])
+    words: list[int] = field(default_factory=lambda: [0])
+    linked: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
+    unclosed: list[int] = field(default_factory=list)
+
+
+def _parsed(page: str, classes: dict[str, float], early: frozenset[int]) -> _Page:
+    """The page's elements; those in ``early`` end where running text or a section begins, if not before."""
+    p = _Page()
+    open_, depth, waiting = [0], Counter(), 0
+
+    def pop() -> int:
+        nonlocal waiting
+        e = open_.pop()
+        depth[p.names[e]] -= 1
+        waiting -= e in early
+        return e
+
     for kind, raw in _pieces(page):
         if kind == "text":
-            parts.append(("text", raw, open_[-1]))
-            words[open_[-1]] += len(raw.split())
+            p.parts.append(("text", raw, open_[-1]))
+            n = len(raw.split())
+            p.words[open_[-1]] += n
+            p.linked[open_[-1]] += n * (depth["a"] > 0)
             continue
         name = _NAME.match(raw)[1].lower()
         if kind == "silent":
-            parts.append(("tag", name, open_[-1]))
+            p.parts.append(("tag", name, open_[-1]))
             continue
         if raw[1] == "/":
-            parts.append(("tag", "/" + name, open_[-1]))
+            p.parts.append(("tag", "/" + name, open_[-1]))
             if depth[name]:
-                while True:
-                    n = names[open_.pop()]
-                    depth[n] -= 1
-                    if n == name:
-                        break
+                while p.names[e := pop()] != name:
+                    p.unclosed.append(e)
             continue
-        if name in SELF_ENDING and names[open_[-1]] == name:
-            depth[name] -= 1
-            open_.pop()
+        if waiting and name in RESUMES:
+            while waiting:
+                pop()
+        if name in SELF_ENDING and p.names[open_[-1]] == name:
+            pop()
         mark = _mark(name, raw, classes)
         if mark == FREE and name == "header" and not depth["article"] and not depth["main"]:
             mark = OFF
-        parent.append(open_[-1]), marks.append(mark), words.append(0), names.append(name)
-        parts.append(("tag", name, len(names) - 1))
+        p.parent.append(open_[-1]), p.marks.append(mark), p.words.append(0), p.linked.append(0), p.names.append(name)
+        p.parts.append(("tag", name, len(p.names) - 1))
         if name not in VOID and not raw.endswith("/>"):
-            open_.append(len(names) - 1)
+            open_.append(len(p.names) - 1)
             depth[name] += 1
-    return _judged(parts, parent, marks, words, names)
+            waiting += len(p.names) - 1 in early
+    p.unclosed += open_[1:]
+    return p
 
 
-def _judged(parts: list, parent: list[int], marks: list[int], words: list[int], names: list[str]) -> list[tuple[str, str, bool]]:
+def _judged(p: _Page) -> list[tuple[str, str, bool]]:
     """Parts with their element's verdict, marks lifted from elements around the page's main article or most of its words."""
-    n = len(parent)
-    total = list(words)
+    n, parent, marks, words, names = len(p.parent), p.parent, p.marks, p.words, p.names
+    total, linked = list(words), list(p.linked)
     for e in range(n - 1, 0, -1):  # children come after their parents
         total[parent[e]] += total[e]
+        linked[parent[e]] += linked[e]
     away, comments = [False] * n, [False] * n
 
     def judge() -> int:
@@ -209,7 +252,7 @@ def _judged(parts: list, parent: list[int], marks: list[int], words: list[int],
         left = words[0]
         for e in range(1, n):
             away[e] = marks[e] != FREE or away[parent[e]]
-            comments[e] = marks[e] == COMMENTS or comments[parent[e]]
+            comments[e] = marks[e] in (COMMENTS, MAYBE_COMMENTS) or comments[parent[e]]
             left += 0 if away[e] else words[e]
         return left
 
@@ -226,12 +269,20 @@ def _judged(parts: list, parent: list[int], marks: list[int], words: list[int],
         inner[e] += words[e]
         if marks[e] == FREE:
             inner[parent[e]] += inner[e]
+    told = bool(main) and not away[main] and inner[main] > 0  # the page marks its article, and it has text of its own
     for e in range(1, n):
-        if marks[e] == WRAPPER and inner[e] >= 10 * left and inner[e] > 0 and not (main and not away[main]):
+        if marks[e] in (FREE, COMMENTS) or not inner[e] or told:
+            continue
+        by_name = names[e] in ASIDE and names[e] != "form"
+        if marks[e] == WRAPPER:
+            wrong = inner[e] >= OUTWEIGHS * left
+        else:  # by class alone, or comments by one name of several: only where hardly anything else is there, and it is no list of links
+            wrong = not by_name and inner[e] >= max(FAR_OUTWEIGHS * left, STORY_WORDS) and 2 * linked[e] < total[e]
+        if wrong:
             lifted, marks[e] = True, FREE
     if lifted:
         judge()
-    return [(kind, value, away[e]) for kind, value, e in parts]
+    return [(kind, value, away[e]) for kind, value, e in p.parts]
 
 
 def _scan(parts: list, weights: Weights) -> tuple[int, int]:

@@ -82,6 +82,34 @@ def test_marks(page, want):
     assert H.extract(page, H.Weights()) == want
 
 
+AD = "<div class='ad'>" + "buy " * 40 + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p>Ten words that no element of the page marks at all.</p><form id='aspnetForm'>{STORY}</form>", f"Ten words that no element of the page marks at all. {TEXT}"),
+        (f"<p>Ten words that no element of the page marks at all.</p><div class='layout right-sidebar'>{STORY}</div>", f"Ten words that no element of the page marks at all. {TEXT}"),
+        (f"<div id='content' class='right-sidebar'>{STORY}</div>", TEXT),
+        (f"<div id='page' class='menu-left'>{STORY}</div>", TEXT),
+        (f"<div class='post related-post'>{STORY}</div>", TEXT),
+        (f"<div class='sidebar-left'>{STORY}</div>", TEXT),
+        (f"<article><div class='container comments'>{STORY}</div></article>", TEXT),
+        (f"<article><h1>Title of the story</h1><p>A short lead here.</p>{AD}{STORY}</article>", f"Title of the story A short lead here. {TEXT}"),
+        (f"<article>{STORY}{AD}<p>A last word on it.</p></article>", f"{TEXT} A last word on it."),
+        (f"<body><nav><a href='/'>Home</a> <a href='/s'>Sport</a>{STORY}</body>", TEXT),
+        (f"<body><div class='ad'>Buy one now<p>{STORY}</body>", TEXT),
+        (f"<article><h1 class='banner'>Big news</h1>{STORY}<p class='copyright'>Told by us.</p></article>", f"Big news {TEXT} Told by us."),
+        (f"<article>{STORY}<p class='ad'>Buy it</p><p class='share'>Tell a friend</p></article>", TEXT),
+        ("<div class='sidebar'>" + "<a href='/'>one more link to read</a> " * 20 + "</div>", ""),
+        (f"<article>{STORY}</article><div class='sidebar'>{'<p>Other news in a few words. </p>' * 60}</div>", TEXT),
+        (f"<div>{STORY}</div><div id='comments'>{'<p>I see it in another way. </p>' * 60}</div>", TEXT),
+    ],
+)
+def test_marks_are_weights_on_what_holds_the_story(page, want):
+    assert H.extract(page, H.Weights()) == want
+
+
 def test_class_names_are_learned():
     other = "<div class='ad-leaderboard'>Buy it now, or tomorrow</div>"
     pages = [f"<body>{other}<article><p>{i} {STORY}</p></article></body>" for i in range(6)]
