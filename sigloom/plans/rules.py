@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import levels, strategy, text
+from sigloom.operators import layout
+from sigloom.plans import spans
 from sigloom.plans import views as v
+from sigloom.plans.signal_work import WELCH, welch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,27 +25,59 @@ def query(sql: str | None = None):
     return add
 
 
-# profiles: a customer's balance and its orders play the readings of a file
+# profiles: what the detectors read from each track, in three passes: samples, mean spectrum, frame levels
 
-PROFILE = """spend AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS mean, max(o_totalprice) AS top FROM orders GROUP BY o_custkey),
-profile AS (SELECT c_custkey AS id, (c_custkey % 101) / 200.0 AS onset_periodicity, (c_nationkey % 11) / 25.0 AS speech_ratio, (c_custkey % 7) / 20.0 AS music_ratio,
-  (c_nationkey % 5) / 20.0 AS ambient_ratio, coalesce(n, 0) > 12 AS has_dialogue, c_acctbal / 400 AS snr_db, (c_custkey % 61 - 30)::DOUBLE AS balance_db,
-  c_custkey % 9 = 0 AS dc, c_custkey % 10 = 0 AS declip, c_custkey % 4 = 0 AS declick, (c_custkey % 5 - 2) * 0.125 AS azimuth_ms, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 45 WHEN 2 THEN 60 ELSE 75 END AS highpass_hz,
-  CASE c_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 50.0 ELSE 60.0 END::DOUBLE AS notch_hz, CASE WHEN c_custkey % 8 = 0 THEN 15625.0 ELSE 0.0 END::DOUBLE AS line_hz, CASE WHEN c_custkey % 6 = 0 THEN 220.5 ELSE 0.0 END::DOUBLE AS resonance_hz,
-  -80.0 + c_custkey % 50 AS floor_db FROM customer LEFT JOIN spend ON o_custkey = c_custkey)"""
+PROFILE = f"""{WELCH}, near AS (SELECT *, coalesce(lag(x, 1) OVER w, 0) AS x1, coalesce(lag(x, 2) OVER w, 0) AS x2 FROM signal_long WINDOW w AS (PARTITION BY track ORDER BY ix)),
+ps_samples AS (SELECT track, abs(avg(x)) > 0.02 AS dc, avg((abs(x) >= 0.98)::INTEGER) > 0.005 AS declip, avg((abs(x - 2 * x1 + x2) > 3.4)::INTEGER) > 0.001 AS declick,
+  10 * log10((sum(x * x) FILTER (channel = 0) + 1e-12) / (sum(x * x) FILTER (channel = 1) + 1e-12)) AS balance_db,
+  CASE WHEN greatest(sum(x * x1), sum(x * x2)) <= 0 THEN 0.0 WHEN sum(x * x1) >= sum(x * x2) THEN 0.125 ELSE 0.25 END::DOUBLE AS azimuth_ms FROM near GROUP BY track),
+ps_bins AS (SELECT track, sum(p) AS total, sum(p) FILTER (bin <= 1) AS low, sum(p) FILTER (bin BETWEEN 3 AND 5) AS speech, sum(p) FILTER (bin BETWEEN 11 AND 13) AS ambient, exp(avg(ln(p)) FILTER (bin BETWEEN 1 AND 15)) / avg(p) FILTER (bin BETWEEN 1 AND 15) AS flat,
+  sum(p) FILTER (bin = 4) AS p4, sum(p) FILTER (bin = 6) AS p6, avg(p) FILTER (bin IN (3, 5, 7)) AS beside, max(p) FILTER (bin BETWEEN 10 AND 15) / quantile_cont(p, 0.5) FILTER (bin BETWEEN 10 AND 15) AS line,
+  max(p) FILTER (bin BETWEEN 2 AND 9) / quantile_cont(p, 0.5) FILTER (bin BETWEEN 2 AND 9) AS peak, arg_max(bin, p) FILTER (bin BETWEEN 2 AND 9) AS top FROM psd GROUP BY track),
+ps_frames AS (SELECT track, sqrt(avg(x * x)) AS level FROM signal_long GROUP BY track, ix // {v.FRAME} HAVING count(*) = {v.FRAME}),
+ps_levels AS (SELECT track, quantile_cont(level, 0.1) AS quiet, quantile_cont(level, 0.9) AS loud FROM ps_frames GROUP BY track),
+profile AS (SELECT s.track AS id, coalesce(periodicity, 0) AS onset_periodicity, speech / total AS speech_ratio, 1 - flat AS music_ratio, ambient / total AS ambient_ratio, loud - quiet > 0.4 AS has_dialogue,
+  20 * log10(loud / quiet) AS snr_db, round(balance_db, 6) AS balance_db, dc, declip, declick, azimuth_ms, CASE WHEN low / total > 0.3 THEN 75 WHEN low / total > 0.1 THEN 60 WHEN low / total > 0.02 THEN 45 ELSE 0 END AS highpass_hz,
+  CASE WHEN greatest(p4, p6) > 1.3 * beside THEN CASE WHEN p4 >= p6 THEN 50.0 ELSE 60.0 END ELSE 0.0 END::DOUBLE AS notch_hz, CASE WHEN line >= 1.4 THEN 15625.0 ELSE 0.0 END::DOUBLE AS line_hz, CASE WHEN peak >= 1.5 THEN top * 110.0 ELSE 0.0 END::DOUBLE AS resonance_hz,
+  20 * log10(quiet) AS floor_db FROM ps_samples s JOIN ps_bins USING (track) JOIN ps_levels USING (track) LEFT JOIN ({spans.SQL["onset_periodicity"]}) o USING (track))"""
 
 
 def profile(spark, d):
-    spend = v.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
-    c = v.table(spark, d, "customer").join(spend, k == F.col("o_custkey"), "left")
-    return c.select(
-        k.alias("id"), ((k % 101) / 200.0).alias("onset_periodicity"), ((n % 11) / 25.0).alias("speech_ratio"), ((k % 7) / 20.0).alias("music_ratio"), ((n % 5) / 20.0).alias("ambient_ratio"),
-        (F.coalesce("n", F.lit(0)) > 12).alias("has_dialogue"), (F.col("c_acctbal") / 400).alias("snr_db"), (k % 61 - 30).cast("double").alias("balance_db"), (k % 9 == 0).alias("dc"), (k % 10 == 0).alias("declip"),
-        (k % 4 == 0).alias("declick"), ((k % 5 - 2) * 0.125).alias("azimuth_ms"), F.when(k % 4 == 0, 0).when(k % 4 == 1, 45).when(k % 4 == 2, 60).otherwise(75).alias("highpass_hz"),
-        F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 50.0).otherwise(60.0).alias("notch_hz"), F.when(k % 8 == 0, 15625.0).otherwise(0.0).alias("line_hz"), F.when(k % 6 == 0, 220.5).otherwise(0.0).alias("resonance_hz"),
-        (F.lit(-80.0) + k % 50).alias("floor_db"),
+    """One row a track: the readings that decide on its treatment."""
+    x = layout.cut(v.signal_long(spark, d))
+    near = layout.lagged(x, ["track"], x1=("x", 1), x2=("x", 2)).fillna(0.0, ["x1", "x2"])
+    share = lambda c: F.avg(c.cast("int"))
+    energy = lambda k: F.coalesce(F.sum(F.when(F.col("channel") == k, F.col("x") * F.col("x"))), F.lit(0.0)) + 1e-12
+    one, two = F.sum(F.col("x") * F.col("x1")), F.sum(F.col("x") * F.col("x2"))
+    samples = near.groupBy("track").agg(
+        (F.abs(F.avg("x")) > 0.02).alias("dc"), (share(F.abs("x") >= 0.98) > 0.005).alias("declip"), (share(F.abs(F.col("x") - 2 * F.col("x1") + F.col("x2")) > 3.4) > 0.001).alias("declick"),
+        F.round(10 * F.log10(energy(0) / energy(1)), 6).alias("balance_db"), F.when(F.greatest(one, two) <= 0, 0.0).when(one >= two, 0.125).otherwise(0.25).alias("azimuth_ms"),
     )
+    bins = layout.cut(welch(spark, d))
+    among = lambda lo, hi, c="p": F.when(F.col("bin").between(lo, hi), F.col(c))
+    beside = F.avg(F.when(F.col("bin").isin(3, 5, 7), F.col("p")))
+    p4, p6, total = F.sum(among(4, 4)), F.sum(among(6, 6)), F.sum("p")
+    spectrum = bins.groupBy("track").agg(
+        levels.rumble_highpass(F.sum(among(0, 1)) / total).alias("highpass_hz"), (F.sum(among(3, 5)) / total).alias("speech_ratio"), (F.sum(among(11, 13)) / total).alias("ambient_ratio"),
+        (1 - F.exp(F.avg(F.log(among(1, 15)))) / F.avg(among(1, 15))).alias("music_ratio"), F.when(F.greatest(p4, p6) > 1.3 * beside, F.when(p4 >= p6, 50.0).otherwise(60.0)).otherwise(0.0).alias("notch_hz"),
+        F.when(F.max(among(10, 15)) / F.percentile(among(10, 15), 0.5) >= 1.4, 15625.0).otherwise(0.0).alias("line_hz"),
+        F.when(F.max(among(2, 9)) / F.percentile(among(2, 9), 0.5) >= 1.5, F.max_by("bin", among(2, 9)) * 110.0).otherwise(0.0).alias("resonance_hz"),
+    )
+    frames = x.groupBy("track", F.floor(F.col("ix") / v.FRAME).alias("f")).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"), F.count("*").alias("n")).where(F.col("n") == v.FRAME)
+    q = layout.quantiles(frames, ["track"], "level", quiet=0.1, loud=0.9)
+    both = samples.join(spectrum, "track").join(q, "track").join(spans.QUERIES["onset_periodicity"](spark, d), "track", "left")
+    readings = ["speech_ratio", "music_ratio", "ambient_ratio", "balance_db", "dc", "declip", "declick", "azimuth_ms", "highpass_hz", "notch_hz", "line_hz", "resonance_hz"]
+    return both.select(
+        F.col("track").alias("id"), F.coalesce("periodicity", F.lit(0.0)).alias("onset_periodicity"), (F.col("loud") - F.col("quiet") > 0.4).alias("has_dialogue"),
+        (20 * F.log10(F.col("loud") / F.col("quiet"))).alias("snr_db"), (20 * F.log10("quiet")).alias("floor_db"), *readings,
+    )
+
+
+@query(f"WITH {PROFILE} SELECT id, round(onset_periodicity, 5) AS onset_periodicity, round(speech_ratio, 5) AS speech_ratio, round(music_ratio, 5) AS music_ratio, round(ambient_ratio, 5) AS ambient_ratio, has_dialogue, round(snr_db, 4) AS snr_db, round(balance_db, 4) AS balance_db, dc, declip, declick, azimuth_ms, highpass_hz, notch_hz, line_hz, resonance_hz, round(floor_db, 4) AS floor_db FROM profile")
+def profile_row(spark, d):
+    """The profile of each track, as the rules read it."""
+    digits = {"onset_periodicity": 5, "speech_ratio": 5, "music_ratio": 5, "ambient_ratio": 5, "snr_db": 4, "balance_db": 4, "floor_db": 4}
+    return profile(spark, d).withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 MATERIAL = PROFILE + """, kinds AS (SELECT *, CASE WHEN onset_periodicity >= 0.45 THEN 'rhythmic' WHEN speech_ratio >= 0.2 OR has_dialogue THEN 'dialogue'
@@ -83,12 +118,18 @@ def expander_curve(spark, d):
     return profile(spark, d).select("id", strategy.expander_points(F.col("floor_db")).alias("points"))
 
 
-@query("""SELECT CASE WHEN l_quantity < 5 THEN 'silence' WHEN l_discount >= 0.06 AND l_tax >= 0.04 THEN 'mixed' WHEN l_discount >= 0.06 THEN 'speech' WHEN l_tax >= 0.04 THEN 'music' ELSE 'mixed' END AS route,
-  l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL""")
+ROUTE = v.POWER64 + """, shares AS (SELECT track, frame_ix, list_sum(p) AS total, list_sum(list_slice(p, 4, 9)) / list_sum(p) AS speech, list_sum(list_slice(p, 10, 21)) / list_sum(p) AS music FROM power64)"""
+
+
+@query(f"""WITH {ROUTE} SELECT track, CASE WHEN total < 1e-6 THEN 'silence' WHEN speech >= 0.22 AND music >= 0.42 THEN 'mixed' WHEN speech >= 0.22 THEN 'speech' WHEN music >= 0.42 THEN 'music' ELSE 'mixed' END AS route, count(*) AS n FROM shares GROUP BY ALL""")
 def route_window(spark, d):
-    speech, music = F.col("l_discount") >= 0.06, F.col("l_tax") >= 0.04
-    route = F.when(F.col("l_quantity") < 5, "silence").when(speech & music, "mixed").when(speech, "speech").when(music, "music").otherwise("mixed")
-    return v.table(spark, d, "lineitem").groupBy(route.alias("route"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+    """Frames of each track by what most of their energy is."""
+    p = v.frames64(spark, d).select("track", F.explode(F.array(levels.power_spectrum(F.col("x"), 64))).alias("p"))  # one power spectrum a row
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    shares = p.select("track", total(F.col("p")).alias("total"), total(F.slice("p", 4, 6)).alias("a"), total(F.slice("p", 10, 12)).alias("b"))
+    speech, music = F.col("a") >= 0.22 * F.col("total"), F.col("b") >= 0.42 * F.col("total")
+    route = F.when(F.col("total") < 1e-6, "silence").when(speech & music, "mixed").when(speech, "speech").when(music, "music").otherwise("mixed")
+    return shares.groupBy("track", route.alias("route")).agg(F.count("*").alias("n"))
 
 
 # scalar functions
