@@ -86,12 +86,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, **probs: float) -> Dat
     One aggregation finds them for keys of up to ``SMALL`` rows.  Larger keys are spread over many tasks: equal values are
     counted, not sorted, and the counts are added up in two levels, over ranges of values that hold about equally many.
     """
-    known = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
-    large = cut(known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL))
+    # keys as one struct: a null key is a key like others in every join
+    known = cut(df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).alias("_v")))
+    large = cut(known.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL))
     names, wanted = list(probs), F.array(*[F.lit(p) for p in probs.values()])
-    small = known if large.isEmpty() else known.join(large.select(*keys), keys, "left_anti")
-    q = small.groupBy(*keys).agg(F.percentile("_v", wanted).alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return q if small is known else q.unionByName(_large_quantiles(known, large, keys, probs))
+    small = known if large.isEmpty() else known.join(large.select("_key"), "_key", "left_anti")
+    q = small.groupBy("_key").agg(F.percentile("_v", wanted).alias("_q")).select("_key", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    q = q if small is known else q.unionByName(_large_quantiles(known, large, ["_key"], probs))
+    return q.select("_key.*", *names)
 
 
 def _large_quantiles(known: DataFrame, large: DataFrame, keys: list[str], probs: dict[str, float], ranges: int = 64) -> DataFrame:

@@ -52,23 +52,27 @@ def staged(spark: SparkSession, path: str, folder: str, file_rows: int = FILE_RO
     return folder
 
 
-def run(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, folder: str | None = None, mode: str = "append", whole: bool = False) -> DataFrame:
     """All that the stream gives for the input that is there now, as a table.
 
     ``folder`` holds the table and the state of the query; given again, the query goes on where it stopped and reads only
-    what is new.  Without one, a new folder in the shared checkpoint folder is used.
+    what is new.  Without one, a new folder in the shared checkpoint folder is used.  ``whole`` raises where a row came too
+    late for the watermark (in the batches whose progress Spark keeps), as it would be missing without a word.
     """
     spark = stream.sparkSession
     folder = folder or posixpath.join(layout.shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", posixpath.join(folder, "out")).option("checkpointLocation", posixpath.join(folder, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
+    late = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    if whole and late:
+        raise RuntimeError(f"{late} rows came later than the watermark: the store doesn't list files in the order in which they were set")
     return spark.read.schema(stream.schema).parquet(posixpath.join(folder, "out"))
 
 
 def drained(spark: SparkSession, path: str, form: Callable[[DataFrame], DataFrame], file_rows: int = FILE_ROWS) -> DataFrame:
     """What ``form`` gives for all events at ``path``, windows and tails that are open at the end included."""
     folder = posixpath.join(layout.shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    out = run(form(read_events(spark, staged(spark, path, posixpath.join(folder, "in"), file_rows))), folder)
+    out = run(form(read_events(spark, staged(spark, path, posixpath.join(folder, "in"), file_rows))), folder, whole=True)
     kind = dict(out.dtypes)["track"]
     return out.where(~F.col("track").eqNullSafe(F.lit(END_TYPE if kind == "string" else END_TRACK)))
 
@@ -109,7 +113,7 @@ def overlap_added(events: DataFrame, frame: int = 8, late: str = "1 hour") -> Da
 
     Each frame is weighted by a square-root Hann window twice, so that frames add up to the signal; the first half
     frame, which only one frame covers, comes out faded in.  A track that is silent for ``SILENT_DAYS`` is closed: what is
-    unfinished is padded with zeros and comes out.
+    unfinished is padded with zeros and comes out; should it be heard again, it fades in anew at the next position.
     """
     hop = frame // 2
     window = np.sin(np.pi * (np.arange(frame) + 0.5) / frame) ** 2
@@ -130,7 +134,7 @@ def overlap_added(events: DataFrame, frame: int = 8, late: str = "1 hour") -> Da
         flat = np.concatenate(out) if out else np.zeros(0)
         if state.hasTimedOut:
             flat = flat[:upto]
-            state.remove()
+            state.update(([], [0.0] * hop, done + len(flat)))  # where the track goes on if it is heard again
         else:
             state.update((x[at:].tolist(), tail.tolist(), done + len(flat)))
             state.setTimeoutTimestamp(int(df["ts"].max().timestamp() * 1000) + SILENT_DAYS * 86_400_000)

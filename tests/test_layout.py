@@ -101,6 +101,9 @@ def test_large_keys_are_spread_over_ranges_of_values(spark, monkeypatch):
     for p in (0.0, 0.13, 0.5, 0.9, 1.0):
         got = {r.track: r.q for r in layout.quantiles(df, ["track"], "x", q=p).collect()}
         assert got == pytest.approx({t: float(np.percentile(v, 100 * p)) for t, v in tracks.items()})
+    nulls = df.selectExpr("nullif(track, 2) AS track", "x", "1 AS k")
+    got = {r.track: r.q for r in layout.quantiles(nulls, ["track", "k"], "x", q=0.13).collect()}
+    assert got == pytest.approx({(None if t == 2 else t): float(np.percentile(v, 13)) for t, v in tracks.items()})
     large = df.groupBy("track").agg(F.count("*").alias("_n")).where("_n > 50")
     plan = layout._large_quantiles(df.withColumnRenamed("x", "_v"), large, ["track"], {"q": 0.5})._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan

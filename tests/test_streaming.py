@@ -75,3 +75,31 @@ def test_a_query_goes_on_where_it_stopped(spark, parts, tmp_path):
     got = {r.event_id: r.y for r in out.where("track < 1000000").collect()}
     for _, g in df.groupby("user_id"):
         assert [got[e] for e in g.event_id] == pytest.approx(kernels.high_pass(g.value.to_numpy(float), 0.05)[0].tolist())
+
+
+def test_a_track_that_was_silent_goes_on(spark, tmp_path):
+    """Closed after years of silence, heard again: positions go on, none twice."""
+    inbox, folder = tmp_path / "in.parquet", str(tmp_path / "query")
+    inbox.mkdir()
+    batches = [(1, 0, 11), (2, 800, 3), (3, 1600, 3), (1, 2400, 9), (2, 3200, 3), (3, 4000, 1)]
+    for k, (user, day, n) in enumerate(batches):
+        ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(day, "D") + pd.to_timedelta(range(n), "s")
+        df = pd.DataFrame({"event_id": np.arange(n) + 100 * k, "ts": ts.astype("datetime64[us]"), "user_id": user, "event_type": "a", "value": 1.0, "props": "{}"})
+        df.to_parquet(inbox / f"part-{k}.parquet", index=False)
+        out = blocks.run(blocks.overlap_added(blocks.read_events(spark, str(inbox))), folder)
+    ix = sorted(r.ix for r in out.where("track = 1").collect())
+    assert ix == list(range(20))
+
+
+def test_late_rows_are_no_silent_loss(spark, tmp_path):
+    inbox, folder = tmp_path / "in.parquet", str(tmp_path / "query")
+    inbox.mkdir()
+    for k, day in enumerate((100, 0)):
+        df = pd.DataFrame({"event_id": [k], "ts": pd.to_datetime([pd.Timestamp("2024-01-01") + pd.to_timedelta(day, "D")]).astype("datetime64[us]"), "user_id": 1, "event_type": "a", "value": 1.0, "props": "{}"})
+        df.to_parquet(inbox / f"part-{k}.parquet", index=False)
+        stream = blocks.tumbling(blocks.read_events(spark, str(inbox)))
+        if k:
+            with pytest.raises(RuntimeError, match="later than the watermark"):
+                blocks.run(stream, folder, whole=True)
+        else:
+            blocks.run(stream, folder, whole=True)
