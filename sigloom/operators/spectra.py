@@ -60,9 +60,9 @@ def tolerance(harmonic: int, base: float = 1.0, slope: float = 0.5, most: float
     return 0.5 * min(base + slope * (harmonic - 1), most)
 
 
-def standing_out(psd: np.ndarray, width: float, f0: float, count: int, bars: tuple[float, float], core: int) -> dict[int, float]:
+def standing_out(psd: np.ndarray, width: float, f0: float, count: int, bars: tuple[float, float], core: int) -> dict[int, tuple[float, float]]:
     """Harmonics of ``f0`` that stand above the median of their neighbourhood (bins 3 to 30 off) by the bar for core or later
-    ones, and are a line of their own within two bins: number to excess in dB.  ``width`` is a bin in Hz."""
+    ones, and are a line of their own within two bins: number to (excess in dB, that median).  ``width`` is a bin in Hz."""
     out = {}
     for h in range(1, count + 1):
         at = round(h * f0 / width)
@@ -74,7 +74,7 @@ def standing_out(psd: np.ndarray, width: float, f0: float, count: int, bars: tup
         local = near + int(np.argmax(psd[near : at + 5]))
         excess = 10 * math.log10(peak / floor)
         if abs(local - at) <= 2 and excess >= bars[h > core]:
-            out[h] = excess
+            out[h] = (excess, float(floor))
     return out
 
 
@@ -91,7 +91,9 @@ def hum_plan(
     samples: DataFrame, rate: float, nominal: float = 50.0, count: int = 40, core: int = 8, window: int = 16384, fraction: float = 0.2, stretch: int = 1 << 20, hop: int = 1024,
     furthest: float = 0.5, bars: tuple[float, float] = (3.0, 6.0), margin: float = 100.0,
 ) -> DataFrame:
-    """track, f0, harmonic, line_hz, excess_db: the hum lines of each track to cancel; none for a track without hum.
+    """track, f0, harmonic, line_hz, excess_db, floor: the hum lines of each track to cancel; none for a track without hum.
+
+    ``floor`` is the noise density (power a Hz) beside the line in the quiet frames.
 
     Core harmonics that stand out in the quiet frames (hum is there when the programme is not) vote for the fundamental: the
     one, within 1.5 times ``furthest`` of the nominal, at which their prominences in a long spectrum add up to most; a
@@ -114,10 +116,10 @@ def hum_plan(
             out: list[tuple] = []
             for track, hops, psd in zip(df["track"], df["hops"], df["psd"], strict=True):
                 out += [(track, *line) for line in plan(np.asarray(psd), hops)]
-            yield pd.DataFrame(out, columns=["track", "f0", "harmonic", "line_hz", "excess_db"])
+            yield pd.DataFrame(out, columns=["track", "f0", "harmonic", "line_hz", "excess_db", "floor"])
 
-    def plan(psd: np.ndarray, hops) -> list[tuple[float, int, float, float]]:
-        width = rate / window
+    def plan(psd: np.ndarray, hops) -> list[tuple[float, int, float, float, float]]:
+        width, density = rate / window, 2 / (rate * (hann(window) ** 2).sum())
         t = np.array([h["j"] for h in hops]) * hop / rate
         b = np.array([np.asarray(h["re"]) - 1j * np.asarray(h["im"]) for h in hops]) * np.hanning(len(hops) + 2)[1:-1, None]
         found = [h for h in standing_out(psd, width, nominal, core, bars, core) if h <= top]
@@ -135,17 +137,17 @@ def hum_plan(
         if abs(f0 - nominal) > furthest:
             return []
         lines = []
-        for h, excess in standing_out(psd, width, f0, top, bars, core).items():
+        for h, (excess, floor) in standing_out(psd, width, f0, top, bars, core).items():
             reach = tolerance(h) + furthest
             offs = np.arange(-reach, reach, rate / (len(hops) * hop) / 4)
             near = np.abs(np.exp(-2j * np.pi * np.outer(h * (f0 - nominal) + offs, t)) @ b[:, h - 1]) ** 2
             i = int(np.argmax(near))
             off = offs[i] + (offs[1] - offs[0]) * _peak(near, i)
             if abs(off) <= tolerance(h):
-                lines.append((float(f0), h, float(h * f0 + off), float(excess)))
+                lines.append((float(f0), h, float(h * f0 + off), float(excess), floor * density))
         return lines
 
-    return both.mapInPandas(fit, f"track {dict(samples.dtypes)['track']}, f0 double, harmonic int, line_hz double, excess_db double")
+    return both.mapInPandas(fit, f"track {dict(samples.dtypes)['track']}, f0 double, harmonic int, line_hz double, excess_db double, floor double")
 
 
 def span_peak(left: np.ndarray, right: np.ndarray, rate: float, reach: int, band: tuple[float, float] = (150.0, 7000.0), least_bins: int = 64) -> tuple[float, float] | None:
@@ -236,7 +238,7 @@ def channel_skew(pairs: DataFrame, rate: float, most: int, span: int | None = No
     return r.select("track", lag.alias("lag"), F.coalesce(F.size("p"), F.lit(0)).alias("spans"), F.col("v.agree").alias("agree"), F.round("v.coherence", 4).alias("coherence"), why.alias("reason"), delay.alias("delay_ms"))
 
 
-def _running_median(m: np.ndarray, k: int, axis: int) -> np.ndarray:
+def running_median(m: np.ndarray, k: int, axis: int) -> np.ndarray:
     """Median of ``k`` neighbours along an axis, the edge values repeated beyond the ends."""
     pad = [(k // 2, k // 2) if a == axis else (0, 0) for a in range(m.ndim)]
     return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(m, pad, mode="edge"), k, axis=axis), axis=-1)
@@ -249,7 +251,7 @@ def parted(x: np.ndarray, at: int, window: int, hop: int, k: int) -> tuple[np.nd
     padded = np.concatenate([np.zeros(half), x, np.zeros(half + hop)])
     spec = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, window)[centres] * w, axis=1)
     size = np.abs(spec)
-    steady, struck = _running_median(size, k, 0) ** 2, _running_median(size, k, 1) ** 2
+    steady, struck = running_median(size, k, 0) ** 2, running_median(size, k, 1) ** 2
     mask = steady / (steady + struck + 1e-20)
     frames = np.fft.irfft(spec * mask, window, axis=1) * w
     out, norm = np.zeros(len(padded)), np.zeros(len(padded))
