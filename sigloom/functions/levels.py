@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigloom.functions.constants import E1_FAR_ABOVE, E1_FAR_BELOW, E1_NEAR
+
 
 def amplitude_db(x: Column, floor: float = 1e-12) -> Column:
     return 20 * F.log10(x + floor)
@@ -56,17 +58,16 @@ def quiet_threshold_db(hz: Column) -> Column:
 
 def exponential_integral(x: Column) -> Column:
     """E1(x) for x > 0 by the rational and polynomial approximations of Abramowitz and Stegun, 5.1.53 and 5.1.56."""
-    small = (-0.57721566, 0.99999193, -0.24991055, 0.05519968, -0.00976004, 0.00107857)
-    top, below = (0.2677737343, 8.6347608925, 18.0590169730, 8.5733287401), (3.9584969228, 21.0996530827, 25.6329561486, 9.5733223454)
 
-    def poly(coefficients: tuple[float, ...], x: Column) -> Column:
-        out = F.lit(coefficients[-1])
-        for c in reversed(coefficients[:-1]):
+    def poly(coefficients: tuple[float, ...]) -> Column:
+        """Highest power first."""
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
             out = out * x + c
         return out
 
-    near = poly(small, x) - F.log(x)
-    far = poly((*top, 1.0), x) / poly((*below, 1.0), x) / (x * F.exp(x))
+    near = poly(E1_NEAR[::-1]) - F.log(x)
+    far = poly(E1_FAR_ABOVE) / poly(E1_FAR_BELOW) / (x * F.exp(x))
     return F.when(x < 1, near).otherwise(far)
 
 

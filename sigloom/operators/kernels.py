@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from sigloom.functions.constants import E1_FAR_ABOVE, E1_FAR_BELOW, E1_NEAR
+
 
 def high_pass(x: np.ndarray, cutoff: float, state: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> tuple[np.ndarray, tuple[float, float, float, float]]:
     """Second-order high-pass (Q 0.7071, cutoff in cycles per sample) and its state after the block."""
@@ -55,8 +57,8 @@ def lsa_suppress(power: np.ndarray, noise: np.ndarray, floor: float = 0.1, alpha
 
 
 def _e1(x: np.ndarray) -> np.ndarray:
-    small = np.polyval((0.00107857, -0.00976004, 0.05519968, -0.24991055, 0.99999193, -0.57721566), x) - np.log(x)
-    far = np.polyval((1, 8.5733287401, 18.0590169730, 8.6347608925, 0.2677737343), x) / np.polyval((1, 9.5733223454, 25.6329561486, 21.0996530827, 3.9584969228), x) / (x * np.exp(np.minimum(x, 700)))
+    small = np.polyval(E1_NEAR[::-1], x) - np.log(x)
+    far = np.polyval(E1_FAR_ABOVE, x) / np.polyval(E1_FAR_BELOW, x) / (x * np.exp(np.minimum(x, 700)))
     return np.where(x < 1, small, far)
 
 

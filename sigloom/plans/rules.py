@@ -172,14 +172,18 @@ def text_normalise(spark, d):
     return v.table(spark, d, "benchmark").select("item_id", text.normalised(F.col("text")).alias("norm"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM conversations),
-t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ref FROM a)
-SELECT conv_id, turn, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(text) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, text) / length(ref) END, 6) AS cer FROM t WHERE ref IS NOT NULL""")
+# levenshtein counts bytes in the SQL: each letter beyond ASCII becomes a control character of its own there
+SINGLE = " || ".join(f"chr({k})" for k in (*range(1, 9), *range(14, 32)))
+
+
+@query(rf"""WITH letters AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS l FROM (SELECT unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS c FROM conversations)),
+a AS (SELECT conv_id, turn, role, text, translate(text, l, {SINGLE}) AS bytes FROM conversations, letters),
+t AS (SELECT conv_id, turn, bytes, lag(bytes) OVER w AS ref FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, turn, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(bytes) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, bytes) / length(ref) END, 6) AS cer FROM t WHERE ref IS NOT NULL""")
 def edit_distance_cer(spark, d):
-    """Character error rate of each turn against the turn before (letters beyond ASCII count as one sign); a conversation's turns are few."""
+    """Character error rate (code points) of each turn against the turn before; a conversation's turns are few."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    a = v.table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
-    t = a.withColumn("ref", F.lag("text").over(w)).where(F.col("ref").isNotNull())
+    t = v.table(spark, d, "conversations").withColumn("ref", F.lag("text").over(w)).where(F.col("ref").isNotNull())
     return t.select("conv_id", "turn", F.round(text.error_rate(F.col("ref"), F.col("text")), 6).alias("cer"))
 
 
