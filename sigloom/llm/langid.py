@@ -5,7 +5,8 @@ three bytes of the lower-cased text) says which side a text is on.  A text's lan
 loss, each bit's loss weighted by how well its classifier did on rows kept from its fit; a small lead over the
 second-best codeword flags the answer as ambiguous.
 
-The classifiers are fitted on the driver from the profiles of a bounded sample of rows with a language (``MOST_ROWS``);
+The classifiers are fitted on the driver from the profiles of a bounded sample of rows with a language (``MOST_ROWS``, or
+``LEAST_ROWS`` a language where that is more), and every language is learned;
 every document is then decoded in its own task, from its whole text.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Rows that a fit uses at most, in expectation, least rows of a language (so at most MOST_ROWS / LEAST_ROWS languages,
-#: the most frequent ones, are learned), and width of the hashed feature space.
+#: Rows that a fit uses, in expectation, dealt out in equal parts to the languages; rows that each language gets all the same
+#: where there are more than MOST_ROWS / LEAST_ROWS of them; and width of the hashed feature space.
 MOST_ROWS, LEAST_ROWS, WIDTH = 2400, 8, 4096
 #: Up to so many languages the code has all splits of them; beyond, ``BITS`` random bits for each doubling of their number.
 EXHAUSTIVE, BITS = 6, 10
@@ -126,15 +127,19 @@ def learned(x: np.ndarray, of: list[str], steps: int = 150, ridge: float = 1e-4)
 
 
 def fit_rows(docs: DataFrame, keep: Column, most: int = MOST_ROWS, least: int = LEAST_ROWS) -> DataFrame:
-    """text, lang: about ``most`` different rows that ``keep`` allows, in equal parts of the languages as far as they go.
+    """text, lang: about ``most`` different rows that ``keep`` allows, in equal parts of the languages as far as they go, but
+    ``least`` rows of each language, however many there are.
 
-    Rows are chosen by a hash of id and text.  Of more than ``most`` / ``least`` languages the most frequent are learned.
+    Rows are chosen by a hash of id and text; the row of a language with the smallest hash is always among them, so that no
+    language is missed by chance.
     """
     known = docs.select("doc_id", "text", "lang").where(keep & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most // least)).collect()  # a bounded number
-    shares = [(r["lang"], int(min(1.0, most / len(sizes) / r["n"]) * (1 << 20) + 1)) for r in sizes]
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()  # a row a language
+    part = max(most / max(1, len(sizes)), float(least))
+    shares = [(r["lang"], max(int(min(1.0, part / r["n"]) * (1 << 20)), r["first"]) + 1) for r in sizes]
     share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share long"))
-    picked = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("_share"))
+    picked = known.join(share, "lang").where(place < F.col("_share"))
     return picked.select("text", "lang").distinct()
 
 

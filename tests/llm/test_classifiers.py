@@ -188,7 +188,13 @@ def test_decoder_against_a_naive_one():
 def test_many_languages(spark):
     df = spark.range(40_000).selectExpr("id AS doc_id", "concat('w', id % 500, ' v', id % 7, ' ', id) AS text", "concat('l', lpad(CAST(id % 500 AS STRING), 3, '0')) AS lang")
     rows = langid.fit_rows(df, F.lit(True))
-    assert rows.select("lang").distinct().count() <= langid.MOST_ROWS // langid.LEAST_ROWS and rows.count() <= 1.5 * langid.MOST_ROWS
+    assert rows.select("lang").distinct().count() == 500 and rows.count() <= 1.5 * langid.LEAST_ROWS * 500
+    few = df.where("doc_id % 500 < 40")
+    model = langid.fitted(langid.fit_rows(few, F.lit(True), most=80))  # 10 languages of 8 rows would use these up
+    assert model.languages == [f"l{i:03d}" for i in range(40)]
+    assert set(langid.identified(few.limit(400), model).toPandas()["lang_pred"]) <= set(model.languages)
+    rare = df.where("doc_id % 500 < 2").union(spark.createDataFrame([(-1, "a single row of its own", "zz")], "doc_id long, text string, lang string"))
+    assert {r.lang for r in langid.fit_rows(rare, F.lit(True), most=4, least=1).collect()} == {"l000", "l001", "zz"}
     assert langid.fit_rows(df.limit(0), F.lit(True)).count() == 0 and langid.fitted(langid.fit_rows(df.limit(0), F.lit(True))).languages == []
     for n in (7, 40, 300):
         code = langid.codewords(n)
