@@ -121,7 +121,8 @@ def programme(bands: DataFrame, smooth: int = 3, reach: int = 4, margin_db: floa
 
 
 def hiss_under_programme(
-    pairs: DataFrame, rate: float, frame: int, smooth: int = 3, reach: int = 4, half: int = 38, least: int = 10, loud: float = 0.7, least_match: float = 0.5, spectrum: Spectrum = spectra.power,
+    pairs: DataFrame, rate: float, frame: int, smooth: int = 3, reach: int = 4, half: int = 38, least: int = 10, loud: float = 0.7, least_match: float = 0.5, margin_db: float = 6.0,
+    spectrum: Spectrum = spectra.power,
 ) -> DataFrame:
     """track, floor_gap_db, median_delta_db, presence_delta_db, gain_db, correlation, share, reason: the hiss that a rendition
     keeps under its programme, against its source.
@@ -147,7 +148,7 @@ def hiss_under_programme(
     power = F.col("po") * F.col("ps")
     fit = fit.select("track", F.when(F.col("po") > TINY, F.col("cross") / F.col("po")).otherwise(0.0).alias("gain"), F.when(power > TINY, F.col("cross") / F.sqrt(power)).otherwise(0.0).alias("correlation"))
 
-    speech = layout.cut(programme(read.select("track", "f", "vad"), smooth, reach))
+    speech = layout.cut(programme(read.select("track", "f", "vad"), smooth, reach, margin_db))
     long_ = read.select("track", "f", F.posexplode(F.arrays_zip("src", "out")).alias("band", "e")).select("track", "f", "band", "e.src", "e.out")
     marked = layout.with_halo(long_.join(speech, ["track", "f"]), half, half, "f")
     _, near = _around(["track", "band"], half, half)

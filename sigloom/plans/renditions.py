@@ -41,8 +41,15 @@ def _within(p: str, bins: list[int]) -> str:
     return "(" + " + ".join(f"{p}[{k + 1}]" for k in bins) + ")" if bins else "0"
 
 
+def pair(spark, d):
+    """track, ix, src, out: the long tracks and their two-tap mean."""
+    s = layout.lagged(v.signal_long(spark, d), ["track"], before=("x", 1))
+    return s.select("track", "ix", F.col("x").alias("src"), (0.5 * F.col("x") + 0.5 * F.coalesce("before", "x")).alias("out"))
+
+
+PAIR = v.LONG + ", pair AS (SELECT track, ix, x AS src, 0.5 * x + 0.5 * coalesce(lag(x) OVER (PARTITION BY track ORDER BY ix), x) AS out FROM signal_long)"
 HANN = f"(0.5 - 0.5 * cos(2 * pi() * (ix % {FRAME}) / {FRAME}))"
-FRAMES = v.PAIR + f""", fr AS (SELECT track, ix // {FRAME} AS f, list(src * {HANN} ORDER BY ix) AS s, list(out * {HANN} ORDER BY ix) AS o, list((src + out) * {HANN} ORDER BY ix) AS b, sqrt(avg(src * src)) AS level
+FRAMES = PAIR + f""", fr AS (SELECT track, ix // {FRAME} AS f, list(src * {HANN} ORDER BY ix) AS s, list(out * {HANN} ORDER BY ix) AS o, list((src + out) * {HANN} ORDER BY ix) AS b, sqrt(avg(src * src)) AS level
   FROM pair GROUP BY track, ix // {FRAME} HAVING count(*) = {FRAME}),
 p AS (SELECT track, f, level, {_power('s', FRAME)} AS s, {_power('o', FRAME)} AS o, {_power('b', FRAME)} AS b FROM fr),
 loud AS (SELECT p.* FROM p JOIN (SELECT track, quantile_cont(level, 0.7) AS q FROM p GROUP BY track) USING (track) WHERE level >= q)"""
@@ -57,8 +64,8 @@ def _high(band: str) -> str:
 
 @query(f"WITH {FRAMES} " + " UNION ALL ".join(_high(b) for b in renditions.HIGH_BANDS))
 def high_ratios(spark, d):
-    """Bands over the body in the loud frames, of events and of their two-tap mean."""
-    r = renditions.high_ratios(v.pair(spark, d), RATE, FRAME, spectrum=spectrum)
+    """Bands over the body in the loud frames, of tracks and of their two-tap mean."""
+    r = renditions.high_ratios(pair(spark, d), RATE, FRAME, spectrum=spectrum)
     return r.select("track", "band", F.round("src_db", 5).alias("src_db"), F.round("out_db", 5).alias("out_db"))
 
 
@@ -73,7 +80,7 @@ def _hiss() -> str:
     return f"""known(band, lo, hi, bar) AS (VALUES {known}), bands AS ({rows}), vad AS ({active}),
 fit AS (SELECT track, {cross} / sum({_within('o', match)}) AS gain, {cross} / sqrt(sum({_within('o', match)}) * sum({_within('s', match)})) AS r FROM loud GROUP BY track),
 av AS (SELECT track, f, i, 10 * log10((coalesce(lag(e) OVER w, e) + e + coalesce(lead(e) OVER w, e)) / 3 + 1e-20) AS l FROM vad WINDOW w AS (PARTITION BY track, i ORDER BY f)),
-act AS (SELECT track, f, bool_or(l > q + 6) AS a FROM av JOIN (SELECT track, i, quantile_cont(l, 0.1) AS q FROM av GROUP BY track, i) USING (track, i) GROUP BY track, f),
+act AS (SELECT track, f, bool_or(l > q + 3) AS a FROM av JOIN (SELECT track, i, quantile_cont(l, 0.1) AS q FROM av GROUP BY track, i) USING (track, i) GROUP BY track, f),
 speech AS (SELECT track, f, bool_or(a) OVER (PARTITION BY track ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS speech FROM act),
 near AS (SELECT track, f, band, speech, quantile_cont(CASE WHEN speech THEN src END, 0.1) OVER w AS ls, quantile_cont(CASE WHEN speech THEN out END, 0.1) OVER w AS lo_, count(*) FILTER (speech) OVER w AS n, count(*) OVER w AS m
   FROM bands JOIN speech USING (track, f) WINDOW w AS (PARTITION BY track, band ORDER BY f ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
@@ -91,7 +98,7 @@ SELECT track, round(CASE WHEN reason IS NULL THEN gap END, 5) AS floor_gap_db, r
 @query(f"WITH {FRAMES}, {_hiss()}")
 def hiss_under_programme(spark, d):
     """What the two-tap mean of each track keeps of its hiss."""
-    r = renditions.hiss_under_programme(v.pair(spark, d), RATE, FRAME, reach=1, half=6, least=5, spectrum=spectrum)
+    r = renditions.hiss_under_programme(pair(spark, d), RATE, FRAME, reach=1, half=6, least=5, margin_db=3.0, spectrum=spectrum)
     return r.select("track", *[F.round(c, 5).alias(c) for c in ("floor_gap_db", "median_delta_db", "presence_delta_db", "gain_db")], F.round("correlation", 6).alias("correlation"), F.round("share", 6).alias("share"), "reason")
 
 
