@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sigloom.plans import decisions, further, programme, renditions, rules, scoring, signal_work, signals, spans, streams
+from sigloom.plans import decisions, further, pauses, programme, renditions, rules, scoring, signal_work, signals, spans, streams
 
-_MODULES = (signals, spans, scoring, rules, signal_work, further, programme, renditions, decisions, streams)
+_MODULES = (signals, spans, scoring, rules, signal_work, further, programme, renditions, decisions, pauses, streams)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
