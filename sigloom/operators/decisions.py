@@ -130,7 +130,7 @@ def refused(settings: DataFrame, incumbent: DataFrame, rules: DataFrame) -> Data
     A rule (key, bound, side: 1 above, -1 below) refuses a value at the bound or past it that heads that way from the incumbent's
     (key, value); a key the incumbent leaves out heads any way.
     """
-    s = settings.where(finite(F.col("value"))).join(F.broadcast(rules), "key").join(incumbent.select("key", F.col("value").alias("_now")), "key", "left")
+    s = settings.where(finite(F.col("value"))).join(rules, "key").join(incumbent.select("key", F.col("value").alias("_now")), "key", "left")
     heads = ~finite(F.col("_now")) | (F.col("side") * (F.col("value") - F.col("_now")) > 0)
     return s.where(heads & (F.col("side") * (F.col("value") - F.col("bound")) >= 0)).select("candidate", "key", "value", "bound", "side")
 

@@ -64,7 +64,7 @@ def overlaid(gates: DataFrame, fresh: DataFrame) -> DataFrame:
     """Gates with fresh thresholds (gate, fresh, verdicted); one that nobody judged may loosen a gate, never tighten it."""
     looser = F.when(F.col("op") == ">=", F.least("threshold", "fresh")).otherwise(F.greatest("threshold", "fresh"))
     new = F.when(F.col("fresh").isNull(), F.col("threshold")).when(F.col("verdicted"), F.col("fresh")).otherwise(looser)
-    return gates.join(F.broadcast(fresh), "gate", "left").withColumn("threshold", new).drop("fresh", "verdicted")
+    return gates.join(fresh, "gate", "left").withColumn("threshold", new).drop("fresh", "verdicted")
 
 
 def flattened(summary: DataFrame) -> DataFrame:
