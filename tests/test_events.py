@@ -1,5 +1,6 @@
 """Events and their gains, injected defects, on planted signals."""
 
+import functools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,15 @@ def test_numbers_of_positions(spark):
     assert abs(g.mean()) < 0.05 and abs(g.std() - 1) < 0.05
     with pytest.raises(KeyError):
         defects.injected(spark.range(1), "none")
+
+
+def test_scene_map_on_a_bar(spark, tmp_path):
+    """A mean that is exactly the bar counts as reaching it, in whatever order its samples are added."""
+    from sigloom.plans import spans
+
+    xs = [31.29, 56.66, 40.73, 37.91, 58.41]  # adds up to less than 225 as doubles, whatever the order
+    assert functools.reduce(lambda a, x: a + x, xs) / 5 < 45
+    rows = [(i, u, f"2024-01-01 0{i}:00:00", x + 10 * (u == 4)) for u in range(5) for i, x in enumerate(xs[u:] + xs[:u])]
+    spark.createDataFrame(rows, "event_id long, user_id long, at string, value double").selectExpr("event_id", "user_id", "CAST(at AS TIMESTAMP_NTZ) AS ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.track: r for r in spans.QUERIES["temporal_scene_map"](spark, str(tmp_path)).collect()}
+    assert [got[u].dialogue_ratio for u in range(4)] == [1.0] * 4 and not any(got[u].n_music for u in range(4))
