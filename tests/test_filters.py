@@ -119,3 +119,17 @@ def test_resampling_keeps_a_tone(spark, up, down):
 def test_resampling_removes_what_the_lower_rate_cannot_hold(spark):
     y = ordered(filters.resampled(frame(spark, np.sin(2 * np.pi * 0.2 * np.arange(2400))), 1, 4))
     assert np.abs(y[60:-60]).max() < 1e-4
+
+
+def test_lone_blocks_pass_no_state_on(spark, monkeypatch):
+    """Tracks of one block, whole or not, and one of two blocks and a rest against the same filter over one array."""
+    rnd = np.random.default_rng(5)
+    tracks = {1: rnd.normal(size=20), 2: rnd.normal(size=64), 3: rnd.normal(size=150)}
+    df = spark.createDataFrame([(t, i, float(v)) for t, x in tracks.items() for i, v in enumerate(x)], "track long, ix long, x double")
+    sections = filters.butterworth("high", 4, 0.1)
+    got = {(r.track, r.ix): r.y for r in filters.recursive(df, sections, block=64, group=2).collect()}
+    f = filters.Cascade(sections)
+    want = {(t, i): float(v) for t, x in tracks.items() for i, v in enumerate(f.run(x, np.zeros(f.size)))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = filters.recursive(df.where("track = 1"), sections, block=64)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan

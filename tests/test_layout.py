@@ -119,3 +119,25 @@ def test_count_within_an_hour_that_holds_all(spark):
     points = [(i, rnd.randrange(3700)) for i in range(200)] + [(500, 1800), (501, 10**7 + 1), (502, -50)]
     got = spans.count_within(spark.createDataFrame(points, "pid long, t long"), spark.createDataFrame([(e,) for e in events], "t long"), "pid", "t", 60, 3600).collect()
     assert {r.pid: r.near for r in got} == {i: sum(abs(e - t) <= 60 for e in events) for i, t in points}
+
+
+def test_numbered_small_and_large_keys(spark, monkeypatch):
+    """Small keys are dealt once and stay dealt by key; large ones are numbered by bucket, with null keys and few rows at once."""
+    rows = [(k, i // 3, i % 3) for k, n in ((1, 400), (2, 7), (None, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, day long, n long").repartition(5)
+    small = layout.numbered(df, ["k"], ["day", "n"], F.col("day"))
+    assert small.groupBy("k", F.floor(F.col("ix") / 8)).count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sorted((str(k), d, n, 3 * d + n) for k, d, n in rows)
+    assert sorted((str(r.k), r.day, r.n, r.ix) for r in small.collect()) == want
+    monkeypatch.setattr(layout, "SMALL", 50)
+    assert sorted((str(r.k), r.day, r.n, r.ix) for r in layout.numbered(df, ["k"], ["day", "n"], F.col("day")).collect()) == want
+    assert layout.numbered(df.limit(0), ["k"], ["day", "n"], F.col("day")).collect() == []
+
+
+def test_a_table_of_few_keys_is_sent_to_the_rows(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS x")
+    per = df.groupBy("k").agg(F.max("x").alias("m"))
+    joined = layout.beside(df, per, ["k"])
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
+    monkeypatch.setattr(layout, "FEW", 2)
+    assert layout.beside(df, per, ["k"]).where("m >= 997").count() == 1000
