@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.levels import bark, power_spectrum, quiet_threshold_db
+from sigloom.functions.levels import bark, quiet_threshold_db
 from sigloom.operators import layout, transforms
 from sigloom.plans import views as v
 from sigloom.plans.scoring import FLAT, TOTALS, filled, totals
-from sigloom.plans.signal_work import WELCH, welch
+from sigloom.plans.signal_work import WELCH, frame_powers, welch
 from sigloom.plans.signals import spectra
 
 QUERIES: dict = {}
@@ -236,12 +236,10 @@ b AS (SELECT track, bin, ln(avg(p) FILTER (WHERE e <= lo) + 1e-12) AS quiet, ln(
 SELECT track, round(corr(quiet, loud), 6) AS similarity FROM b GROUP BY track""")
 def probe_similarity(spark, d):
     """Correlation of the logarithmic mean spectra of a track's quietest and loudest frames."""
-    x = F.col("x") * (0.5 - 0.5 * F.cos(2 * F.pi() * (F.col("ix") % 32) / 32))
-    g = v.signal_long(spark, d).groupBy("track", F.floor(F.col("ix") / 32).alias("fix")).agg(F.array_sort(F.collect_list(F.struct("ix", x.alias("x")))).alias("s"))
-    f = g.where(F.size("s") == 32).select("track", power_spectrum(F.transform("s", lambda s: s["x"]), 32).alias("p"))
-    f = f.withColumn("e", F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
+    f = layout.cut(frame_powers(v.signal_long(spark, d)).select("track", "p", F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("e")))
     q = layout.quantiles(f, ["track"], "e", lo=0.2, hi=0.7)
-    b = f.join(q, "track").select("track", "e", "lo", "hi", F.posexplode("p").alias("bin", "p")).groupBy("track", "bin")
-    log = lambda c: F.log(F.avg(F.when(c, F.col("p"))) + 1e-12)
-    m = b.agg(log(F.col("e") <= F.col("lo")).alias("quiet"), log(F.col("e") >= F.col("hi")).alias("loud"))
-    return m.groupBy("track").agg(F.round(F.corr("quiet", "loud"), 6).alias("similarity"))
+    mean = lambda c, k: F.avg(F.when(c, F.col("p")[k]))
+    per = f.join(q, "track").groupBy("track").agg(*[mean(F.col("e") <= F.col("lo"), k).alias(f"q{k}") for k in range(17)], *[mean(F.col("e") >= F.col("hi"), k).alias(f"l{k}") for k in range(17)])
+    log = lambda c: F.log(F.col(c) + 1e-12)
+    m = per.select("track", F.explode(F.array(*[F.struct(log(f"q{k}").alias("quiet"), log(f"l{k}").alias("loud")) for k in range(17)])).alias("b"))
+    return m.groupBy("track").agg(F.round(F.corr("b.quiet", "b.loud"), 6).alias("similarity"))
