@@ -9,7 +9,7 @@ from sigloom.functions import levels, strategy, text
 from sigloom.operators import layout
 from sigloom.plans import spans
 from sigloom.plans import views as v
-from sigloom.plans.signal_work import WELCH, welch
+from sigloom.plans.signal_work import WELCH, mean_spectrum
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,7 +53,7 @@ def profile(spark, d):
         (F.abs(F.avg("x")) > 0.02).alias("dc"), (share(F.abs("x") >= 0.98) > 0.005).alias("declip"), (share(F.abs(F.col("x") - 2 * F.col("x1") + F.col("x2")) > 3.4) > 0.001).alias("declick"),
         F.round(10 * F.log10(energy(0) / energy(1)), 6).alias("balance_db"), F.when(F.greatest(one, two) <= 0, 0.0).when(one >= two, 0.125).otherwise(0.25).alias("azimuth_ms"),
     )
-    bins = layout.cut(welch(spark, d))
+    bins = mean_spectrum(x)
     among = lambda lo, hi, c="p": F.when(F.col("bin").between(lo, hi), F.col(c))
     beside = F.avg(F.when(F.col("bin").isin(3, 5, 7), F.col("p")))
     p4, p6, total = F.sum(among(4, 4)), F.sum(among(6, 6)), F.sum("p")
@@ -63,9 +63,9 @@ def profile(spark, d):
         F.when(F.max(among(10, 15)) / F.percentile(among(10, 15), 0.5) >= 1.4, 15625.0).otherwise(0.0).alias("line_hz"),
         F.when(F.max(among(2, 9)) / F.percentile(among(2, 9), 0.5) >= 1.5, F.max_by("bin", among(2, 9)) * 110.0).otherwise(0.0).alias("resonance_hz"),
     )
-    frames = x.groupBy("track", F.floor(F.col("ix") / v.FRAME).alias("f")).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("level"), F.count("*").alias("n")).where(F.col("n") == v.FRAME)
+    frames = v.levels(x)
     q = layout.quantiles(frames, ["track"], "level", quiet=0.1, loud=0.9)
-    both = samples.join(spectrum, "track").join(q, "track").join(spans.QUERIES["onset_periodicity"](spark, d), "track", "left")
+    both = samples.join(spectrum, "track").join(q, "track").join(spans.periodicity(frames), "track", "left")
     readings = ["speech_ratio", "music_ratio", "ambient_ratio", "balance_db", "dc", "declip", "declick", "azimuth_ms", "highpass_hz", "notch_hz", "line_hz", "resonance_hz"]
     return both.select(
         F.col("track").alias("id"), F.coalesce("periodicity", F.lit(0.0)).alias("onset_periodicity"), (F.col("loud") - F.col("quiet") > 0.4).alias("has_dialogue"),
