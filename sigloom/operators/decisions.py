@@ -26,11 +26,11 @@ TARGET_I, TARGET_TP, TARGET_LRA, SHORT_S = -16.0, -1.0, 20.0, 3.0
 def rollup(readings: DataFrame) -> DataFrame:
     """candidate, reading, tape, median, p10, n: over all (tape null, whole true), and of each tape (without p10)."""
     levels = F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast(readings.schema["tape"].dataType).alias("tape")), F.struct(F.lit(False).alias("whole"), F.col("tape").alias("tape"))))
-    m = readings.where(finite(F.col("value"))).select("candidate", "reading", "value", levels.alias("l")).select("candidate", "reading", "value", "l.*")
-    m = layout.cut(m)
+    m = layout.counted(readings.where(finite(F.col("value"))), ["candidate", "reading", "tape"], "value")  # equal values are one row before they are doubled
+    m = layout.cut(m.select("candidate", "reading", "value", "_c", levels.alias("l")).select("candidate", "reading", "value", "_c", "l.*"))
     keys = ["candidate", "reading", "whole", "tape"]
-    n = m.groupBy(F.struct(*keys).alias("_k")).agg(F.count("*").alias("n"))
-    q = layout.quantiles(m, keys, "value", median=0.5, p10=0.1).select(F.struct(*keys).alias("_k"), "median", "p10")
+    n = m.groupBy(F.struct(*keys).alias("_k")).agg(F.sum("_c").alias("n"))
+    q = layout.quantiles(m, keys, "value", "_c", median=0.5, p10=0.1).select(F.struct(*keys).alias("_k"), "median", "p10")
     return q.join(n, "_k").select("_k.*", "median", F.when(F.col("_k.whole"), F.col("p10")).alias("p10"), "n")
 
 

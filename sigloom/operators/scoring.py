@@ -42,8 +42,9 @@ def summarise(deltas: DataFrame, specs: DataFrame) -> DataFrame:
     routed = deltas.join(F.broadcast(specs), "metric").where(F.array_contains("routes", F.col("route")))
     melted = routed.select("tape", "candidate", "metric", "better", "target", F.explode(sides).alias("s")).select("tape", "candidate", "metric", "better", "target", "s.*")
     keys = ["tape", "candidate", "metric", "side"]
-    q = layout.quantiles(melted, keys, "x", p10=0.1, median=0.5, p90=0.9, p95=0.95)
-    more = melted.groupBy(*keys).agg(F.max("x").alias("top"), F.count("*").alias("n"), F.first("better").alias("better"), F.first("target").alias("target"))
+    melted = layout.cut(layout.counted(melted, [*keys, "better", "target"], "x"))
+    q = layout.quantiles(melted, keys, "x", "_c", p10=0.1, median=0.5, p90=0.9, p95=0.95)
+    more = melted.groupBy(*keys).agg(F.max("x").alias("top"), F.sum("_c").alias("n"), F.first("better").alias("better"), F.first("target").alias("target"))
     far = F.when(F.abs(F.col("p10") - F.col("target")) > F.abs(F.col("p90") - F.col("target")), F.col("p10")).otherwise(F.col("p90"))
     tail = F.when(F.col("better") == "higher", F.col("p10")).when(F.col("better") == "lower", F.col("p90")).otherwise(far)
     return q.join(more, keys).select(*keys, "median", tail.alias("tail"), "p95", "top", "n")

@@ -111,9 +111,8 @@ steps AS (SELECT c.tape, c.candidate, r.reading, multiple * floor AS lim, CASE w
 
 def flat(spark, d, x, s):
     """Flat readings of the summary ``s``, one of them lost, and the benign floors of the readings ``x``."""
-    centre = layout.quantiles(x, ["metric"], "delta", c=0.5)
-    spread = layout.quantiles(x.join(centre, "metric").withColumn("dev", F.abs(F.col("delta") - F.col("c"))), ["metric", "tape"], "dev", p=0.95)
-    floors = spread.groupBy(F.concat("metric", F.lit(".delta.median")).alias("reading")).agg(F.max("p").alias("floor"))
+    spread = base.deviations(x)
+    floors = spread.groupBy(F.concat("metric", F.lit(".delta.median")).alias("reading")).agg(F.max("p95").alias("floor"))
     gone = (F.col("tape") == 3) & (F.col("candidate") == "1-URGENT") & (F.col("reading") == "drop.delta.median")
     return scoring.flattened(s).withColumn("value", F.when(~gone, F.col("value"))), floors
 

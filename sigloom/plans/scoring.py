@@ -248,13 +248,19 @@ def holm(spark, d):
     return scoring.holm(scoring.sign_tests(moves(spark, d), 0.01), ["candidate"], 0.1)
 
 
+def deviations(x):
+    """metric, tape, p95: the 95 % quantile of deviations from the median of all; equal readings are one row before they meet it."""
+    x = layout.cut(layout.counted(x, ["metric", "tape"], "delta"))
+    centre = layout.quantiles(x, ["metric"], "delta", "_c", centre=0.5)
+    off = layout.beside(x, centre, ["metric"]).withColumn("dev", F.abs(F.col("delta") - F.col("centre")))
+    return layout.quantiles(off, ["metric", "tape"], "dev", "_c", p95=0.95)
+
+
 @query(f"""WITH {DELTAS}, c AS (SELECT metric, quantile_cont(delta, 0.5) AS centre FROM deltas GROUP BY metric), t AS (SELECT metric, tape, quantile_cont(abs(delta - centre), 0.95) AS p95 FROM deltas JOIN c USING (metric) GROUP BY metric, tape)
 SELECT metric, round(max(p95), 5) AS tie_floor, round(avg(p95), 5) AS mean_floor FROM t GROUP BY metric""")
 def benign_floor(spark, d):
     """Floor of a metric: per tape the 95 % quantile of deviations from the median of all; the largest is the tie floor."""
-    x = layout.cut(scoring.deltas(v.readings(spark, d)))
-    c = layout.quantiles(x, ["metric"], "delta", centre=0.5)
-    t = layout.quantiles(x.join(c, "metric").withColumn("dev", F.abs(F.col("delta") - F.col("centre"))), ["metric", "tape"], "dev", p95=0.95)
+    t = deviations(scoring.deltas(v.readings(spark, d)))
     return t.groupBy("metric").agg(F.round(F.max("p95"), 5).alias("tie_floor"), F.round(F.avg("p95"), 5).alias("mean_floor"))
 
 

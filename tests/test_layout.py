@@ -141,3 +141,16 @@ def test_a_table_of_few_keys_is_sent_to_the_rows(spark, monkeypatch):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
     monkeypatch.setattr(layout, "FEW", 2)
     assert layout.beside(df, per, ["k"]).where("m >= 997").count() == 1000
+
+
+def test_quantiles_of_counted_values(spark, monkeypatch):
+    """Values with how often they occur give the quantiles of all rows, for keys below and above the bound."""
+    rnd = random.Random(9)
+    tracks = {1: [float(rnd.randrange(5)) for _ in range(300)], 2: [rnd.gauss(0, 1) for _ in range(30)], None: [1.0, 1.0, 3.0]}
+    df = spark.createDataFrame([(t, x) for t, v in tracks.items() for x in v], "track long, x double").repartition(4)
+    for bound in (layout.SMALL, 50):
+        monkeypatch.setattr(layout, "SMALL", bound)
+        c = layout.counted(df, ["track"], "x")
+        assert c.where("track = 1").count() == 5
+        got = {r.track: (r.a, r.b) for r in layout.quantiles(c, ["track"], "x", "_c", a=0.13, b=0.9).collect()}
+        assert got == pytest.approx({t: tuple(float(np.percentile(v, p)) for p in (13, 90)) for t, v in tracks.items()})
