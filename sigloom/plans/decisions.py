@@ -196,8 +196,8 @@ b AS (SELECT track, loudness, lra, round(peak, 5) AS peak, CASE WHEN seconds > 0
 SELECT track, loudness, lra, peak, array_to_string(blockers, '+') AS blockers, CASE WHEN len(blockers) = 0 THEN 'linear' WHEN blockers = ['true peak'] AND loudness IS NOT NULL THEN 'limited' ELSE 'dynamic' END AS stage FROM b""")
 def loudness_stage(spark, d):
     """What keeps the loudness stage of each track from being linear, and what it does then."""
-    x = layout.cut(v.signal_long(spark, d))
+    x = layout.kept_blocks(v.signal_long(spark, d), "x")
     k = filters.loudness(x, programme.RATE, programme.CELL).select("track", F.round("loudness", 5).alias("loudness"), F.round("lra", 5).alias("lra"))
-    p = x.groupBy("track").agg(F.round(20 * F.log10(F.max(F.abs("x")) + 1e-12), 5).alias("peak"), (F.count("*") / programme.RATE).alias("seconds"))
+    p = layout.unblocked(x, "x").groupBy("track").agg(F.round(20 * F.log10(F.max(F.abs("x")) + 1e-12), 5).alias("peak"), (F.count("*") / programme.RATE).alias("seconds"))
     b = k.join(p, "track").withColumn("b", decisions.linear_blockers(F.col("loudness"), F.col("peak"), F.col("lra"), F.col("seconds")))
     return b.select("track", "loudness", "lra", "peak", F.array_join("b", "+").alias("blockers"), decisions.stage(F.col("b"), F.col("loudness")).alias("stage"))

@@ -155,3 +155,14 @@ def test_quantiles_of_counted_values(spark, monkeypatch):
         rows = layout.quantiles(c, ["track"], "x", "_c", a=0.13, b=0.9).collect()
         for name, p in (("a", 13), ("b", 90)):
             assert {r.track: r[name] for r in rows} == pytest.approx({t: float(np.percentile(v, p)) for t, v in tracks.items()})
+
+
+def test_blocks_and_their_halos(spark):
+    df = spark.createDataFrame([(t, i, float(100 * t + i)) for t, n in ((1, 23), (2, 8), (3, 1)) for i in range(n)], "track int, ix long, x double").repartition(3)
+    blocks = layout.blocked(df, "x", block=4)
+    assert sorted(map(tuple, layout.unblocked(blocks, "x").collect())) == sorted(map(tuple, df.collect()))
+    for before, after in ((0, 0), (1, 0), (0, 3), (6, 9)):
+        for r in layout.haloed(blocks, before, after, "x", block=4).collect():
+            n = {1: 23, 2: 8, 3: 1}[r.track]
+            low, high = max(r.blk * 4 - before, 0), min((r.blk + 1) * 4 + after, n)
+            assert r.first == low and r["at"] == r.blk * 4 - low and r.n == min(4, n - r.blk * 4) and r.x == [100.0 * r.track + i for i in range(low, high)]
