@@ -31,9 +31,8 @@ STEP, DITHER_DB, TINY = 1 / 32768, 10.0, 1e-20
 
 def framed(pairs: DataFrame, frame: int) -> DataFrame:
     """track, f, src, out (arrays), level (root mean square of the source): whole frames, one after the other."""
-    g = pairs.groupBy("track", F.floor(F.col("ix") / frame).alias("f")).agg(F.array_sort(F.collect_list(F.struct("ix", F.col("src").cast("double").alias("src"), F.col("out").cast("double").alias("out")))).alias("s"))
-    level = F.sqrt(F.aggregate("s.src", F.lit(0.0), lambda a, x: a + x * x) / frame)
-    return g.where(F.size("s") == frame).select("track", "f", F.col("s.src").alias("src"), F.col("s.out").alias("out"), level.alias("level"))
+    level = F.sqrt(F.aggregate("src", F.lit(0.0), lambda a, x: a + x * x) / frame)
+    return layout.slices(layout.blocked(pairs, "src", "out"), frame, frame, "src", "out").withColumn("level", level)
 
 
 def bins_within(lo: float, hi: float, rate: float, frame: int, without: tuple[float, ...] = ()) -> list[int]:
@@ -203,7 +202,8 @@ def file_readings(
     """
     frame = floor_frame or int(rate) // 5
     hop = max(1, frame // 2)
-    x = samples.select("track", "ix", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right")).withColumn("x", (F.col("left") + F.col("right")) / 2)
+    held = layout.kept_blocks(samples, "left", "right")
+    x = layout.unblocked(held, "left", "right").withColumn("x", (F.col("left") + F.col("right")) / 2)
     level = lambda c, n=1: F.sqrt(F.sum(c) / (n * F.count("*")))
     squares = {c: F.col(c) * F.col(c) for c in ("left", "right")}
     whole = x.groupBy("track").agg(
@@ -214,7 +214,8 @@ def file_readings(
     ends = pairs.join(whole.select("track", "n"), "track").where(F.col("f") * hop < F.col("n") - 2 * hop)  # a frame that ends with the track is left out
     floor = layout.quantiles(ends.select("track", F.sqrt((F.col("e") + F.col("after")) / (2 * hop)).alias("v")), ["track"], "v", floor=0.1)
 
-    frames = spectra.framed(x, window, window // 2)
+    mono = held.select("track", "blk", "first", F.zip_with("left", "right", lambda a, b: (a + b) / 2).alias("x"))
+    frames = spectra.framed(mono, window, window // 2)
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / window
     level_ = frames.select("track", "x", mean.alias("mean")).select("track", F.transform("x", lambda v: v - F.col("mean")).alias("x"))
     bins = level_.select("track", F.posexplode(spectrum(F.col("x"), window)).alias("bin", "p")).groupBy("track", "bin").agg(F.avg("p").alias("p"))

@@ -12,7 +12,7 @@ def written(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize(("name", "most"), [("plosive_tame", 90), ("sibilant_guard", 100), ("loudness_stage", 45)])
+@pytest.mark.parametrize(("name", "most"), [("plosive_tame", 90), ("sibilant_guard", 100), ("loudness_stage", 45), ("file_readings", 80), ("channel_lag", 80)])
 def test_bytes_moved_a_row(spark, name, most):
     rows, before = spark.read.parquet(f"{D}/lineitem.parquet").count(), written(spark)
     __spark_entry__.queries()[name](spark, D).collect()
