@@ -183,6 +183,7 @@ def hiss_in_pauses(
     bands = bands_of(rate, frame)
     n = len(bands)
     scale = 2 / (frame * float((spectra.hann(frame) ** 2).sum()))
+    pairs = layout.kept_blocks(pairs, "src", "out")
     f = renditions.framed(pairs, frame)
     p = f.select("track", "f", "level", F.sqrt(F.aggregate("out", F.lit(0.0), lambda a, x: a + x * x) / frame).alias("out_level"), spectrum(F.col("src"), frame).alias("s"), spectrum(F.col("out"), frame).alias("o"))
     vad = F.array(*[renditions.energy(F.col("s"), b) for b in (renditions.bins_within(*r, rate, frame) for r in renditions.ACTIVE_BANDS) if b])
