@@ -41,8 +41,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id (null last) of each component of near copies: null and wordless texts are one
-    component, of repeated rows one stays."""
+    """The document with the least id (null last) of each component of near copies, met by multi-index hashing of fingerprints
+    and linked by their sets: null and wordless texts are one component, of repeated rows one stays."""
     ship(spark)
     return simhash.deduplicated(docs)
 

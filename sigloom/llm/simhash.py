@@ -9,6 +9,9 @@ distance splits the other half into one part more than bits may differ there: on
 Scale: equal fingerprints are one node; each node looks up about 40 keys of 43 to 51 bits; every candidate is verified
 in the join itself, so what comes out are true links.  Links per node are bounded by the Hamming ball (2,080).
 Components come from contracting the linked nodes alone, down to a size that one task can join.
+
+``deduplicated`` is the same method for a true similarity of 0.8: a wider fingerprint (``shingles``), an index over its
+bands, likely parts of Hamming balls, and links verified by the sets themselves.
 """
 
 from __future__ import annotations
@@ -164,16 +167,16 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) for every set of ``nodes`` (name, bands) that is linked: label is the least name of its component.
 
-    Sets that share a band key and have a true similarity of 0.8 or more link.  First the sets of a key are compared with
-    one of them, another in every key, so that a large group of near copies takes as many comparisons as it has members.
-    What is left are keys of three sets or more that still hold several components (see ``across``).  ``sets_of`` gives
-    name and set of the names it gets.
+    Sets that meet in the ball around a band (``shingles.around``) and have a true similarity of 0.8 or more link.  First
+    the sets of a key are compared with one of them, another in every key, so that a large group of near copies takes as
+    many comparisons as it has members.  What is left are keys of three sets or more that still hold several components
+    (see ``across``).  ``sets_of`` gives name and set of the names it gets.
     """
-    keys = nodes.select("name", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("name", F.xxhash64("name", "key")).alias("first")).where("n > 1")
-    held = cut(keys.join(shared, "key"))
+    keys = shingles.around(nodes)
+    held = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     sets = cut(sets_of(held.select("name").distinct()))
-    stars = held.where(F.col("name") != F.col("first")).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b")).distinct()
+    centres = held.groupBy("key").agg(F.min_by("name", F.xxhash64("name", "key")).alias("first"))
+    stars = held.join(centres, "key").where(F.col("name") != F.col("first")).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b")).distinct()
     linked = cut(shingles.similar(stars, sets))
     labels = components(both_ways(linked))
 
@@ -232,9 +235,10 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Near copies have sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more (null and wordless texts are
     alike, a text of fewer words is one shingle).  At that similarity fingerprints of 64 bits differ in about 10 bits and
-    in up to 19: Hamming balls that wide hold a seventh of all fingerprints, so sets are met by keys of min-hashes
-    here, and every link is verified.  Of rows that repeat that id the one with the least text hash stays, of exact repeats
-    one; texts of any length are read whole; an empty table gives an empty result.
+    in up to 19, more than whole Hamming balls can hold: fingerprints are wider here, and the index over their bands is
+    searched in the likely part of the ball around each (see ``shingles``).  Every link is verified by the sets.  Of rows
+    that repeat that id the one with the least text hash stays, of exact repeats one; texts of any length are read whole;
+    an empty table gives an empty result.
     """
     prints = docs.select(shingles.sketched("text", words).alias("s"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).alias("row"))
     nodes = cut(prints.groupBy("s.name").agg(F.min("row").alias("row"), F.first("s").alias("s")))  # equal sets are one from here on
