@@ -5,9 +5,9 @@ The similarity of two texts is the Jaccard similarity of their sets of shingles.
 differs with a chance of 0.152, and what differs are the votes that were close: so the Hamming ball around a band, which
 op5 looks up whole, is looked up where it is likely, at the band itself and with one of its ``CLOSE`` closest votes turned
 (a few more where sets are so small that votes tie).  Two texts meet in a band that differs in at most two such votes (a
-chance of 0.4 at 0.8) if the least shingle in the band's own order is the same in both (0.8): that shingle is in the key,
-so that texts that share none don't meet by chance, however many there are.  All bands together miss about 1 pair in
-30,000 at 0.8, and far fewer above.
+chance of 0.31 at 0.8) if the least shingles in the band's own ``LEAST`` orders are the same in both (0.64): these are in
+the key, so that texts that share none don't meet by chance, and those that share a passage seldom, however many there
+are.  All bands together miss about 1 pair in 30,000 at 0.8, and far fewer above.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 SIMILAR = 0.8
-BANDS, BITS = 28, 16
+BANDS, BITS, LEAST = 48, 16, 2
 #: Votes of a band that are turned, one at a time, to look around it, and how many more where a set is small (see ``turned``).
-CLOSE, FEW = 3, 40
+CLOSE, FEW = 2, 80
 #: A shingle that one in so many sets of a group holds is frequent there: a group has at most so many times its mean set of them.
 OFTEN = 16
 #: Shingles hashed at a time, so that one very long text stays within a few MB.
@@ -30,8 +30,8 @@ HASH_BLOCK = 2048
 
 _RANDOM = np.random.default_rng(23)
 _ODD = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RANDOM.integers(0, 1 << 32, (BANDS, 1), dtype=np.uint32)
-_TIMES = _RANDOM.integers(0, 1 << 31, (BANDS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * LEAST, 1), dtype=np.uint32)
+_TIMES = _RANDOM.integers(0, 1 << 31, (BANDS * LEAST, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WORDS = _RANDOM.integers(0, 1 << 63, -(-BANDS * BITS // 64), dtype=np.uint64)
 _BIT = 1 << np.arange(BITS)
 
@@ -67,23 +67,24 @@ def votes(hashes: np.ndarray) -> np.ndarray:
 
 
 def turned(n: int) -> int:
-    """Votes of a band that a set of n shingles turns: 8 for 4 shingles, 5 for 16, ``CLOSE`` from 37 on."""
+    """Votes of a band that a set of n shingles turns: 12 for 4 shingles, 6 for 16, ``CLOSE`` from 77 on."""
     return CLOSE + FEW // (n + 4)
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """(name of the set, its bands): a band is one number, from the top the least shingle in its order (32 bits), the
-    band of the fingerprint (16 bits) and which of its votes were close (16 bits)."""
+    """(name of the set, its bands): a band is one number, from the top a hash of the least shingles in its orders (32
+    bits), the band of the fingerprint (16 bits) and which of its votes were close (16 bits)."""
     name = xxhash.xxh3_64_intdigest(hashes.tobytes())
     if not len(hashes):
         return name, np.zeros(0, np.uint64)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS, (1 << 32) - 1, np.uint32)
+    least = np.full(BANDS * LEAST, (1 << 32) - 1, np.uint32)
     for at in range(0, len(short), HASH_BLOCK):
         np.minimum(least, ((short[None, at : at + HASH_BLOCK] ^ _FLIP) * _TIMES).min(axis=1), out=least)
     won = votes(hashes)
     close = _BIT[np.argsort(np.abs(won), axis=1, kind="stable")[:, : turned(len(hashes))]].sum(axis=1)
-    return name, least.astype(np.uint64) << np.uint64(32) | ((won > 0) @ _BIT << BITS | close).astype(np.uint64)
+    both = _mixed((least.reshape(BANDS, LEAST) * _ODD[:LEAST]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
+    return name, both << np.uint64(32) | ((won > 0) @ _BIT << BITS | close).astype(np.uint64)
 
 
 def sketched(text: Column | str, words: int = 5) -> Column:
@@ -108,7 +109,7 @@ def shingle_column(text: Column | str, words: int = 5) -> Column:
 
 def around(nodes: DataFrame) -> DataFrame:
     """(name, key) of all that the sets of ``nodes`` (name, bands) look up, and are found by: in each band its own value and
-    those of the likely ball around it.  A key is the number of the band, the least shingle and 16 bits, none of them hashed."""
+    those of the likely ball around it.  A key is the number of the band, the hash of its least shingles and 16 bits."""
     at = nodes.select("name", F.posexplode("bands").alias("at", "band"))
     own = F.shiftleft(F.col("at").cast("long"), 32 + BITS).bitwiseOR(F.shiftrightunsigned("band", BITS))
     bits = F.array(*[F.lit(1 << i).cast("long") for i in range(BITS)])

@@ -32,6 +32,8 @@ from .common import cut
 LINK_BITS = 2
 #: Edges of a graph whose components one task finds (4 MB of them).
 AT_ONCE = 1 << 18
+#: Sets of a key that are compared in pairs, 4 a set at most; larger keys go by their differences from a centre.
+PAIRED = 9
 #: Shingles voted on at a time, so that one very long text stays within a few MB.
 VOTE_BLOCK = 65536
 
@@ -169,8 +171,8 @@ def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
 
     Sets that meet in the ball around a band (``shingles.around``) and have a true similarity of 0.8 or more link.  First
     the sets of a key are compared with one of them, another in every key, so that a large group of near copies takes as
-    many comparisons as it has members.  What is left are keys of three sets or more that still hold several components
-    (see ``across``).  ``sets_of`` gives name and set of the names it gets.
+    many comparisons as it has members.  What is left are keys of three sets or more that still hold several components:
+    up to ``PAIRED`` sets are compared in pairs, more by their differences from a centre (see ``across``).  ``sets_of`` gives name and set of the names it gets.
     """
     keys = shingles.around(nodes)
     held = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
@@ -180,12 +182,16 @@ def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
     linked = cut(shingles.similar(stars, sets))
     labels = components(both_ways(linked))
 
-    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "name", F.coalesce("label", "name").alias("label"))
+    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "n", "name", F.coalesce("label", "name").alias("label"))
+    few = at.where(F.col("n") <= PAIRED)
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.label") != F.col("y.label"))
+    pairs = few.alias("x").join(few.alias("y"), apart).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    at = at.where(F.col("n") > PAIRED)
     parts = at.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     open_ = at.join(mains.select("key", F.col("m.label").alias("main")), "key").select("main", "name", "label").distinct()
     sure, maybe = across(open_, sets)
-    return components(both_ways(linked.unionAll(sure).unionAll(shingles.similar(maybe, sets))))
+    return components(both_ways(linked.unionAll(sure).unionAll(shingles.similar(maybe.unionAll(pairs), sets))))
 
 
 def across(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
