@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -72,6 +73,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """``cut``, and the files of shuffles and checkpoints that nothing uses any more go: Spark deletes them when the driver
+    collects its garbage, which with much memory and long jobs may be never."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def in_fold(doc_id: Column | str, parts: int, part: int) -> Column:
     """True where crc32 of the id written as text leaves ``part`` when divided by ``parts``; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts == part, F.lit(False))

@@ -107,17 +107,32 @@ def shingle_column(text: Column | str, words: int = 5) -> Column:
     return of(text)
 
 
-def around(nodes: DataFrame) -> DataFrame:
-    """(name, key) of all that the sets of ``nodes`` (name, bands) look up, and are found by: in each band its own value and
-    those of the likely ball around it.  A key is the number of the band, the hash of its least shingles and 16 bits."""
+def banded(nodes: DataFrame) -> DataFrame:
+    """(name, least, band): a row for each band of ``nodes`` (name, bands); least is its number and the hash of its least shingles."""
     at = nodes.select("name", F.posexplode("bands").alias("at", "band"))
-    own = F.shiftleft(F.col("at").cast("long"), 32 + BITS).bitwiseOR(F.shiftrightunsigned("band", BITS))
+    return at.select("name", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.shiftrightunsigned("band", 32)).alias("least"), "band")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``banded`` whose least shingles are those of another row too: no other can meet a set, as they are in the keys."""
+    return rows.join(rows.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least"), "least").select("name", "least", "band")
+
+
+def looked_up(rows: DataFrame) -> DataFrame:
+    """(name, key) of all that the rows of ``banded`` look up, and are found by: in each band its own value and those of the
+    likely ball around it.  A key is the number of the band, the hash of its least shingles and 16 bits."""
+    own = F.shiftleft("least", BITS).bitwiseOR(F.shiftrightunsigned("band", BITS).bitwiseAND(F.lit((1 << BITS) - 1)))
     bits = F.array(*[F.lit(1 << i).cast("long") for i in range(BITS)])
     close = F.filter(bits, lambda b: F.col("band").bitwiseAND(b) != 0)
-    keys = at.select("name", own.alias("own"), F.explode(F.concat(F.array(F.lit(0).cast("long")), close)).alias("turned"))
+    keys = rows.select("name", own.alias("own"), F.explode(F.concat(F.array(F.lit(0).cast("long")), close)).alias("turned"))
     return keys.select("name", F.col("own").bitwiseXOR(F.col("turned")).alias("key"))
 
 
+def around(nodes: DataFrame) -> DataFrame:
+    """(name, key) of all that the sets of ``nodes`` (name, bands) look up, see ``looked_up``."""
+    return looked_up(banded(nodes))
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (columns name, set) have a true similarity of ``SIMILAR`` (4/5) or more."""
     left, right = sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), sets.select(F.col("name").alias("b"), F.col("set").alias("sb"))

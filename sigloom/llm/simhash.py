@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shingles
-from .common import cut
+from .common import cut, swept
 
 LINK_BITS = 2
 #: Edges of a graph whose components one task finds (4 MB of them).
 AT_ONCE = 1 << 18
 #: Sets of a key that are compared in pairs, 4 a set at most; larger keys go by their differences from a centre.
 PAIRED = 9
+#: Sets of larger keys that a set is compared with, before that.
+NEAREST = 3
 #: Shingles voted on at a time, so that one very long text stays within a few MB.
 VOTE_BLOCK = 65536
 
@@ -169,29 +171,53 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def similar_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) for every set of ``nodes`` (name, bands) that is linked: label is the least name of its component.
 
-    Sets that meet in the ball around a band (``shingles.around``) and have a true similarity of 0.8 or more link.  First
-    the sets of a key are compared with one of them, another in every key, so that a large group of near copies takes as
-    many comparisons as it has members.  What is left are keys of three sets or more that still hold several components:
-    up to ``PAIRED`` sets are compared in pairs, more by their differences from a centre (see ``across``).  ``sets_of`` gives name and set of the names it gets.
+    Sets that meet in the ball around a band (``shingles.around``) and have a true similarity of 0.8 or more link.  Each
+    candidate is decided once, by the cheapest way there is for it, so that a set takes few comparisons however large its group is:
+
+    1. Keys of more than ``PAIRED`` sets: a set is compared with the ``NEAREST`` least sets that it meets in most keys.  The components
+       so far name the groups, a key's by its most frequent one, and ``across`` finds all links inside a group that these leave out.
+    2. Smaller keys: sets are compared with the least one of each key, then what is still apart in pairs.  Two sets that are in one
+       group of the first step are left out, as they have been decided there.
+
+    ``sets_of`` gives name and set of the names it gets.
     """
-    keys = shingles.around(nodes)
+    keys = shingles.looked_up(cut(shingles.shared(shingles.banded(nodes))))
     held = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    sets = cut(sets_of(held.select("name").distinct()))
-    centres = held.groupBy("key").agg(F.min_by("name", F.xxhash64("name", "key")).alias("first"))
-    stars = held.join(centres, "key").where(F.col("name") != F.col("first")).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b")).distinct()
-    linked = cut(shingles.similar(stars, sets))
-    labels = components(both_ways(linked))
-
-    at = held.where("n > 2").join(labels, held["name"] == labels["node"], "left").select("key", "n", "name", F.coalesce("label", "name").alias("label"))
-    few = at.where(F.col("n") <= PAIRED)
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.label") != F.col("y.label"))
-    pairs = few.alias("x").join(few.alias("y"), apart).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-    at = at.where(F.col("n") > PAIRED)
+    sets = swept(sets_of(held.select("name").distinct()))
+    large = held.where(F.col("n") > PAIRED)
+    firsts = large.groupBy("key").agg(F.min("name").alias("first"))
+    shared = large.join(firsts, "key").where("name <> first").groupBy("name", "first").agg(F.count("*").alias("times"))
+    best = shared.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "first")), asc=False), 1, NEAREST)["first"].alias("best"))
+    stars = best.select(F.col("name").alias("a"), F.explode("best").alias("b"))
+    labels = components(both_ways(shingles.similar(stars, sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+
+    at = cut(large.join(labels, large["name"] == labels["node"], "left").select("key", "name", F.coalesce("label", "name").alias("label")))
     parts = at.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = at.join(mains.select("key", F.col("m.label").alias("main")), "key").select("main", "name", "label").distinct()
+    open_ = swept(at.join(mains.select("key", F.col("m.label").alias("main")), "key").select("main", "name", "label").distinct())
     sure, maybe = across(open_, sets)
-    return components(both_ways(linked.unionAll(sure).unionAll(shingles.similar(maybe.unionAll(pairs), sets))))
+
+    in_groups = open_.groupBy("name").agg(F.collect_set("main").alias("mains"))
+    known = sets.select("name").join(labels.withColumnRenamed("node", "name"), "name", "left").join(in_groups, "name", "left")
+    known = known.select("name", F.coalesce("label", "name").alias("label"), F.coalesce("mains", F.array().cast("array<bigint>")).alias("mains"))
+    small = held.where(F.col("n") <= PAIRED).join(known, "name")
+    small = swept(small.join(small.groupBy("key").agg(F.min(F.struct("name", "label", "mains")).alias("first")), "key"))
+    fresh = (F.col("name") != F.col("first.name")) & (F.col("label") != F.col("first.label")) & ~F.arrays_overlap("mains", "first.mains")
+    stars = small.where(fresh).select(F.col("first.name").alias("a"), F.col("name").alias("b"))
+    linked = shingles.similar(stars.unionAll(maybe).distinct(), sets)
+    labels = components(both_ways(_to_labels(labels).unionAll(sure).unionAll(linked)))
+
+    few = small.where("n > 2").join(labels.select(F.col("node").alias("name"), F.col("label").alias("now")), "name", "left")
+    few = few.select("key", "name", "mains", F.coalesce("now", "name").alias("label"), F.col("first.name").alias("first"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.label") != F.col("y.label"))
+    pairs = few.where("name <> first").alias("x").join(few.alias("y"), apart & ~F.arrays_overlap("x.mains", "y.mains"))
+    linked = swept(shingles.similar(pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), sets))
+    return components(both_ways(_to_labels(labels).unionAll(linked)))
+
+
+def _to_labels(labels: DataFrame) -> DataFrame:
+    """Components as pairs (a, b), one a node but the root's."""
+    return labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
 
 
 def across(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +254,7 @@ def across(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     reach = (F.col("at") + 1) * 18 - F.col("u")  # a partner's u is this at most
     posted = cut(posted.select("main", "s", "name", "label", "apart", "u", "other", reach.alias("reach")).where("reach >= other").drop("other"))
     met = posted.groupBy("main", "s").agg(F.max("reach").alias("most"), F.min("u").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    kept = cut(posted.join(met, ["main", "s"]).where("reach >= low AND u <= most").select(posted.columns))
+    kept = swept(posted.join(met, ["main", "s"]).where("reach >= low AND u <= most").select(posted.columns))
     x, y = kept.where("apart").alias("x"), kept.alias("y")
     once = ~F.col("y.apart") | (F.col("x.name") < F.col("y.name"))
     fit = (F.col("x.reach") >= F.col("y.u")) & (F.col("y.reach") >= F.col("x.u")) & (F.col("x.label") != F.col("y.label"))
@@ -258,6 +284,9 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     labels = similar_groups(nodes.select("name", "s.bands"), sets_of)
     grouped_rows = nodes.join(labels, nodes["name"] == labels["node"], "left").select("row", F.coalesce("label", "name").alias("label"))
     first = grouped_rows.groupBy("label").agg(F.min("row").alias("f")).select("f._id", F.col("f._th").alias("_of"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"))  # whatever names docs has
-    kept = rows.join(first, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")))
-    return kept.dropDuplicates(["_id", "_of"]).select("doc.*")
+    # one hash is the key of both the join and what drops repeats, so that texts move once; ids are compared besides
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"), F.xxhash64("doc_id", F.xxhash64("text")).alias("_k"))  # whatever names docs has
+    first = first.withColumn("_ok", F.xxhash64("_id", "_of"))
+    same = F.when(F.col("_d").isNull(), F.col("_id").isNull()).otherwise(F.col("_d") == F.col("_id")) & (F.col("_th").bitwiseXOR(F.col("_of")) == 0)
+    kept = rows.join(first, (F.col("_k") == F.col("_ok")) & same)
+    return kept.dropDuplicates(["_ok", "_id", "_of"]).select("doc.*")

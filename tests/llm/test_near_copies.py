@@ -91,6 +91,30 @@ def test_a_group_changed_in_many_places(spark, vocabulary):
     assert kept(df) == want and 20 < len(want) < len(rows) - 100
 
 
+def test_a_large_group_takes_few_comparisons(spark, monkeypatch):
+    """Members of which many are near no other: comparisons and edges follow the members, not the keys that they share."""
+    rnd, rows, made = random.Random(8), [], {"pairs": 0, "edges": 0}
+    base = [f"b{i}" for i in range(150)]
+    for i in range(400):
+        words = list(base)
+        for p in rnd.sample(range(len(words)), rnd.choice([1, 2, 3, 4, 6])):
+            words[p] = f"c{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    similar, both_ways = shingles.similar, simhash.both_ways
+
+    def counted(of, name):
+        def run(pairs, *more):
+            made[name] += pairs.count()
+            return of(pairs, *more)
+
+        return run
+
+    monkeypatch.setattr(shingles, "similar", counted(similar, "pairs"))
+    monkeypatch.setattr(simhash, "both_ways", counted(both_ways, "edges"))
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == survivors(rows)
+    assert made["pairs"] < 8 * len(rows) and made["edges"] < 8 * len(rows), made
+
+
 def test_sets_are_the_words_of_a_text():
     assert len(shingles.shingles(" \t")) == 0 and len(shingles.shingles("a b c")) == 1
     assert (shingles.shingles("A b c d e  f") == shingles.shingles("a b c d e f")).all()
